@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from changelens.llm import chat_format
+from changelens.llm import chat_format, html_extract
 
 QUERIES = {
+    "op1_html_extract": html_extract.query,
     "op10_chat_format": chat_format.query,
 }
 
 ORACLES = {
+    "op1_html_extract": html_extract.ORACLE_SQL,
     "op10_chat_format": chat_format.ORACLE_SQL,
 }
