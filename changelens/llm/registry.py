@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from changelens.llm import chat_format, html_extract
+from changelens.llm import chat_format, html_extract, language_id, quality
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
+    "op2_quality": quality.query,
+    "op5_language_id": language_id.query,
     "op10_chat_format": chat_format.query,
 }
 
