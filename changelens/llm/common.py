@@ -30,12 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends in replicated files,
-    so a lost executor costs no recomputation."""
+    """Write df to the shared folder and read it back: lineage ends in files that every
+    executor sees, so a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a materialized DataFrame that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def crc_mod(column: str, n: int) -> Column:
@@ -130,13 +144,13 @@ def shingle_set(data: bytes, n: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(data), n))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """Components of an undirected graph as (node, component): component is the smallest
     node that can be reached. Nodes without an edge do not appear.
 
     Alternating large-star and small-star steps: each is a grouped minimum (combined on the
     map side, so a hub is no hot spot) and a join. Every round is written to the shared
-    folder, and only a count and a sum reach the driver.
+    folder, and only a count and two sums reach the driver.
     """
     e = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u <> v")
     e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -144,16 +158,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         # Large star: every larger neighbour of a node is tied to the smallest of its neighbourhood.
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # Small star: a node's smaller neighbours are tied to the smallest of them.
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        after = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        for old in (e, low, large, least):
+            release(old)
+        e = after
         now = e.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break
         before = tuple(now)
+    else:
+        raise RuntimeError("components did not settle")
     roots = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return roots.union(roots.select(F.col("component").alias("node"), "component").distinct())
