@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from changelens.llm import chat_format, html_extract, language_id, quality
+from changelens.llm import chat_format, html_extract, language_id, minhash_dedup, quality
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
     "op2_quality": quality.query,
     "op5_language_id": language_id.query,
+    "op7_minhash_dedup": minhash_dedup.query,
     "op10_chat_format": chat_format.query,
 }
 
 ORACLES = {
     "op1_html_extract": html_extract.ORACLE_SQL,
+    "op7_minhash_dedup": minhash_dedup.ORACLE_SQL,
     "op10_chat_format": chat_format.ORACLE_SQL,
 }
