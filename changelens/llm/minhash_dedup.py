@@ -74,10 +74,11 @@ def _sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     a, b = coefficients(bands * rows)
     salts = mix64(np.arange(1, bands + 1, dtype=np.uint64))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("n_shingles long, key binary, sig binary, buckets array<long>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sizes, keys, sigs, buckets = [], [], [], []
-            for text in batch["text"]:
+            for text in batch:
                 found = shingle_set((text or "").encode("utf-8", "surrogatepass"), shingle)
                 sizes.append(found.size)
                 if found.size == 0:
@@ -95,11 +96,9 @@ def _sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 keys.append(b"".join(x.to_bytes(8, "little") for x in (found.size, *ends)))
                 sigs.append(sig.tobytes())
                 buckets.append(band.view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "key": keys, "sig": sigs, "buckets": buckets})
+            yield pd.DataFrame({"n_shingles": sizes, "key": keys, "sig": sigs, "buckets": buckets})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id long, n_shingles long, key binary, sig binary, buckets array<long>"
-    )
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run("text").alias("s")).select("doc_id", "s.*")
 
 
 def _verify(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: int, percent: int, hashes: int, miss: float) -> DataFrame:

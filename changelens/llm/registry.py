@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from changelens.llm import chat_format, html_extract, language_id, minhash_dedup, quality
+from changelens.llm import chat_format, decontaminate, html_extract, language_id, lm_score, minhash_dedup, quality
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
     "op2_quality": quality.query,
+    "op4_decontaminate": decontaminate.query,
     "op5_language_id": language_id.query,
+    "op6_lm_score": lm_score.query,
     "op7_minhash_dedup": minhash_dedup.query,
     "op10_chat_format": chat_format.query,
 }
 
 ORACLES = {
     "op1_html_extract": html_extract.ORACLE_SQL,
+    "op4_decontaminate": decontaminate.ORACLE_SQL,
     "op7_minhash_dedup": minhash_dedup.ORACLE_SQL,
     "op10_chat_format": chat_format.ORACLE_SQL,
 }
