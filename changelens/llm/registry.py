@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from changelens.llm import chat_format, decontaminate, html_extract, language_id, lm_score, minhash_dedup, quality
+from changelens.llm import chat_format, decontaminate, embedding_dedup, html_extract, language_id, lm_score, minhash_dedup, quality
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_language_id": language_id.query,
     "op6_lm_score": lm_score.query,
     "op7_minhash_dedup": minhash_dedup.query,
+    "op8_embedding_dedup": embedding_dedup.query,
     "op10_chat_format": chat_format.query,
 }
 
@@ -18,5 +19,6 @@ ORACLES = {
     "op1_html_extract": html_extract.ORACLE_SQL,
     "op4_decontaminate": decontaminate.ORACLE_SQL,
     "op7_minhash_dedup": minhash_dedup.ORACLE_SQL,
+    "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op10_chat_format": chat_format.ORACLE_SQL,
 }
