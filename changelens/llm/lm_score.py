@@ -24,7 +24,7 @@ columns are ignored; an empty table gives an empty result. Words are compared by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,7 +37,8 @@ END = np.uint64(0x3C79AC492BA7B653)
 WEIGHT = 0.7  # L
 PROBES = 6  # hash functions: one failing probe in 64 passes by chance
 _SHARD_GRAMS = 1_500_000
-_SLICE = 400_000  # tokens scored at a time
+_SLICE = 200_000  # tokens scored at a time
+_GATHERED = 1_000_000  # tokens counted at a time
 
 
 def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -86,22 +87,27 @@ def _build(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Shards:
     """Filters and exact word counts of one or more shards, ready to be probed."""
 
-    def __init__(self, rows: list[dict], shift: int, n: int, v: int) -> None:
+    def __init__(self, rows: Iterable, layout: list[tuple[int, int, int]], shift: int, n: int, v: int) -> None:
+        """layout: the shard, bytes of its filter and words of each row. Rows come in any
+        order; each is copied to its place and let go."""
         self.shift, self.n, self.v = shift, n, v
         self.offset = np.zeros(1 << (64 - shift), dtype=np.uint64)
         self.bits = np.ones(1 << (64 - shift), dtype=np.uint64)
-        rows = sorted(rows, key=lambda r: r["shard"])
-        at, parts = 1, [np.zeros(1, dtype=np.uint8)]  # a shard without a row has one bit, not set
+        places, at, first = {}, 1, 0  # a shard without a row has one bit, not set
+        for shard, filter_bytes, n_words in sorted(layout):
+            places[shard] = (at, first)
+            self.offset[shard], self.bits[shard] = at * 8, filter_bytes * 8
+            at += filter_bytes
+            first += n_words
+        self.filter = np.zeros(at, dtype=np.uint8)
+        self.words = np.empty(first, dtype=np.uint64)  # in order: a shard is a range of hashes
+        self.counts = np.empty(first, dtype=np.uint32)
         for r in rows:
-            part = np.frombuffer(r["bits"], dtype=np.uint8)
-            self.offset[r["shard"]], self.bits[r["shard"]] = at * 8, part.size * 8
-            at += part.size
-            parts.append(part)
-        self.filter = np.concatenate(parts)
-        self.words = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["words"], dtype=np.uint64) for r in rows)])
-        self.counts = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["counts"], dtype=np.int64) for r in rows)])
-        if self.counts.max(initial=0) < 2**32:
-            self.counts = self.counts.astype(np.uint32)
+            at, first = places[r["shard"]]
+            part, words = np.frombuffer(r["bits"], dtype=np.uint8), np.frombuffer(r["words"], dtype=np.uint64)
+            self.filter[at : at + part.size] = part
+            self.words[first : first + words.size] = words
+            self.counts[first : first + words.size] = np.frombuffer(r["counts"], dtype=np.uint32)
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """The level of each n-gram, by probing until a probe fails."""
@@ -154,23 +160,29 @@ def train(docs: DataFrame, shard_grams: int = _SHARD_GRAMS) -> tuple[DataFrame,
     top = max(0, int(np.ceil(np.log2(max(1.0, size / 4 / shard_grams)))))  # a token has some 6 bytes; words and pairs
     shift = 64 - top
 
+    def counted(tokens: list[np.ndarray]) -> pd.DataFrame:
+        words = _distinct(np.concatenate(tokens))
+        pairs = _distinct(np.concatenate([_pair(_history(t), t) for t in tokens]))
+        edges = np.arange(1, 1 << top, dtype=np.uint64) << np.uint64(shift) if top else np.zeros(0, dtype=np.uint64)
+        out = {"shard": np.arange(1 << top, dtype=np.int32)}
+        for name, (grams, n) in (("words", words), ("pairs", pairs)):
+            cuts = np.searchsorted(grams, edges)
+            out[name] = [x.tobytes() for x in np.split(grams, cuts)]
+            out[f"{name}_n"] = [x.tobytes() for x in np.split(n.astype(np.uint32), cuts)]
+        return pd.DataFrame(out)[["shard", "words", "words_n", "pairs", "pairs_n"]]
+
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[np.ndarray] = []
+        waiting = 0
         for b in batches:
-            tokens = [_tokens(t) for t in b["text"]]
-            if not tokens:
-                continue
-            words = _distinct(np.concatenate(tokens))
-            pairs = _distinct(np.concatenate([_pair(_history(t), t) for t in tokens]))
-            cuts = [np.searchsorted(g, np.arange(1, 1 << top, dtype=np.uint64) << np.uint64(shift)) if top else [] for g, _ in (words, pairs)]
-            parts = [[np.split(x, c) for x in (g, n.astype(np.uint32))] for (g, n), c in zip((words, pairs), cuts, strict=True)]
-            (w, wn), (p, pn) = parts
-            yield pd.DataFrame(
-                {
-                    "shard": np.arange(1 << top, dtype=np.int32),
-                    "words": [x.tobytes() for x in w], "words_n": [x.tobytes() for x in wn],
-                    "pairs": [x.tobytes() for x in p], "pairs_n": [x.tobytes() for x in pn],
-                }
-            )
+            for text in b["text"]:
+                held.append(_tokens(text))
+                waiting += held[-1].size
+                if waiting >= _GATHERED:
+                    yield counted(held)
+                    held, waiting = [], 0
+        if held:
+            yield counted(held)
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         def merged(name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +193,7 @@ def train(docs: DataFrame, shard_grams: int = _SHARD_GRAMS) -> tuple[DataFrame,
         words, n = merged("words")
         pairs, pn = merged("pairs")
         bits = _build(np.concatenate((words, pairs)), np.concatenate((n, pn)))
-        row = {"shard": group["shard"].iloc[0], "bits": bits.tobytes(), "words": words.tobytes(), "counts": n.tobytes(), "n": int(n.sum()), "v": int(words.size)}
+        row = {"shard": group["shard"].iloc[0], "bits": bits.tobytes(), "words": words.tobytes(), "counts": np.minimum(n, 2**32 - 1).astype(np.uint32).tobytes(), "n": int(n.sum()), "v": int(words.size)}
         return pd.DataFrame([row])
 
     gathered = docs.select("text").mapInPandas(gather, "shard int, words binary, words_n binary, pairs binary, pairs_n binary")
@@ -201,7 +213,8 @@ def score(docs: DataFrame, held_out: Column, broadcast_mb: int = 256, shard_gram
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
     size = shards.agg(F.sum(F.length("bits") + F.length("words") + F.length("counts"))).first()[0] or 0
     if size <= broadcast_mb * 1_000_000:
-        model = spark.sparkContext.broadcast(Shards([r.asDict() for r in shards.toLocalIterator()], shift, n, v))
+        layout = [tuple(r) for r in shards.select("shard", F.length("bits"), F.expr("length(words) div 8")).collect()]
+        model = spark.sparkContext.broadcast(Shards(shards.toLocalIterator(), layout, shift, n, v))
 
         @F.pandas_udf(_SCORES)
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -277,7 +290,8 @@ def _score_by_shuffle(rows: DataFrame, shards: DataFrame, shift: int, n: int, v:
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         g = left["gram"].to_numpy().view(np.uint64)
-        m = Shards(right.to_dict("records"), shift, n, v)
+        rows = right.to_dict("records")  # one, or none
+        m = Shards(rows, [(r["shard"], len(r["bits"]), len(r["words"]) // 8) for r in rows], shift, n, v)
         return pd.DataFrame({"gram": left["gram"], "level": m.levels(g), "exact": m.exact(g)})
 
     known = materialize(

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from changelens.llm import chat_format, decontaminate, embedding_dedup, html_extract, language_id, lm_score, minhash_dedup, quality
+from changelens.llm import chat_format, decontaminate, embedding_dedup, html_extract, language_id, lm_score, minhash_dedup, packing, quality, url_filter
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
     "op2_quality": quality.query,
+    "op3_url_filter": url_filter.query,
     "op4_decontaminate": decontaminate.query,
     "op5_language_id": language_id.query,
     "op6_lm_score": lm_score.query,
     "op7_minhash_dedup": minhash_dedup.query,
     "op8_embedding_dedup": embedding_dedup.query,
+    "op9_packing": packing.query,
     "op10_chat_format": chat_format.query,
 }
 
