@@ -35,36 +35,30 @@ def _src(sql: str) -> str:
 
 
 def _one(name: str, column, sql: str, alias: str) -> None:
-    """A query of file_id and one column over the contents."""
+    """A query of file_id and one function of path and content."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return source_files(spark, sf_dir).select("file_id", column.alias(alias))
+        files = source_files(spark, sf_dir)
+        return files.select("file_id", column(files.path, files.content).alias(alias))
 
     query(name, _src(f"SELECT file_id, {sql} AS {alias}"))(run)
 
 
-_path, _content = F.col("path"), F.col("content")
-
-
 @query("detect_language", f"WITH {SOURCE_FILES_SQL} SELECT file_id, path, {_LANGUAGE.format(p='path')} AS language FROM source_files")
 def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_files(spark, sf_dir).select("file_id", "path", T.detect_language(F.col("path")).alias("language"))
 
 
 def _register() -> None:
-    _one("ignore_filter", T.should_ignore(_path), _IGNORE, "should_ignore")
-    _one("generated_filter", T.is_generated(_path, _content), _GENERATED, "is_generated")
-    _one("is_test_file", T.is_test_file(_path, _content), _TEST_FILE, "is_test")
-    _one("contains_test_code", T.contains_test_code(_path, _content), _TEST_CODE, "has_test_code")
-    _one("count_loc", T.count_loc(_content), _LOC, "loc")
+    _one("ignore_filter", lambda p, c: T.should_ignore(p), _IGNORE, "should_ignore")
+    _one("generated_filter", lambda p, c: T.is_generated(p, c), _GENERATED, "is_generated")
+    _one("is_test_file", lambda p, c: T.is_test_file(p, c), _TEST_FILE, "is_test")
+    _one("contains_test_code", lambda p, c: T.contains_test_code(p, c), _TEST_CODE, "has_test_code")
+    _one("count_loc", lambda p, c: T.count_loc(c), _LOC, "loc")
     kept = "array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))"
-    _one("content_hash", T.content_hash(_content), f"sha256({kept})", "content_hash")
-    _one("js_branches", T.js_branches(_content), r"len(regexp_extract_all(content, '\b(if|for|while|switch|catch)\b|\?|&&|\|\|'))", "branches")
-    _one("js_functions", T.js_functions(_content), r"len(regexp_extract_all(content, '\bfunction\b|=>'))", "functions")
-
-
-def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_files(spark, sf_dir)
+    _one("content_hash", lambda p, c: T.content_hash(c), f"sha256({kept})", "content_hash")
+    _one("js_branches", lambda p, c: T.js_branches(c), r"len(regexp_extract_all(content, '\b(if|for|while|switch|catch)\b|\?|&&|\|\|'))", "branches")
+    _one("js_functions", lambda p, c: T.js_functions(c), r"len(regexp_extract_all(content, '\bfunction\b|=>'))", "functions")
 
 
 _register()
@@ -79,7 +73,8 @@ _register()
 )
 def classify_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Everything that indexing asks of a file; only the files it would index."""
-    out = _first(spark, sf_dir).select(
+    _path, _content = F.col("path"), F.col("content")
+    out = source_files(spark, sf_dir).select(
         "file_id",
         "path",
         T.detect_language(_path).alias("language"),
