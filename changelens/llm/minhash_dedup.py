@@ -11,9 +11,10 @@
 
 All pairs of a large bucket are never listed. Each round ties the members of a bucket to one
 leader of it (another for each round and bucket) and joins what is verified into components.
-What is left then are buckets that still hold several components; there, every pair between
-members of different components that was not compared yet is compared. So no link between
-two components is lost, and a large group of near copies costs rows in proportion to its size.
+What is left then are buckets that still hold several components; there, every pair of
+members of different components is compared within tasks, in blocks, and only survivors
+become rows. So no link between two components is lost, and a large group of near copies
+costs rows in proportion to its size.
 
 Defined results: words are runs of anything but ASCII white space, with A-Z lower-cased; a
 text of fewer words than a shingle is one shingle; a null text or one without words has no
@@ -23,6 +24,7 @@ is kept; repeated rows give one result each; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import itertools
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -31,8 +33,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm.common import bounded, connected_components, materialize, mix64, release, shingle_set, table
+from changelens.llm.common import arrow_rows, bounded, connected_components, materialize, mix64, release, shingle_set, table
 
+_CROWDED = 4  # survivors per row beyond which a group is verified where it is
 BATCH = 40  # hashes compared at a time
 _BROADCAST_IDS = 1_000_000  # ids of 8 bytes: some 20 MB as a hash relation
 
@@ -101,24 +104,158 @@ def _sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run("text").alias("s")).select("doc_id", "s.*")
 
 
-def _verify(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: int, percent: int, hashes: int, miss: float) -> DataFrame:
-    """Those of pairs (x, y) whose shingle sets reach the similarity."""
-    floors = posterior_floors(hashes, percent / 100, miss)
+def _equal(x: np.ndarray, y: np.ndarray, floors: list[tuple[int, int]]) -> np.ndarray:
+    """Which rows of two signature arrays stay in the race, batch after batch."""
+    alive, equal, before = np.arange(len(x)), np.zeros(len(x), dtype=np.int64), 0
+    for n, least in floors:
+        equal[alive] += (x[alive, before:n] == y[alive, before:n]).sum(axis=1)
+        alive = alive[equal[alive] >= least]
+        before = n
+    out = np.zeros(len(x), dtype=bool)
+    out[alive] = True
+    return out
+
+
+def _likely(pairs: DataFrame, reps: DataFrame, floors: list[tuple[int, int]]) -> DataFrame:
+    """Those of pairs (x, y) that their signatures leave in the race."""
 
     @F.pandas_udf("boolean")
     def promising(xs: pd.Series, ys: pd.Series) -> pd.Series:
         if len(xs) == 0:
             return pd.Series([], dtype=bool)
-        x = np.frombuffer(b"".join(xs), dtype=np.uint32).reshape(len(xs), -1)
-        y = np.frombuffer(b"".join(ys), dtype=np.uint32).reshape(len(ys), -1)
-        alive, equal, before = np.arange(len(xs)), np.zeros(len(xs), dtype=np.int64), 0
-        for n, least in floors:
-            equal[alive] += (x[alive, before:n] == y[alive, before:n]).sum(axis=1)
-            alive = alive[equal[alive] >= least]
-            before = n
-        out = np.zeros(len(xs), dtype=bool)
-        out[alive] = True
-        return pd.Series(out)
+        x, y = (np.frombuffer(b"".join(v), dtype=np.uint32).reshape(len(v), -1) for v in (xs, ys))
+        return pd.Series(_equal(x, y, floors))
+
+    sig = reps.select("doc_id", "sig")
+    return pairs.join(sig.toDF("x", "sx"), "x").join(sig.toDF("y", "sy"), "y").where(promising("sx", "sy")).select("x", "y")
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of two lists of sets, as products of 0/1 matrices."""
+    where = [np.repeat(np.arange(len(v)), [x.size for x in v]) for v in (left, right)]
+    flat = [np.concatenate(v) for v in (left, right)]
+    shared = np.intersect1d(*flat)
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    places = []
+    for x in flat:
+        at = np.minimum(np.searchsorted(shared, x), max(0, shared.size - 1))
+        places.append((at, shared[at] == x if shared.size else np.zeros(x.size, dtype=bool)))
+    for start in range(0, shared.size, 4096):
+        sides = []
+        for n, rows, (at, known) in zip((len(left), len(right)), where, places, strict=True):
+            hit = known & (at >= start) & (at < start + 4096)
+            m = np.zeros((n, min(4096, shared.size - start)), dtype=np.float32)
+            m[rows[hit], at[hit] - start] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _across(rows: DataFrame, reps: DataFrame, docs: DataFrame, floors: list[tuple[int, int]], shingle: int, percent: int, bands: int, block: int = 512) -> tuple[DataFrame, DataFrame]:
+    """rows (bucket, band, doc_id, comp): pairs (x, y) of different components of a bucket.
+    Returns those still to be verified, and verified links.
+
+    The members outside a bucket's largest component are compared with all its members, in
+    blocks; a group is one block against another. A pair counts in the first bucket that its
+    members share. Sizes and signatures leave some pairs in the race. If a group has few of them for
+    its rows they are returned; a dense group gets its texts and is verified where it is,
+    so rows stay in proportion to members.
+    """
+    parts = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("k"), F.sum("n").alias("n")).where("k > 1")
+    count = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    mixed = materialize(mixed.select("bucket", F.col("top.comp").alias("major"), count(F.col("n")).alias("all_blocks"), count(F.col("n") - F.col("top.n")).alias("minor_blocks")))
+    sized = rows.join(mixed, "bucket").join(reps.select("doc_id", "sig", F.col("n_shingles").alias("size")), "doc_id")
+    place = lambda n: F.pmod(F.xxhash64("doc_id", "bucket"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ("bucket", "band", "doc_id", "comp", "major", "sig", "size")
+    minor = sized.where("comp <> major").select(*columns, F.lit(True).alias("minor"), place("minor_blocks").alias("b1"), each("all_blocks").alias("b2"))
+    every = sized.select(*columns, F.lit(False).alias("minor"), each("minor_blocks").alias("b1"), place("all_blocks").alias("b2"))
+    dealt = minor.unionByName(every)
+    group = ["bucket", "b1", "b2"]
+
+    def compare(g: pd.DataFrame, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the pairs that stay in the race."""
+        doc, comp, size, minor = (g[c].to_numpy() for c in ("doc_id", "comp", "size", "minor"))
+        top = comp == g["major"].to_numpy()
+        i, j = np.flatnonzero(minor), np.flatnonzero(~minor)
+        row, column = (lambda v: v[i][:, None]), (lambda v: v[j][None, :])
+        open_ = row(comp) != column(comp)
+        open_ &= column(top) | (row(doc) < column(doc))
+        open_ &= 100 * np.minimum(row(size), column(size)) >= percent * np.maximum(row(size), column(size))
+        i, j = (v[at] for v, at in zip((i, j), np.nonzero(open_), strict=True))
+        band = int(g["band"].iloc[0])
+        kept = [np.zeros(0, dtype=bool)]
+        for at in range(0, i.size, 8192):
+            x, y = sig[i[at : at + 8192]], sig[j[at : at + 8192]]
+            stay = _equal(x, y, floors)
+            on = np.flatnonzero(stay)
+            whole = (x[on] == y[on]).reshape(on.size, bands, sig.shape[1] // bands).all(axis=2)
+            stay[on] = whole.argmax(axis=1) == band
+            kept.append(stay)
+        kept = np.concatenate(kept)
+        return i[kept], j[kept]
+
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+        """Batches come sorted by group; a group that a batch cuts waits for its rest."""
+        held = None
+        for more in itertools.chain(batches, [None]):
+            rows = held if more is None else more if held is None else pd.concat([held, more], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            key = rows[group].to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(rows)]))
+            if more is not None:
+                held = rows.iloc[cuts[-2] :].reset_index(drop=True)
+                cuts = cuts[:-1]
+            if len(cuts) < 2:
+                continue
+            sig = np.frombuffer(b"".join(rows["sig"].iloc[: cuts[-1]]), dtype=np.uint32).reshape(cuts[-1], -1)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield rows.iloc[a:b], sig[a:b]
+
+    def found(parts: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(parts, columns=["x", "y", *group]).astype("Int64")
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for g, sig in groups(batches):
+            i, j = compare(g, sig)
+            if i.size > _CROWDED * len(g):
+                out.append((None, None, *(int(v) for v in g[group].iloc[0])))
+            elif i.size:
+                doc = g["doc_id"].to_numpy()
+                out += [(min(p, q), max(p, q), None, None, None) for p, q in zip(doc[i].tolist(), doc[j].tolist(), strict=True)]
+            if len(out) > 10_000:
+                yield found(out)
+                out = []
+        yield found(out)
+
+    def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g, sig in groups(batches):
+            i, j = compare(g, sig)
+            doc = g["doc_id"].to_numpy()
+            sets = [shingle_set(t.encode("utf-8", "surrogatepass"), shingle) for t in g["text"]]
+            left, at_left = np.unique(i, return_inverse=True)
+            right, at_right = np.unique(j, return_inverse=True)
+            both = _common([sets[k] for k in left], [sets[k] for k in right])[at_left, at_right] if i.size else np.zeros(0)
+            size = g["size"].to_numpy()
+            link = 100 * both >= percent * (size[i] + size[j] - both)
+            p, q = doc[i[link]], doc[j[link]]
+            yield pd.DataFrame({"x": np.minimum(p, q), "y": np.maximum(p, q)})
+
+    spark = rows.sparkSession
+    with arrow_rows(spark, 2000):
+        one = materialize(dealt.repartition(*group).sortWithinPartitions(*group).mapInPandas(first, "x long, y long, bucket long, b1 int, b2 int"))
+    crowded = one.where("x IS NULL").select(*group)
+    again = dealt.join(crowded, group).join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL"), "doc_id")
+    with arrow_rows(spark, 256):
+        links = materialize(again.repartition(*group).sortWithinPartitions(*group).mapInPandas(dense, "x long, y long").distinct())
+    return one.where("x IS NOT NULL").select("x", "y").distinct(), links
+
+
+def _verify(likely: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Those of likely (x, y) whose shingle sets reach the similarity."""
 
     @F.pandas_udf("boolean")
     def linked(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -141,79 +278,69 @@ def _verify(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: int
                 out.append(100 * both >= percent * (p.size + q.size - both))
             yield pd.Series(out, dtype=bool)
 
-    sig = sketches.select("doc_id", "sig")
-    likely = (
-        pairs.join(sig.toDF("x", "sx"), "x").join(sig.toDF("y", "sy"), "y").where(promising("sx", "sy")).select("x", "y")
-    )
-    likely = materialize(likely)
     wanted = bounded(likely.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), _BROADCAST_IDS)
     # Should a doc_id repeat with other texts, all of them count as that document.
     texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(wanted, "doc_id", "left_semi"))
     both = likely.join(texts.toDF("x", "tx"), "x").join(texts.toDF("y", "ty"), "y")
-    out = materialize(both.where(linked("x", "tx", "y", "ty")).select("x", "y").distinct())
+    with arrow_rows(docs.sparkSession, 256):
+        out = materialize(both.where(linked("x", "tx", "y", "ty")).select("x", "y").distinct())
     release(texts)
-    release(likely)
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, miss: float = 1e-6, star_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, miss: float = 1e-5, star_rounds: int = 2) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept; one row per document.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets.
     """
-    sketches = materialize(_sketch(docs, shingle, bands, rows))
+    with arrow_rows(docs.sparkSession, 2000):
+        sketches = materialize(_sketch(docs, shingle, bands, rows))
     known = sketches.where("key IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialize(known.groupBy("key").agg(F.min("doc_id").alias("rep")))
-    reps = materialize(known.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "sig", "buckets"))
+    reps = materialize(known.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "n_shingles", "sig", "buckets"))
 
-    spread = reps.select("doc_id", F.explode("buckets").alias("bucket"))
+    spread = reps.select("doc_id", F.posexplode("buckets").alias("band", "bucket"))
     shared = materialize(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
     members = materialize(spread.join(shared, "bucket"))
 
+    floors = posterior_floors(bands * rows, percent / 100, miss)
     links, compared, comps = None, None, None
     for turn in range(star_rounds + 1):
-        rowset = members
-        if comps is not None:
-            rowset = members.join(comps, members["doc_id"] == comps["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-        else:
+        if comps is None:
             rowset = members.withColumn("comp", F.col("doc_id"))
+        else:
+            rowset = members.join(comps, members["doc_id"] == comps["node"], "left").select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
         rowset = materialize(rowset)
         if turn < star_rounds:
             lead = F.min(F.struct(F.xxhash64("doc_id", "bucket", F.lit(turn)).alias("h"), "doc_id", "comp")).alias("lead")
             leaders = materialize(rowset.groupBy("bucket").agg(lead, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket", "lead"))
-            pairs = rowset.join(leaders, "bucket").where("comp <> lead.comp").select(F.col("doc_id").alias("p"), F.col("lead.doc_id").alias("q"))
+            pairs = rowset.join(leaders, "bucket").where("comp <> lead.comp").select(F.least("doc_id", "lead.doc_id").alias("x"), F.greatest("doc_id", "lead.doc_id").alias("y")).distinct()
+            if compared is not None:
+                pairs = pairs.join(compared, ["x", "y"], "left_anti")
+            pairs = materialize(pairs)
+            release(leaders)
+            compared = pairs if compared is None else compared.union(pairs)
+            with arrow_rows(docs.sparkSession, 2000):
+                likely = materialize(_likely(pairs, reps, floors))
         else:
-            parts = rowset.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-            largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("k")).where("k > 1")
-            leaders = materialize(largest.select("bucket", F.col("top.comp").alias("major")))
-            mixed = materialize(rowset.join(leaders, "bucket"))
-            minor = mixed.where("comp <> major").select("bucket", F.col("doc_id").alias("p"), F.col("comp").alias("pc"))
-            pairs = minor.join(mixed, "bucket").where("pc <> comp AND (comp = major OR p < doc_id)").select("p", F.col("doc_id").alias("q"))
-        pairs = pairs.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["x", "y"], "left_anti")
-        pairs = materialize(pairs)
-        if pairs.limit(1).count() == 0:
-            release(pairs)
-            break
-        found = _verify(pairs, reps, docs, shingle, percent, bands * rows, miss)
-        links = found if links is None else links.union(found)
-        compared = pairs if compared is None else compared.union(pairs)
-        comps = materialize(connected_components(links, "x", "y"))
+            likely, direct = _across(rowset, reps, docs, floors, shingle, percent, bands)
+            likely = materialize(likely.join(compared, ["x", "y"], "left_anti"))
+            links = direct if links is None else links.union(direct)
         release(rowset)
-        release(leaders)
+        if likely.limit(1).count() > 0:
+            found = _verify(likely, docs, shingle, percent)
+            links = found if links is None else links.union(found)
+        release(likely)
+        if links is not None:
+            comps = materialize(connected_components(links, "x", "y"))
 
     named = classes.withColumn("component_id", F.col("rep"))
     if comps is not None:
         named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     named = materialize(named.select("key", "component_id"))
     out = sketches.select("doc_id", "n_shingles", "key").join(named, "key", "left")
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
-    )
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
