@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,14 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def hand_back() -> None:
+    """Give freed memory back to the system. Python workers are used again by later tasks,
+    and would keep what the largest batch so far has needed."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # no GNU C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """df, marked for broadcast if it has at most so many rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm.common import WORD_PATTERN, materialize, shingle_hashes, table, word_hashes
+from changelens.llm.common import WORD_PATTERN, hand_back, materialize, shingle_hashes, table, word_hashes
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORD = re.compile(WORD_PATTERN)
@@ -132,6 +132,7 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, percent: i
                         if 100 * shared >= percent * size:
                             out.append((doc, item, shared, size))
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_shared", "n_item"])
+            hand_back()
 
         found = docs.mapInPandas(search, _RESULT)
     else:

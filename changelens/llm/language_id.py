@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm.common import crc_mod, table
+from changelens.llm.common import crc_mod, hand_back, table
 
 DIM = 4096
 _CHUNK = 1 << 20
@@ -195,6 +195,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             langs, scores, rejected = shared.value.score(list(texts))
             yield pd.DataFrame({"lang_pred": langs, "score": scores, "rejected": rejected})
+        hand_back()
 
     kept = [f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score", "rejected", "_p")]
     return docs.select(*kept, run("text").alias("_p")).select(*kept, "_p.*")

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm.common import crc_mod, materialize, mix64, table, word_hashes
+from changelens.llm.common import arrow_rows, crc_mod, materialize, mix64, table, word_hashes
 
 END = np.uint64(0x3C79AC492BA7B653)
 WEIGHT = 0.7  # L
@@ -39,6 +39,7 @@ PROBES = 6  # hash functions: one failing probe in 64 passes by chance
 _SHARD_GRAMS = 1_500_000
 _SLICE = 200_000  # tokens scored at a time
 _GATHERED = 1_000_000  # tokens counted at a time
+_BATCH = 1000  # texts sent to Python at a time
 
 
 def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -197,7 +198,8 @@ def train(docs: DataFrame, shard_grams: int = _SHARD_GRAMS) -> tuple[DataFrame,
         return pd.DataFrame([row])
 
     gathered = docs.select("text").mapInPandas(gather, "shard int, words binary, words_n binary, pairs binary, pairs_n binary")
-    shards = materialize(gathered.groupBy("shard").applyInPandas(build, "shard int, bits binary, words binary, counts binary, n long, v long"))
+    with arrow_rows(docs.sparkSession, _BATCH):
+        shards = materialize(gathered.groupBy("shard").applyInPandas(build, "shard int, bits binary, words binary, counts binary, n long, v long"))
     n, v = shards.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     return shards.select("shard", "bits", "words", "counts"), shift, n, v
 
@@ -236,7 +238,8 @@ def score(docs: DataFrame, held_out: Column, broadcast_mb: int = 256, shard_gram
                 flush()
                 yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"n_tokens": [], "n_known": [], "base_score": [], "score": []})
 
-        scored = rows.select("doc_id", "held_out", run("text").alias("s"))
+        with arrow_rows(spark, _BATCH):
+            scored = materialize(rows.select("doc_id", "held_out", run("text").alias("s")))
     else:
         scored = _score_by_shuffle(rows, shards, shift, n, v)
     return scored.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(n).cast("long").alias("train_tokens"), "s.base_score", "s.score")

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm.common import arrow_rows, bounded, connected_components, materialize, mix64, release, shingle_set, table
+from changelens.llm.common import arrow_rows, bounded, connected_components, hand_back, materialize, mix64, release, shingle_set, table
 
 _CROWDED = 4  # survivors per row beyond which a group is verified where it is
 BATCH = 40  # hashes compared at a time
@@ -100,6 +100,7 @@ def _sketch(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 sigs.append(sig.tobytes())
                 buckets.append(band.view(np.int64))
             yield pd.DataFrame({"n_shingles": sizes, "key": keys, "sig": sigs, "buckets": buckets})
+        hand_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run("text").alias("s")).select("doc_id", "s.*")
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm.common import materialize, table
+from changelens.llm.common import arrow_rows, materialize, table
 from changelens.llm.tokens import token_ids
 
 _VOCABULARY = 1 << 16
@@ -135,7 +135,8 @@ _PIECES = "doc_id long, null_id boolean, start long, length long, ids binary, do
 def pack(docs: DataFrame, window: int = 4096, shard_tokens: int = 2_000_000, query_terms: int = 32, path: str | None = None) -> DataFrame:
     """docs (doc_id, text) -> one row per piece: doc_id, start, length, ids (little-endian
     32-bit numbers), doc_tokens, sequence_id, offset."""
-    tokens = materialize(tokenize(docs, path))
+    with arrow_rows(docs.sparkSession, 2000):
+        tokens = materialize(tokenize(docs, path))
     df = docs.sparkSession.sparkContext.broadcast(document_frequencies(tokens))  # one number per id of the vocabulary
     total, n_docs = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     shards = max(1, -(-total // shard_tokens))

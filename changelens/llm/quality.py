@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm.common import crc_mod, table, word_hashes
+from changelens.llm.common import crc_mod, hand_back, table, word_hashes
 
 FEATURES = (
     "log_words", "mean_word", "upper", "symbols", "odd_symbols", "digits", "exclamations",
@@ -228,6 +228,7 @@ def score(docs: DataFrame, model: Model, keep: float = 0.7) -> DataFrame:
         for texts in batches:
             s = model.score(np.array([features(t) for t in texts]).reshape(-1, len(FEATURES)))
             yield pd.DataFrame({"score": s, "predicted": (s >= keep).astype(np.int32)})
+        hand_back()
 
     kept = [f"`{c}`" for c in docs.columns if c not in ("score", "predicted", "_p")]
     return docs.select(*kept, run("text").alias("_p")).select(*kept, "_p.*")

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from changelens.llm.common import hand_back
+
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
@@ -27,7 +29,7 @@ _ODD = re.compile("[\x1c-\x1f]")
 class Encoder(dict):
     """chunk -> its ids as little-endian 16-bit numbers."""
 
-    def __init__(self, path: str, cache_chunks: int = 400_000) -> None:
+    def __init__(self, path: str, cache_chunks: int = 150_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
@@ -91,5 +93,6 @@ def token_ids(text: str, path: str | None = None) -> Column:
         end = np.array([END_ID], dtype="<u2").tobytes()
         for texts in batches:
             yield pd.Series([encoder.encode(t) + end for t in texts], dtype=object)
+        hand_back()
 
     return run(text)
