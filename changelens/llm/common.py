@@ -169,33 +169,40 @@ def shingle_set(data: bytes, n: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(data), n))
 
 
+_EDGES_A_TASK = 100_000  # 16 bytes each
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """Components of an undirected graph as (node, component): component is the smallest
     node that can be reached. Nodes without an edge do not appear.
 
     Alternating large-star and small-star steps: each is a grouped minimum (combined on the
     map side, so a hub is no hot spot) and a join. Every round is written to the shared
-    folder, and only a count and two sums reach the driver.
+    folder, and only a count and two sums reach the driver. Tasks are as many as the edges
+    need: rounds are many, and a small graph would spend them on empty partitions.
     """
     e = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u <> v")
     e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    sums = (F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)")))
+    before = tuple(e.agg(*sums).first())
+    tasks = max(8, -(-before[0] // _EDGES_A_TASK))
+    write = lambda df: materialize(df.coalesce(tasks))  # noqa: E731  coalesce never adds partitions
     for _ in range(max_rounds):
         # Large star: every larger neighbour of a node is tied to the smallest of its neighbourhood.
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = write(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = write(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # Small star: a node's smaller neighbours are tied to the smallest of them.
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = write(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        after = materialize(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        after = write(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         for old in (e, low, large, least):
             release(old)
         e = after
-        now = e.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        now = tuple(e.agg(*sums).first())
+        if now == before:
             break
-        before = tuple(now)
+        before = now
     else:
         raise RuntimeError("components did not settle")
     roots = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
