@@ -2,13 +2,15 @@
 
 1. Equal vectors form a class; one vector of each class goes on with the class's size, so
    copies are not expanded into pairs.
-2. Every tree splits the classes again and again along a random direction at the median of
+2. Every tree splits the classes again and again along a random direction at a quantile of
    a bounded sample of the node (`node_sample` rows). Rows within a margin of the cut go to
-   both sides. The margin follows the distance of two vectors at the threshold, so a node
-   that is denser than that can't be split without parting neighbours; it stays one leaf,
-   however large. All other leaves have about `leaf_rows` rows. Trees are fitted and rows are
-   dealt by Spark jobs over all nodes at once, some levels a round; no tree is on the driver.
-   The number of trees follows from the depth, for a recall of 0.999 at the threshold.
+   both sides. The margin follows the distance of two vectors at the threshold. What a cut
+   parts of the pairs near the threshold is estimated from the sample; a node where every cut
+   tried parts too many for the rows it takes away stays one leaf, however large. All other
+   leaves have about `leaf_rows` rows. Trees are fitted and rows are dealt by Spark jobs over
+   all nodes at once, some levels a round; no tree is on the driver. Each row carries the
+   estimated chance that its pairs are still together, and trees are added until the row of
+   the least chance has an estimated recall of 0.999.
 3. Within a leaf all pairs are compared by cosine in double precision (a matrix product; a
    large leaf in blocks of `block_rows`, each pair of blocks a group of its own). A pair that
    several leaves hold is counted in the first of them, which each row's list of leaves tells.
@@ -35,7 +37,11 @@ from changelens.llm.common import connected_components, materialize, mix64, tabl
 _DEPTH = 6  # levels of a tree that one round adds
 _NODES = (1 << _DEPTH) - 1
 _TRIES = 5
+_QUANTILES = (0.35, 0.5, 0.65)
 _DENSE = np.inf
+_MOST_PARTED = 0.2  # of the pairs near the threshold, by cuts that halve a node
+_PAIRS = 20_000  # sampled pairs that a cut is judged by
+_PRIOR = 50  # so many pairs the density at the cut counts for
 
 
 def _child(node: int, at: int) -> int:
@@ -60,37 +66,63 @@ def margin(threshold: float, dim: int) -> float:
     return 0.3 * float(np.sqrt(max(0.0, 2 - 2 * threshold) / dim))
 
 
+def _near_pairs(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with a cosine in the half next to the threshold, at most _PAIRS of them."""
+    cosine = x @ x.T
+    i, j = np.nonzero(np.triu((cosine >= threshold) & (cosine <= (1 + threshold) / 2), 1))
+    if i.size > _PAIRS:
+        some = np.random.default_rng(i.size).choice(i.size, _PAIRS, replace=False)
+        i, j = i[some], j[some]
+    return i, j
+
+
+def _parted(p: np.ndarray, cut: float, side: float, ends: tuple[np.ndarray, np.ndarray]) -> float:
+    """The estimated share of pairs near the threshold that a cut parts: from the density of
+    the projections p at the cut, as if pairs lay anywhere, and from the sampled pairs."""
+    wide = side / 0.3  # standard deviation of a pair's projected distance d; E max(0, |d| - 2 side) = 0.337 wide
+    prior = min(1.0, 0.337 * wide * float((np.abs(p - cut) <= wide).mean()) / (2 * wide)) if wide else 0.0
+    low, high = np.minimum(*ends), np.maximum(*ends)
+    return (_PRIOR * prior + float(((low <= cut - side) & (high > cut + side)).sum())) / (_PRIOR + low.size)
+
+
 def _fit(leaf_rows: int, threshold: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         node, total = int(group["node"].iloc[0]), int(group["n"].iloc[0])
         x = _units(group["vec"])
         scale = total / len(x)
-        cuts, turns = np.full(_NODES, np.nan), np.zeros(_NODES, dtype=np.int8)
+        cuts, losses, turns = np.full(_NODES, np.nan), np.zeros(_NODES), np.zeros(_NODES, dtype=np.int8)
         side = margin(threshold, x.shape[1])
-        waiting = [(0, np.arange(len(x)))]
+        waiting = [(0, np.arange(len(x)), *_near_pairs(x, threshold))]
         while waiting:
-            at, rows = waiting.pop()
+            at, rows, i, j = waiting.pop()
             if at >= _NODES or len(rows) * scale <= leaf_rows:
                 continue
             best = None
             for turn in range(_TRIES):
-                p = x[rows] @ _direction(node, at, turn, x.shape[1])
-                cut = float(np.median(p))
-                left, right = rows[p <= cut + side], rows[p > cut - side]
-                if best is None or len(left) + len(right) < best[0]:
-                    best = (len(left) + len(right), cut, turn, left, right)
-            _, cuts[at], turns[at], left, right = best
-            if max(len(left), len(right)) > 0.8 * len(rows):
+                every = x @ _direction(node, at, turn, x.shape[1])
+                p = every[rows]
+                for cut in np.quantile(p, _QUANTILES):
+                    most = max(int((p <= cut + side).sum()), int((p > cut - side).sum())) / len(rows)
+                    if most > 0.8:
+                        continue
+                    loss = min(_parted(p, float(cut), side, (every[i], every[j])), 0.999)
+                    kept = (1 - loss) ** (-1 / np.log2(most))  # over cuts that halve the node
+                    if best is None or kept > best[0]:
+                        best = (kept, float(cut), turn, loss, every)
+            if best is None or best[0] < 1 - _MOST_PARTED:
                 cuts[at] = _DENSE
                 continue
-            waiting += [(2 * at + 1, left), (2 * at + 2, right)]
-        return pd.DataFrame({"node": [node], "tree": [cuts.tobytes() + turns.tobytes()]})
+            _, cuts[at], turns[at], losses[at], every = best
+            for child, inside in ((2 * at + 1, every <= cuts[at] + side), (2 * at + 2, every > cuts[at] - side)):
+                both = inside[i] & inside[j]
+                waiting.append((child, rows[inside[rows]], i[both], j[both]))
+        return pd.DataFrame({"node": [node], "tree": [cuts.tobytes() + losses.tobytes() + turns.tobytes()]})
 
     return run
 
 
 def _route(threshold: float):
-    @F.pandas_udf("array<struct<node: long, done: boolean>>")
+    @F.pandas_udf("array<struct<node: long, done: boolean, kept: double>>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for vectors, nodes, trees in batches:
             out: list[list[dict]] = [[] for _ in range(len(vectors))]
@@ -98,18 +130,20 @@ def _route(threshold: float):
             for node in np.unique(ids):
                 mine = np.flatnonzero(ids == node)
                 data = trees.iloc[mine[0]]
-                cuts, turns = np.frombuffer(data[: 8 * _NODES]), np.frombuffer(data[8 * _NODES :], dtype=np.int8)
+                cuts, losses = np.frombuffer(data[: 16 * _NODES]).reshape(2, _NODES)
+                turns = np.frombuffer(data[16 * _NODES :], dtype=np.int8)
                 x = _units(vectors.iloc[mine])
                 side = margin(threshold, x.shape[1])
-                waiting = [(0, np.arange(len(mine)))]
+                waiting = [(0, np.arange(len(mine)), 1.0)]
                 while waiting:
-                    at, rows = waiting.pop()
+                    at, rows, kept = waiting.pop()
                     if at < _NODES and np.isfinite(cuts[at]):
                         p = x[rows] @ _direction(int(node), at, int(turns[at]), x.shape[1])
-                        waiting += [(2 * at + 1, rows[p <= cuts[at] + side]), (2 * at + 2, rows[p > cuts[at] - side])]
+                        kept *= 1 - float(losses[at])
+                        waiting += [(2 * at + 1, rows[p <= cuts[at] + side], kept), (2 * at + 2, rows[p > cuts[at] - side], kept)]
                         continue
                     done = at < _NODES  # below the last level of this round a node may go on
-                    leaf = {"node": _child(int(node), at), "done": done}
+                    leaf = {"node": _child(int(node), at), "done": done, "kept": kept}
                     for r in rows:
                         out[mine[r]].append(leaf)
             yield pd.Series(out)
@@ -155,6 +189,23 @@ def _compare(threshold: float):
     return run
 
 
+def _grow(classes: DataFrame, first: int, last: int, leaf_rows: int, threshold: float, node_sample: int) -> DataFrame:
+    """rep, size, vec, tree, node and kept (the estimated chance that a pair is still together)
+    of every row in every leaf of the trees of these numbers."""
+    trees = classes.select("rep", "size", "vec", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("tree"))
+    spread = trees.select("*", F.xxhash64("tree", F.size("vec")).alias("node"), F.lit(False).alias("done"), F.lit(1.0).alias("kept"))
+    while True:
+        full = materialize(spread.where(~F.col("done")).groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > leaf_rows))
+        if full.limit(1).count() == 0:
+            return spread.drop("done")
+        drawn = spread.where(~F.col("done")).join(full, "node").where(F.pmod(F.xxhash64("rep", "node"), F.lit(1 << 30)) < F.lit(float(node_sample << 30)) / F.col("n"))
+        fitted = materialize(drawn.select("node", "n", "vec").groupBy("node").applyInPandas(_fit(leaf_rows, threshold), "node long, tree binary").withColumnRenamed("tree", "cuts"))
+        open_rows = spread.where(~F.col("done")).join(fitted, "node")
+        routed = open_rows.withColumn("to", F.explode(_route(threshold)("vec", "node", "cuts"))).select("rep", "size", "vec", "tree", "to.node", "to.done", (F.col("kept") * F.col("to.kept")).alias("kept"))
+        settled = spread.join(fitted.select("node").withColumn("_open", F.lit(True)), "node", "left").where("done OR _open IS NULL").select("rep", "size", "vec", "tree", "node", F.lit(True).alias("done"), "kept")
+        spread = materialize(routed.union(settled))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, leaf_rows: int = 256, node_sample: int = 2000, block_rows: int = 512, recall: float = 0.999) -> DataFrame:
     """vectors (vec_id, embedding) -> vec_id, n_links, component_id, kept; one row per vector."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
@@ -172,18 +223,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, leaf_rows: int =
     depth = max(0.0, np.log2(max(1, n) / leaf_rows))
     together = 0.93**depth  # a tree's chance to keep a pair at the threshold in one leaf
     trees = 1 if depth == 0 else max(2, int(np.ceil(np.log(1 - recall) / np.log(1 - min(together, 0.999)))))
-    nodes = F.transform(F.sequence(F.lit(1), F.lit(trees)), lambda t: F.xxhash64(t, F.size("vec")))
-    spread = classes.select("rep", "size", "vec", F.explode(nodes).alias("node"), F.lit(False).alias("done"))
+    spread = _grow(classes, 1, trees, leaf_rows, threshold, node_sample)
     while True:
-        full = materialize(spread.where(~F.col("done")).groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > leaf_rows))
-        if full.limit(1).count() == 0:
+        chance = spread.groupBy("rep", "tree").agg(F.least(F.avg("kept"), F.lit(1 - 1e-9)).alias("kept"))
+        missed = chance.groupBy("rep").agg(F.avg(F.log1p(-F.col("kept"))).alias("missed")).agg(F.max("missed")).first()[0]
+        needed = 1 if missed is None else int(np.ceil(np.log(1 - recall) / missed))
+        if needed <= trees:
             break
-        drawn = spread.where(~F.col("done")).join(full, "node").where(F.pmod(F.xxhash64("rep", "node"), F.lit(1 << 30)) < F.lit(float(node_sample << 30)) / F.col("n"))
-        fitted = materialize(drawn.select("node", "n", "vec").groupBy("node").applyInPandas(_fit(leaf_rows, threshold), "node long, tree binary"))
-        open_rows = spread.where(~F.col("done")).join(fitted, "node")
-        routed = open_rows.withColumn("to", F.explode(_route(threshold)("vec", "node", "tree"))).select("rep", "size", "vec", "to.node", "to.done")
-        settled = spread.join(fitted.select("node").withColumn("_open", F.lit(True)), "node", "left").where("done OR _open IS NULL").select("rep", "size", "vec", "node", F.lit(True).alias("done"))
-        spread = materialize(routed.union(settled))
+        spread = spread.union(_grow(classes, trees + 1, needed, leaf_rows, threshold, node_sample))
+        trees = needed
 
     leaves = materialize(spread.groupBy("rep").agg(F.collect_set("node").alias("leaves")))
     blocks = materialize(spread.groupBy("node").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks")).where("blocks > 1"))

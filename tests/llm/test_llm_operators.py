@@ -353,6 +353,18 @@ def test_embedding_links_equal_brute_force(spark):
     assert embedding_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embedding_links_of_a_large_group_are_kept(spark):
+    r = np.random.default_rng(8)
+    x = r.standard_normal((3000, 64))
+    x[:1000] = x[0] / np.linalg.norm(x[0]) * np.sqrt(0.92) + np.sqrt(0.08 / 64) * r.standard_normal((1000, 64))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= 0.9
+    np.fill_diagonal(links, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = embedding_dedup.near_duplicates(df, leaf_rows=16).agg(F.sum("n_links")).first()[0]
+    assert 0.999 * links.sum() <= got <= links.sum()
+
+
 # --- 9: packing --------------------------------------------------------------------------
 
 
