@@ -107,6 +107,17 @@ def test_repeated_runs_go_where_structure_is_open(spark):
     assert all(boiler in t for t in extracted(spark, pages[:2]).values())  # two pages are no proof
 
 
+def test_runs_are_counted_over_all_shards_of_a_host(spark):
+    rare, twice = "this notice stands on three pages of the whole host only", "this passage stands on one page and on its exact copy"
+    pages = [page(i, f"<body><p>{made(i, 30, 100000)}</p><div>{rare if i < 3 else ''}</div></body>") for i in range(40)]
+    pages += [page(i, f"<body><p>{made(99, 30, 100000)}</p><div>{twice}</div></body>") for i in range(40, 48)]
+    pages += [page(50, f"<article>{rare}</article>"), page(51, f"<body>{rare}</body>", "http://other.example.com/")]
+    got = extracted(spark, pages, shard_pages=4)
+    assert got == extracted(spark, pages)
+    assert all(got[i] == made(i, 30, 100000) for i in range(3)) and all(twice in got[i] for i in range(40, 48))
+    assert got[50] == got[51] == rare
+
+
 def test_repeated_equals_brute_force():
     r = np.random.default_rng(3)
     for _ in range(30):
