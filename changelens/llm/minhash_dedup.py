@@ -260,13 +260,13 @@ def _verify(likely: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
 
     @F.pandas_udf("boolean")
     def linked(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        recent: OrderedDict[int, np.ndarray] = OrderedDict()  # leaders come up again and again
+        recent: OrderedDict[tuple[int, str], np.ndarray] = OrderedDict()  # leaders come up again and again
 
         def of(doc: int, text: str) -> np.ndarray:
-            found = recent.pop(doc, None)
+            found = recent.pop((doc, text), None)  # a doc_id can repeat with another text
             if found is None:
                 found = shingle_set(text.encode("utf-8", "surrogatepass"), shingle)
-            recent[doc] = found
+            recent[doc, text] = found
             if len(recent) > 32:
                 recent.popitem(last=False)
             return found

@@ -29,16 +29,29 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality.score(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written so that it stays the row's; a doc_id can be
+    null or repeat."""
+    return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id stays of each group, on five-word shingles."""
-    gone = minhash_dedup.near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id")
-    return docs.join(materialize(gone), "doc_id", "left_anti").select(*COLUMNS)
+    """One row stays of each group, on five-word shingles: that of the smallest doc_id, where
+    a null comes last."""
+    rows = _numbered(docs)
+    found = minhash_dedup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
+    groups = found.where("NOT kept").select("component_id").distinct()
+    members = materialize(found.select(F.col("doc_id").alias("row"), "component_id").join(groups, "component_id").join(rows.select("row", "doc_id"), "row"))
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    gone = materialize(members.select("row").join(first.select("first.row"), "row", "left_anti"))
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain an item of `benchmark` go."""
-    leaks = materialize(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    rows = _numbered(docs)
+    leaks = materialize(decontaminate.contaminated(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct())
+    return rows.join(leaks, "row", "left_anti").select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

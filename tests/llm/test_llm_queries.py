@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
+from changelens.llm import minhash_dedup
 from changelens.llm.registry import ORACLES, QUERIES
 from tests.llm.test_llm_operators import grams, linked
 from tests.test_queries import TABLES, rows
@@ -67,3 +68,21 @@ def test_pipeline_stages(spark):
     good = seen["quality"][0].join(labels.where("quality = 1"), "doc_id").count()
     assert seen["quality"][1].join(labels.where("quality = 1"), "doc_id").count() >= 0.99 * good
     assert seen["quality"][1].join(labels.where("quality = 0"), "doc_id").count() <= 2
+
+
+def test_pipeline_decides_by_row(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 0").first()["text"]
+    base, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(None, base), (3, base + " end"), (2, base), (2, base), (2, other), (None, other), (None, item), (9, item), (9, "quite another text of this number"), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs.where("text LIKE 'a0 %' OR text LIKE 'b0 %'"), SF).collect()]
+    assert sorted(kept) == [(2, base), (2, other)]
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminate_benchmark(spark, docs, SF).collect()]
+    assert kept.count((9, item)) == kept.count((None, item)) == 0 and len(kept) == len(rows) - 2
+
+
+def test_verify_takes_each_text_of_a_repeated_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b)], "doc_id long, text string").coalesce(1)
+    likely = spark.createDataFrame([(1, 2), (1, 3)], "x long, y long").coalesce(1)
+    assert sorted(tuple(r) for r in minhash_dedup._verify(likely, docs, 5, 80).collect()) == [(1, 2), (1, 3)]
