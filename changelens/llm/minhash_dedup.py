@@ -9,12 +9,13 @@
    dropped once the posterior probability of reaching the threshold is below `miss`.
 4. Survivors are verified on their full shingle sets.
 
-All pairs of a large bucket are never listed. Each round ties the members of a bucket to one
-leader of it (another for each round and bucket) and joins what is verified into components.
-What is left then are buckets that still hold several components; there, every pair of
-members of different components is compared within tasks, in blocks, and only survivors
-become rows. So no link between two components is lost, and a large group of near copies
-costs rows in proportion to its size.
+All pairs of a large bucket are never listed. In each round every bucket names a leader (the
+least of a hash that changes with the round), every member takes the one leader it shares most
+buckets with, and what is verified is joined into components: a pair a member at most. What is
+left then are buckets that still hold several components; there, every pair of members of
+different components is compared within tasks, in blocks, and only survivors become rows, a
+few a member at most. So no link between two components is lost, and a large group of near
+copies costs rows in proportion to its size.
 
 Defined results: words are runs of anything but ASCII white space, with A-Z lower-cased; a
 text of fewer words than a shingle is one shingle; a null text or one without words has no
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from changelens.llm.common import arrow_rows, bounded, connected_components, hand_back, materialize, mix64, release, shingle_set, table
 
-_CROWDED = 4  # survivors per row beyond which a group is verified where it is
+_CROWDED = 4  # survivors per member, over all its groups, beyond which groups are verified where they are
 BATCH = 40  # hashes compared at a time
 _BROADCAST_IDS = 1_000_000  # ids of 8 bytes: some 20 MB as a hash relation
 
@@ -158,18 +159,21 @@ def _across(rows: DataFrame, reps: DataFrame, docs: DataFrame, floors: list[tupl
 
     The members outside a bucket's largest component are compared with all its members, in
     blocks; a group is one block against another. A pair counts in the first bucket that its
-    members share. Sizes and signatures leave some pairs in the race. If a group has few of them for
-    its rows they are returned; a dense group gets its texts and is verified where it is,
-    so rows stay in proportion to members.
+    members share. Sizes and signatures leave some pairs in the race. Each member has
+    _CROWDED pairs to give, in equal parts to its groups; a group with no more pairs than its
+    members give returns them, any other gets its texts and is verified where it is. So rows
+    stay in proportion to members.
     """
     parts = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("k"), F.sum("n").alias("n")).where("k > 1")
     count = lambda n: F.ceil(n / F.lit(block)).cast("int")
     mixed = materialize(mixed.select("bucket", F.col("top.comp").alias("major"), count(F.col("n")).alias("all_blocks"), count(F.col("n") - F.col("top.n")).alias("minor_blocks")))
-    sized = rows.join(mixed, "bucket").join(reps.select("doc_id", "sig", F.col("n_shingles").alias("size")), "doc_id")
+    inside = materialize(rows.join(mixed, "bucket"))
+    gives = inside.groupBy("doc_id").agg((F.lit(float(_CROWDED)) / F.sum(F.when(F.col("comp") == F.col("major"), F.col("minor_blocks")).otherwise(F.col("minor_blocks") + F.col("all_blocks")))).alias("gives"))
+    sized = inside.join(gives, "doc_id").join(reps.select("doc_id", "sig", F.col("n_shingles").alias("size")), "doc_id")
     place = lambda n: F.pmod(F.xxhash64("doc_id", "bucket"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ("bucket", "band", "doc_id", "comp", "major", "sig", "size")
+    columns = ("bucket", "band", "doc_id", "comp", "major", "gives", "sig", "size")
     minor = sized.where("comp <> major").select(*columns, F.lit(True).alias("minor"), place("minor_blocks").alias("b1"), each("all_blocks").alias("b2"))
     every = sized.select(*columns, F.lit(False).alias("minor"), each("minor_blocks").alias("b1"), place("all_blocks").alias("b2"))
     dealt = minor.unionByName(every)
@@ -222,7 +226,7 @@ def _across(rows: DataFrame, reps: DataFrame, docs: DataFrame, floors: list[tupl
         out: list[tuple] = []
         for g, sig in groups(batches):
             i, j = compare(g, sig)
-            if i.size > _CROWDED * len(g):
+            if i.size > max(1.0, g["gives"].sum()):
                 out.append((None, None, *(int(v) for v in g[group].iloc[0])))
             elif i.size:
                 doc = g["doc_id"].to_numpy()
@@ -313,9 +317,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
             rowset = members.join(comps, members["doc_id"] == comps["node"], "left").select("bucket", "band", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
         rowset = materialize(rowset)
         if turn < star_rounds:
-            lead = F.min(F.struct(F.xxhash64("doc_id", "bucket", F.lit(turn)).alias("h"), "doc_id", "comp")).alias("lead")
+            lead = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), "doc_id", "comp")).alias("lead")
             leaders = materialize(rowset.groupBy("bucket").agg(lead, F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket", "lead"))
-            pairs = rowset.join(leaders, "bucket").where("comp <> lead.comp").select(F.least("doc_id", "lead.doc_id").alias("x"), F.greatest("doc_id", "lead.doc_id").alias("y")).distinct()
+            met = rowset.join(leaders, "bucket").where("comp <> lead.comp").groupBy("doc_id", F.col("lead.h").alias("h"), F.col("lead.doc_id").alias("to")).agg(F.count("*").alias("n"))
+            chosen = met.groupBy("doc_id").agg(F.min(F.struct(-F.col("n"), "h", "to")).alias("best"))
+            pairs = chosen.select(F.least("doc_id", "best.to").alias("x"), F.greatest("doc_id", "best.to").alias("y")).distinct()
             if compared is not None:
                 pairs = pairs.join(compared, ["x", "y"], "left_anti")
             pairs = materialize(pairs)
