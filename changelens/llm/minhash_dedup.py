@@ -220,7 +220,8 @@ def _across(rows: DataFrame, reps: DataFrame, docs: DataFrame, floors: list[tupl
                 yield rows.iloc[a:b], sig[a:b]
 
     def found(parts: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(parts, columns=["x", "y", *group]).astype("Int64")
+        # Column by column: numbers beside nulls would pass through floats, which blur a bucket.
+        return pd.DataFrame({c: pd.array([p[k] for p in parts], dtype="Int64") for k, c in enumerate(("x", "y", *group))})
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
