@@ -3,16 +3,20 @@
 A text is a TF-IDF vector of hashed character 1- to 3-grams over its lower-cased letters
 (everything else is a word boundary), with length one. Each language has several centroids
 from spherical k-means over its labelled texts; a text takes the language of the centroid
-with the largest cosine. A text whose cosine falls well below what labelled texts of its
-length reach is rejected by distance.
+with the largest cosine. It is rejected by distance if that cosine is below the floor of the
+language and the text's length: the `quantile` of what labelled texts of the language and
+about that length reach, less `slack` of it (twice the slack for texts of under 512 n-grams,
+whose cosines scatter more).
 
 The model is fitted on at most about `fit_rows` labelled texts, dealt evenly over the
 languages and chosen by a hash; whole texts are used for fitting and for prediction.
 
 Defined results: a text that is null or has no letter gets `und`, score 0 and is rejected;
 rows of a null language are not learned from but are predicted; without any labelled text
-everything is `und`; ties go to the language that sorts first; repeated rows and extra
-columns pass through; an empty table gives an empty result.
+everything is `und`; ties go to the language that sorts first; a text shorter than all
+labelled ones of its language is not rejected by distance; repeated rows and extra columns
+pass through (but for lang_pred, score and rejected, which are replaced); an empty table gives
+an empty result; a null doc_id is not held out.
 """
 
 from __future__ import annotations
@@ -26,11 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm.common import crc_mod, hand_back, table
+from changelens.llm.common import bounded, crc_mod, hand_back, table
 
 DIM = 4096
 _CHUNK = 1 << 20
 _BLOCK = 256  # texts scored by one matrix product
+_CLASSES = 21  # of length
+_FLOOR_ROWS = 20
 
 
 @cache
@@ -71,13 +77,13 @@ def gram_counts(text: str | None) -> np.ndarray | None:
 
 
 def length_class(grams: int) -> int:
-    return min(int(grams).bit_length(), 20)
+    return min(int(grams).bit_length(), _CLASSES - 1)
 
 
 @dataclass(frozen=True)
 class Model:
     """idf of each hashed gram, unit centroids and their languages, and the least cosine
-    accepted per length class."""
+    accepted per centroid and length class."""
 
     idf: np.ndarray
     centroids: np.ndarray
@@ -104,7 +110,7 @@ class Model:
             best = cosines.argmax(axis=1)
             top = np.clip(cosines[np.arange(len(where)), best].astype(float), 0.0, 1.0)
             scores[where] = top
-            rejected[where] = top < self.floors[sizes]
+            rejected[where] = top < self.floors[best, sizes]
             for i, c in zip(where, best, strict=True):
                 langs[i] = self.owners[c]
         return langs, scores, rejected
@@ -137,17 +143,34 @@ def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
-def fit(labelled: DataFrame, fit_rows: int = 4000, clusters: int = 4, slack: float = 0.5) -> Model:
+def _floors(cosines: np.ndarray, sizes: np.ndarray, quantile: float, slack: float) -> np.ndarray:
+    """The least cosine accepted per length class, from those of labelled texts. A class needs
+    _FLOOR_ROWS texts in it and the classes beside it; others are interpolated."""
+    out = np.full(_CLASSES, np.nan)
+    for k in range(_CLASSES):
+        near = cosines[abs(sizes - k) <= 1]
+        if near.size >= _FLOOR_ROWS and (sizes == k).any():
+            out[k] = np.quantile(near, quantile) * (1 - slack * (2 if k < 10 else 1))
+    known = np.flatnonzero(~np.isnan(out))
+    if known.size == 0:
+        return np.zeros(_CLASSES)
+    out = np.interp(np.arange(_CLASSES), known, out[known])
+    out[: known[0]] = 0.0  # shorter than any class seen: distance tells nothing
+    return out
+
+
+def fit(labelled: DataFrame, fit_rows: int = 4000, clusters: int = 4, quantile: float = 0.005, slack: float = 0.15) -> Model:
     """Fit on the rows of labelled (text, lang, and a column doc_id that only draws the
     sample). At most about fit_rows texts are used, evenly over the languages."""
-    counts = {r["lang"]: r["n"] for r in labelled.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return Model(np.zeros(DIM, np.float32), np.zeros((0, DIM), np.float32), (), np.zeros(21))
-    share = fit_rows / len(counts)
-    cut = F.lit(0.0)
-    for lang, n in counts.items():
-        cut = F.when(F.col("lang") == lang, F.lit(min(1.0, share / n))).otherwise(cut)
-    drawn = labelled.where(F.col("lang").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < cut * (1 << 20)))
+    empty = Model(np.zeros(DIM, np.float32), np.zeros((0, DIM), np.float32), (), np.zeros((0, _CLASSES)))
+    labelled = labelled.select("doc_id", "text", "lang").where("lang IS NOT NULL")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    if languages == 0:
+        return empty
+    # Rows that share a doc_id, or have none, are drawn one by one.
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20))
+    drawn = labelled.join(bounded(counts, 100_000), "lang").where(place < F.lit(fit_rows / languages * (1 << 20)) / F.col("n"))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -163,7 +186,7 @@ def fit(labelled: DataFrame, fit_rows: int = 4000, clusters: int = 4, slack: flo
 
     rows = drawn.select("lang", "text").mapInPandas(vectors, "lang string, at binary, n binary").collect()
     if not rows:
-        return Model(np.zeros(DIM, np.float32), np.zeros((0, DIM), np.float32), (), np.zeros(21))
+        return empty
     rows.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
     x = np.zeros((len(rows), DIM), dtype=np.int32)
     for i, r in enumerate(rows):
@@ -172,18 +195,14 @@ def fit(labelled: DataFrame, fit_rows: int = 4000, clusters: int = 4, slack: flo
     sizes = np.array([length_class(s) for s in x.sum(axis=1)])
     v = weigh(x, idf)
     names = np.array([r["lang"] for r in rows])
-    parts = [(lang, _cluster(v[names == lang], clusters)) for lang in sorted(set(names))]
-    centroids = np.concatenate([c for _, c in parts]).astype(np.float32)
-    best = (v @ centroids.T).max(axis=1)
-    floors = np.full(21, np.nan)
-    for k in range(21):
-        if (sizes == k).sum() >= 5:
-            floors[k] = best[sizes == k].min() * (1 - slack)
-    known = np.flatnonzero(~np.isnan(floors))
-    floors = np.interp(np.arange(21), known, floors[known]) if known.size else np.zeros(21)
-    if known.size:
-        floors[: known[0]] = 0.0  # shorter than any class seen: distance tells nothing
-    return Model(idf, centroids, tuple(lang for lang, c in parts for _ in range(len(c))), floors)
+    centroids, owners, floors = [], [], []
+    for lang in sorted(set(names)):
+        mine = v[names == lang]
+        c = _cluster(mine, clusters)
+        centroids.append(c)
+        owners += [lang] * len(c)
+        floors += [_floors((mine @ c.T).max(axis=1), sizes[names == lang], quantile, slack)] * len(c)
+    return Model(idf, np.concatenate(centroids).astype(np.float32), tuple(owners), np.stack(floors))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -204,7 +223,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: the language of every document; a third of the labels is held out."""
     docs = table(spark, sf_dir, "documents")
-    held_out = crc_mod("doc_id", 3) == 1
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     model = fit(docs.where(~held_out).select("doc_id", "text", "lang"))
     found = predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
     return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
