@@ -24,21 +24,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share.
 
-    It lies under spark.checkpoint.dir as the session names it; where that is unset, as in
-    tests, a folder of the warehouse serves.
+    It lies under spark.checkpoint.dir as the session names it. Where that is unset, a folder
+    of the warehouse serves in local mode, as in tests; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_changelens"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends in files that every
-    executor sees, so a lost executor costs no recomputation."""
+    executor sees, so a lost executor costs no recomputation. What is not released goes when
+    the application ends: a result that is not computed yet may still read it."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stored_at = path
     return stored
