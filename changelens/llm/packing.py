@@ -1,19 +1,25 @@
 """Sequence packing by lexical retrieval.
 
-Documents become token ids with an end id. They are dealt to shards of about `shard_tokens`
-tokens by a hash; each shard is one group with a BM25 inverted index over its documents'
+Documents become token ids with an end id. The rarest term of a document that another one has
+too is its lexical key. Documents are dealt in the order of their keys to shards of about
+`shard_tokens` tokens, so that documents which share rare terms meet; a key of many documents
+takes as many shards as it needs. Each shard has a BM25 inverted index over its documents'
 token ids, whose document frequencies and mean length are those of the whole corpus.
 
-Whole windows of a long document are sequences of their own. Then, again and again, the
-first unused document is a seed; its strongest `query_terms` terms are the query, and the
-unused neighbours fill the seed's window by falling score (documents that share no such term
-come last, in order). The last one is cut where the window ends, and what is left of it
-stays unused. What remains at a shard's end, less than a window, is cut at powers of two. So
-no sequence needs padding.
+Whole windows of a long document are sequences of their own. Then, again and again, the first
+unused document is a seed; all its terms are the query, and the unused neighbours fill the
+seed's window by falling score (documents that share no term come last, in order). The last
+one is cut where the window ends, and what is left of it stays unused. What remains at a
+shard's end, less than a window, goes on to the next shard of the task; at the task's end it
+is cut at powers of two. So no sequence needs padding.
+
+Neighbours are sought in the seed's own shard: a search of all shards for every seed would
+grow with the square of the corpus. The README has the recall against all documents.
 
 Defined results: a null or empty text is a document of the end id alone; repeated rows are
-documents of their own; ties of score go to the smaller document; a null doc_id stays null;
-an empty table gives an empty result; extra columns are ignored.
+documents of their own; ties of score go to the smaller doc_id, nulls last, then to the
+earlier row; a null doc_id stays null; an empty table gives an empty result; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,13 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm.common import arrow_rows, materialize, table
+from changelens.llm.common import arrow_rows, hand_back, materialize, table
 from changelens.llm.tokens import token_ids
 
 _VOCABULARY = 1 << 16
+_MOST_TASKS = 20_000  # a task takes several shards beyond that
 
 
 def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -37,76 +46,98 @@ def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
     return ids.withColumn("n", F.expr("length(ids) div 2"))
 
 
+def _flat(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of an Arrow column of 16-bit numbers, and where each row begins."""
+    ids = ids.cast(pa.large_binary())
+    at = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset : ids.offset + len(ids) + 1]
+    return np.frombuffer(ids.buffers()[2], dtype="<u2")[at[0] // 2 : at[-1] // 2], (at - at[0]) // 2
+
+
 def document_frequencies(tokens: DataFrame) -> np.ndarray:
     """In how many documents each id occurs: one number per id of the vocabulary."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(_VOCABULARY, dtype=np.int64)
         for b in batches:
-            for ids in b["ids"]:
-                out[np.unique(np.frombuffer(ids, dtype="<u2"))] += 1
+            ids, at = _flat(b.column(0))
+            for i in range(at.size - 1):
+                mine = np.sort(ids[at[i] : at[i + 1]])
+                out[mine[np.concatenate(([True], mine[1:] != mine[:-1]))]] += 1
         found = np.flatnonzero(out)
-        yield pd.DataFrame({"id": found.astype(np.int32), "df": out[found]})
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(out[found])], ["id", "df"])
 
     out = np.zeros(_VOCABULARY, dtype=np.int64)
-    for r in tokens.select("ids").mapInPandas(count, "id int, df long").groupBy("id").agg(F.sum("df").alias("df")).collect():
+    for r in tokens.select("ids").mapInArrow(count, "id int, df long").groupBy("id").agg(F.sum("df").alias("df")).collect():
         out[r["id"]] = r["df"]
     return out
 
 
+def ranks(df: np.ndarray) -> np.ndarray:
+    """The place of each id among those that two documents have at least, rarest first; all
+    others come last."""
+    out = np.full(df.size, df.size, dtype=np.int32)
+    order = np.lexsort((np.arange(df.size), df))
+    order = order[df[order] >= 2]
+    out[order] = np.arange(order.size)
+    return out
+
+
 class _Index:
     """A BM25 inverted index over the documents of a shard."""
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float, k1: float = 1.2, b: float = 0.75) -> None:
-        terms, tf, owner = [], [], []
-        for i, ids in enumerate(docs):
-            t, c = np.unique(ids, return_counts=True)
-            terms.append(t)
-            tf.append(c)
-            owner.append(np.full(t.size, i))
-        self.at = np.concatenate(([0], np.cumsum([t.size for t in terms])))
-        term, tf, owner = np.concatenate(terms).astype(np.int64), np.concatenate(tf), np.concatenate(owner)
-        idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
         length = np.array([len(d) for d in docs])
+        owner = np.repeat(np.arange(len(docs)), length)
+        pairs, tf = np.unique(owner << 16 | np.concatenate(docs), return_counts=True)
+        owner, term = pairs >> 16, pairs & 0xFFFF
+        idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[owner] / mean))
-        self.term, self.weight = term, weight  # by document
-        order = np.argsort(term, kind="stable")
-        self.owners, self.weights = owner[order], weight[order]  # by term
-        self.starts = np.searchsorted(term[order], np.arange(_VOCABULARY + 1))
         self.n = len(docs)
-
-    def scores(self, doc: int, query_terms: int) -> np.ndarray:
-        a, b = self.at[doc], self.at[doc + 1]
-        terms = self.term[a:b]
-        if terms.size > query_terms:
-            terms = terms[np.argsort(-self.weight[a:b], kind="stable")[:query_terms]]
-        spans = [slice(self.starts[t], self.starts[t + 1]) for t in terms]
-        return np.bincount(np.concatenate([self.owners[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
-
-
-def _plan(lengths: np.ndarray, scores, window: int) -> list[tuple[int, int, int, int, int]]:
-    """(doc, start, length, sequence, offset) of each piece. scores(doc) ranks its neighbours."""
-    out, sequence = [], 0
-    start = np.zeros(len(lengths), dtype=np.int64)
-    for i, n in enumerate(lengths):
-        while n - start[i] >= window:
-            out.append((i, int(start[i]), window, sequence, 0))
+        self.at, self.term = np.searchsorted(owner, np.arange(self.n + 1)), term  # by document
+        order = np.argsort(term, kind="stable")
+        self.owners, self.weights, self.terms = owner[order], weight[order], term[order]  # by term
+        self.starts = np.searchsorted(self.terms, np.arange(_VOCABULARY + 1))
+
+    def keep(self, unused: np.ndarray) -> None:
+        """Drop the postings of documents that are used up."""
+        on = unused[self.owners]
+        self.owners, self.weights, self.terms = self.owners[on], self.weights[on], self.terms[on]
+        self.starts = np.searchsorted(self.terms, np.arange(_VOCABULARY + 1))
+
+    def scores(self, doc: int) -> np.ndarray:
+        """The score of every document for all terms of this one."""
+        terms = self.term[self.at[doc] : self.at[doc + 1]]
+        first, size = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+        places = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.owners[places], self.weights[places], self.n)
+
+
+def _windows(lengths: np.ndarray, start: np.ndarray, index: _Index, window: int, first: int = 0) -> tuple[list[tuple[int, int, int, int, int]], np.ndarray]:
+    """(doc, start, length, sequence, offset) of each piece of whole windows, and from where
+    on each document is left. start: what of a document is placed already."""
+    out, sequence = [], first
+    start = start.copy()
+    for i in np.flatnonzero(lengths - start >= window):
+        while lengths[i] - start[i] >= window:
+            out.append((int(i), int(start[i]), window, sequence, 0))
             start[i] += window
             sequence += 1
     left = lengths - start
     unused = left > 0
-    remaining = int(left.sum())
-    seed = 0
+    remaining, seed, indexed = int(left.sum()), 0, int(unused.sum())
     while remaining >= window:
         while not unused[seed]:
             seed += 1
-        rank = np.where(unused, scores(seed), -1.0)
-        rank[seed] = np.inf
-        few = np.argsort(-rank, kind="stable")
+        if unused.sum() < 0.8 * indexed:
+            index.keep(unused)
+            indexed = int(unused.sum())
+        rest = np.flatnonzero(unused)
+        rank = index.scores(seed)[rest]
+        rank[0] = np.inf  # the seed is the first that is unused
         offset = 0
-        for i in few:
+        for i in rest[np.argsort(-rank, kind="stable")].tolist():
             take = min(int(left[i]), window - offset)
-            out.append((int(i), int(start[i]), take, sequence, offset))
+            out.append((i, int(start[i]), take, sequence, offset))
             start[i] += take
             left[i] -= take
             unused[i] = left[i] > 0
@@ -115,8 +146,16 @@ def _plan(lengths: np.ndarray, scores, window: int) -> list[tuple[int, int, int,
                 break
         remaining -= window
         sequence += 1
+    return out, start
+
+
+def _powers(lengths: np.ndarray, start: np.ndarray, first: int) -> list[tuple[int, int, int, int, int]]:
+    """The pieces of what is left, in sequences that are powers of two long."""
+    out, sequence = [], first
+    left = lengths - start
+    remaining, start = int(left.sum()), start.copy()
     offset, size = 0, 1 << (remaining.bit_length() - 1) if remaining else 0
-    for i in np.flatnonzero(unused):
+    for i in np.flatnonzero(left):
         while left[i]:
             take = min(int(left[i]), size - offset)
             out.append((int(i), int(start[i]), take, sequence, offset))
@@ -129,46 +168,81 @@ def _plan(lengths: np.ndarray, scores, window: int) -> list[tuple[int, int, int,
     return out
 
 
-_PIECES = "doc_id long, null_id boolean, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-
-
-def pack(docs: DataFrame, window: int = 4096, shard_tokens: int = 2_000_000, query_terms: int = 32, path: str | None = None) -> DataFrame:
-    """docs (doc_id, text) -> one row per piece: doc_id, start, length, ids (little-endian
-    32-bit numbers), doc_tokens, sequence_id, offset."""
-    with arrow_rows(docs.sparkSession, 2000):
-        tokens = materialize(tokenize(docs, path))
-    df = docs.sparkSession.sparkContext.broadcast(document_frequencies(tokens))  # one number per id of the vocabulary
-    total, n_docs = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    shards = max(1, -(-total // shard_tokens))
-    mean = total / max(1, n_docs)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "null_id", "ids"], ignore_index=True)
-        ids = [np.frombuffer(x, dtype="<u2") for x in group["ids"]]
-        index = _Index(ids, df.value, n_docs, mean)
-        pieces = _plan(np.array([x.size for x in ids]), lambda doc: index.scores(doc, query_terms), window)
-        who = [p[0] for p in pieces]
+class _Shards:
+    """Packs the rows of one task, shard after shard."""
+
+    def __init__(self, df: np.ndarray, n_docs: int, mean: float, window: int) -> None:
+        self.df, self.n_docs, self.mean, self.window = df, n_docs, mean, window
+        self.rest: list[tuple[int | None, int, np.ndarray, int]] = []  # doc_id, row, ids, start
+        self.sequence = TaskContext.get().partitionId() << 32
+
+    def pack(self, rows: list[tuple[int | None, int, np.ndarray, int]], last: bool) -> pd.DataFrame:
+        rows = sorted(self.rest + rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        ids, lengths = [r[2] for r in rows], np.array([r[2].size for r in rows], dtype=np.int64)
+        start = np.array([r[3] for r in rows], dtype=np.int64)
+        pieces: list[tuple[int, int, int, int, int]] = []
+        if rows:
+            pieces, start = _windows(lengths, start, _Index(ids, self.df, self.n_docs, self.mean), self.window, self.sequence)
+        self.sequence = pieces[-1][3] + 1 if pieces else self.sequence
+        if last:
+            pieces += _powers(lengths, start, self.sequence)
+        self.rest = [(r[0], r[1], r[2], int(s)) for r, s in zip(rows, start, strict=True) if s < r[2].size]
         return pd.DataFrame(
             {
-                "doc_id": group["doc_id"].to_numpy()[who],
-                "null_id": group["null_id"].to_numpy()[who],
+                "doc_id": pd.array([rows[p[0]][0] for p in pieces], dtype="Int64"),
                 "start": [p[1] for p in pieces],
                 "length": [p[2] for p in pieces],
                 "ids": [ids[d][s : s + n].astype("<u4").tobytes() for d, s, n, _, _ in pieces],
-                "doc_tokens": [ids[d].size for d in who],
-                "sequence_id": np.array([p[3] for p in pieces], dtype=np.int64) + (int(group["shard"].iloc[0]) << 32),
+                "doc_tokens": [ids[p[0]].size for p in pieces],
+                "sequence_id": [p[3] for p in pieces],
                 "offset": [p[4] for p in pieces],
             }
         )
 
-    dealt = tokens.select(
-        F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"),
-        F.col("doc_id").isNull().alias("null_id"),
-        "ids",
-        F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).alias("shard"),
-    )
-    pieces = dealt.groupBy("shard").applyInPandas(run, _PIECES)
-    return pieces.select(F.when(~F.col("null_id"), F.col("doc_id")).alias("doc_id"), "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
+
+_PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+
+
+def deal(tokens: DataFrame, df: np.ndarray, total: int, shard_tokens: int) -> DataFrame:
+    """tokens (doc_id, ids) with their row, in partitions of about shard_tokens tokens, by the
+    rarest term of each that two documents have."""
+    shared = tokens.sparkSession.sparkContext.broadcast(ranks(df))  # one number per id of the vocabulary
+
+    @F.arrow_udf("int")
+    def key(column: pa.Array) -> pa.Array:
+        ids, at = _flat(column)
+        return pa.array(np.minimum.reduceat(shared.value[ids], at[:-1]) if len(column) else np.zeros(0, dtype=np.int32))
+
+    tasks = min(_MOST_TASKS, max(1, -(-total // shard_tokens)))
+    keyed = tokens.select("doc_id", "ids", key("ids").alias("key"), F.monotonically_increasing_id().alias("row"))
+    return keyed.repartitionByRange(tasks, "key", "row").sortWithinPartitions("key", "row").select("doc_id", "row", "ids")
+
+
+def pack(docs: DataFrame, window: int = 4096, shard_tokens: int = 2_000_000, path: str | None = None) -> DataFrame:
+    """docs (doc_id, text) -> one row per piece: doc_id, start, length, ids (little-endian
+    32-bit numbers), doc_tokens, sequence_id, offset."""
+    spark = docs.sparkSession
+    with arrow_rows(spark, 2000):
+        tokens = materialize(tokenize(docs, path))
+    total, n_docs = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    mean = total / max(1, n_docs)
+    df = document_frequencies(tokens)
+    shared = spark.sparkContext.broadcast(df)  # one number per id of the vocabulary
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shards = _Shards(shared.value, n_docs, mean, window)
+        held, size = [], 0
+        for b in batches:
+            for doc, row, ids in zip(b["doc_id"], b["row"], b["ids"], strict=True):
+                held.append((None if pd.isna(doc) else int(doc), row, np.frombuffer(ids, dtype="<u2"), 0))
+                size += held[-1][2].size
+                if size >= 1.5 * shard_tokens:
+                    yield shards.pack(held, last=False)
+                    held, size = [], 0
+        yield shards.pack(held, last=True)
+        hand_back()
+
+    return deal(tokens, df, total, shard_tokens).mapInPandas(run, _PIECES)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

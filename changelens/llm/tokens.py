@@ -1,19 +1,25 @@
-"""Token ids of texts by a public tokenizer file, with a cache of words.
+"""Token ids of texts by a public tokenizer file, whole Arrow batches at a time.
 
 The tokenizer drops white space and no token spans it, so a text's ids are those of its
-white-space chunks in a row. Chunks come up again and again; their ids are kept (the first
-`cache_chunks` of them). A chunk of Latin letters and one mark at most goes to the
-tokenizer's model directly, any other through its whole chain.
+white-space chunks in a row. The chunks of a batch are dictionary-encoded, each distinct one
+gets its ids once, and the ids of all texts are gathered from them by position.
+
+A chunk of Latin letters with a run of marks behind it is two pieces that the tokenizer would
+cut it into anyway; new pieces are lower-cased and go through the tokenizer's own model in one
+call, without its normaliser. Any other chunk goes through the whole chain. The ids of the
+first `cache_chunks` chunks and pieces are kept for later batches.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,55 +27,123 @@ from changelens.llm.common import hand_back
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
-# Python's split also cuts at these; the tokenizer does not.
-_ODD = re.compile("[\x1c-\x1f]")
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")  # letters, then marks but no apostrophe
+_LONGEST = 64  # longer chunks are not kept
+_SLICE = 8 << 20  # bytes of text whose chunks are looked up at a time
 
 
-class Encoder(dict):
-    """chunk -> its ids as little-endian 16-bit numbers."""
+class Encoder:
+    """Ids of texts as little-endian 16-bit numbers."""
 
-    def __init__(self, path: str, cache_chunks: int = 150_000) -> None:
+    def __init__(self, path: str, cache_chunks: int = 600_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.cache_chunks = cache_chunks
-        self.pieces: dict[str, bytes] = {}
-        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        simple = [chr(c) for c in range(256) if _SIMPLE.fullmatch(chr(c)) or chr(c) in ".,;:!?"]
-        self.signs = str.maketrans({c: "".join(p for p, _ in level.pre_tokenize_str(c)) for c in simple})
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            found = np.array([t.id for t in self.model.tokenize(piece.translate(self.signs))], dtype="<u2").tobytes()
-            if len(self.pieces) < self.cache_chunks:
-                self.pieces[piece] = found
-        return found
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        m = _SIMPLE.fullmatch(chunk)
-        if m:
-            ids = self._piece(m[1].lower()) + (self._piece(m[2]) if m[2] else b"")
-        else:
-            ids = self._whole(chunk)
-        if len(self) < self.cache_chunks:
-            self[chunk] = ids
-        return ids
+        self.plain = Tokenizer(self.tokenizer.model)  # for pieces that are normal and cut already
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # A special token within such a chunk would itself be letters with marks behind.
+        special = any(_SIMPLE.fullmatch(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.simple = (lambda chunk: None) if special else _SIMPLE.fullmatch
+        self.cache_chunks = cache_chunks
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def _model(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces without white space, by one call."""
+        found = self.plain.encode(" ".join(pieces), add_special_tokens=False)
+        ids, words = np.array(found.ids, dtype="<u2"), np.array(found.word_ids, dtype=np.int64)
+        cuts = np.searchsorted(words, np.arange(len(pieces) + 1))
+        raw = ids.tobytes()
+        return [raw[2 * a : 2 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def _new(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks that are not kept yet."""
+        known, missing, odd = self.pieces, {}, []
+        parts: list[tuple[str, str] | None] = []
+        for c in chunks:
+            m = self.simple(c)
+            if m is None:
+                parts.append(None)
+                odd.append(c)
+                continue
+            letters, marks = m[1].lower(), m[2]
+            parts.append((letters, marks))
+            if letters not in known:
+                missing[letters] = b""
+            if marks not in known:
+                missing[marks] = b""
+        if missing:
+            missing = dict(zip(missing, self._model(list(missing)), strict=True))
+            room = self.cache_chunks - len(known)
+            known.update(itertools.islice(((p, ids) for p, ids in missing.items() if len(p) <= _LONGEST), max(0, room)))
+        whole = iter(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)) if odd else iter(())
+        out = []
+        for both in parts:
+            if both is None:
+                out.append(np.array(next(whole).ids, dtype="<u2").tobytes())
+            else:
+                letters, marks = both
+                ids = known.get(letters)
+                if ids is None:
+                    ids = missing[letters]
+                if marks:
+                    more = known.get(marks)
+                    ids += missing[marks] if more is None else more
+                out.append(ids)
+        return out
+
+    def _distinct(self, chunks: list[str]) -> list[bytes]:
+        out = list(map(self.chunks.get, chunks))
+        at = [i for i, ids in enumerate(out) if ids is None]
+        if at:
+            new = self._new([chunks[i] for i in at])
+            for i, ids in zip(at, new, strict=True):
+                out[i] = ids
+                if len(self.chunks) < self.cache_chunks and len(chunks[i]) <= _LONGEST:
+                    self.chunks[chunks[i]] = ids
+        return out
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text begins (and the last one ends).
+        A null text has no ids."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        split = pc.ascii_split_whitespace(texts)
+        # White space at an end leaves an empty chunk, which has no ids.
+        coded = split.flatten().dictionary_encode()
+        found = self._distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 1
+        pool = np.frombuffer(b"".join(found), dtype="<u2")
+        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1] if sizes.size else sizes
+        use = coded.indices.to_numpy()
+        lengths = sizes[use]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if ends.size else 0
+        ids = pool[np.repeat(starts[use] - (ends - lengths), lengths) + np.arange(total)]
+        bounds = np.asarray(split.offsets) - split.offsets[0].as_py()
+        return ids, np.concatenate(([0], ends))[bounds]
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return self._whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return self.encode_batch(pa.array([text], pa.string()))[0].tobytes()
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """texts in parts of about _SLICE bytes."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + _SLICE, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def with_end(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Each text's ids with END_ID behind them, as binary values."""
+    ended = np.insert(ids, bounds[1:], np.uint16(END_ID)).astype("<u2", copy=False)
+    at = (bounds + np.arange(bounds.size)) * 2
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), bounds.size - 1, [None, pa.py_buffer(at.astype(np.int64).tobytes()), pa.py_buffer(ended.tobytes())]).cast(pa.binary())
 
 
 @cache
@@ -87,12 +161,12 @@ def token_ids(text: str, path: str | None = None) -> Column:
     """The ids of the text column as little-endian 16-bit numbers, END_ID last. The path is
     one that executors can open; the default is looked up on each executor."""
 
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(path or default_path())
-        end = np.array([END_ID], dtype="<u2").tobytes()
         for texts in batches:
-            yield pd.Series([encoder.encode(t) + end for t in texts], dtype=object)
+            parts = [with_end(*encoder.encode_batch(part)) for part in _slices(texts)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
         hand_back()
 
     return run(text)
