@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PARSED = (
@@ -75,8 +76,9 @@ def python_parsed(content: Column) -> Column:
     return run(content)
 
 
-_BRANCHES = (ast.If, ast.For, ast.While, ast.Try, ast.ExceptHandler, ast.IfExp, ast.BoolOp, ast.Match)
-_NESTS = (ast.If, ast.For, ast.While, ast.Try, ast.With, ast.ExceptHandler, ast.Match)
+# The nodes that count as branches, and those that count as nesting.
+_BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.ExceptHandler, ast.IfExp, ast.BoolOp, ast.Match)
+_NESTS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.Match)
 
 
 def python_shape(text: str | None) -> tuple[int, int, int]:
@@ -106,35 +108,9 @@ def python_complexity(content: Column) -> Column:
     return run(content)
 
 
-# --- scripts: built-in regular expressions -----------------------------------------------
-
-
-def js_imports(content: Column) -> Column:
-    """The modules of import statements and require calls, in order of kind."""
-    made = F.regexp_extract_all(content, F.lit(r"(?m)^\s*import\b[^;'\"]*['\"]([^'\"]+)['\"]"), F.lit(1))
-    required = F.regexp_extract_all(content, F.lit(r"\b(?:const|let|var)\s+[\w${}, ]+\s*=\s*require\(\s*['\"]([^'\"]+)['\"]\s*\)"), F.lit(1))
-    return F.concat(made, required)
-
-
-def js_exports(content: Column) -> Column:
-    """Names that are exported: defaults, functions, classes, constants, lists."""
-    one = F.regexp_extract_all(content, F.lit(r"\bexport\s+(?:default\s+)?(?:async\s+)?(?:function\s*\*?|class|const|let|var)\s+([\w$]+)"), F.lit(1))
-    named_default = F.regexp_extract_all(content, F.lit(r"\bexport\s+default\s+(?!function\b|class\b|async\b)([\w$]+)"), F.lit(1))
-    lists = F.regexp_extract_all(content, F.lit(r"\bexport\s+\{([^}]+)\}"), F.lit(1))
-    split = F.flatten(F.transform(lists, lambda x: F.split(x, ",")))
-    listed = F.filter(F.transform(split, lambda x: F.trim(F.element_at(F.split(F.trim(x), r"\s+as\s+"), 1))), lambda x: x != "")
-    return F.array_distinct(F.concat(one, named_default, listed))
-
-
-def js_symbols(content: Column) -> Column:
-    """Names of functions, classes and functions assigned to a name."""
-    declared = F.regexp_extract_all(content, F.lit(r"\b(?:function\s*\*?|class)\s+([\w$]+)"), F.lit(1))
-    assigned = F.regexp_extract_all(content, F.lit(r"\b(?:const|let|var)\s+([\w$]+)\s*=\s*(?:async\s*)?(?:function\b|\(?[^=;()]*\)?\s*=>)"), F.lit(1))
-    return F.array_distinct(F.concat(declared, assigned))
-
-
 # --- unified diffs: lines, then windows and grouping --------------------------------------
 
+# The lines of a diff that git writes.
 _HEADER = r"^diff --git a/(.*?) b/(.*)$"
 _HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 
@@ -142,38 +118,41 @@ _HUNK = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
 def parse_diffs(diffs: DataFrame, merged: bool = False) -> DataFrame:
     """diffs (diff_id, text) -> diff_id, seq, path, old_path, change_type, ranges.
 
-    A diff is folded over its lines by one expression, so nothing is shuffled. Hunks without
-    new lines give no range; `merged` joins ranges that overlap or touch.
+    The lines that matter are numbered by file, a running count of the headers of their diff,
+    and grouped; so the work grows with the lines, however many files a diff has. Hunks
+    without new lines give no range; `merged` joins ranges that overlap or touch.
     """
-    none = F.array().cast("array<struct<start: int, end: int>>")
-    file_type = "struct<path: string, old_path: string, change_type: string, ranges: array<struct<start: int, end: int>>>"
-    files0 = F.array().cast(f"array<{file_type}>")
-
-    def fresh(path: Column, old: Column, kind: Column, ranges: Column) -> Column:
-        return F.struct(path.alias("path"), old.alias("old_path"), kind.alias("change_type"), ranges.alias("ranges"))
-
-    def step(files: Column, line: Column) -> Column:
-        last = F.try_element_at(files, F.lit(-1))
-        before = F.slice(files, F.lit(1), F.greatest(F.size(files) - 1, F.lit(0)))
-
-        def put(**new: Column) -> Column:
-            return F.concat(before, F.array(fresh(*[new.get(n, last[n]) for n in ("path", "old_path", "change_type", "ranges")])))
-
-        start = F.regexp_extract(line, _HUNK, 1).try_cast("int")
-        length = F.coalesce(F.nullif(F.regexp_extract(line, _HUNK, 2), F.lit("")).try_cast("int"), F.lit(1))
-        return (
-            F.when(line.rlike(_HEADER), F.concat(files, F.array(fresh(F.regexp_extract(line, _HEADER, 2), F.regexp_extract(line, _HEADER, 1), F.lit("modified"), none))))
-            .when(F.size(files) == 0, files)
-            .when(line.startswith("new file mode"), put(change_type=F.lit("added")))
-            .when(line.startswith("deleted file mode"), put(path=last["old_path"], change_type=F.lit("deleted")))
-            .when(line.startswith("rename from "), put(old_path=F.trim(F.substring(line, 13, 100000)), change_type=F.lit("renamed")))
-            .when(line.startswith("rename to "), put(path=F.trim(F.substring(line, 11, 100000))))
-            .when(line.rlike(_HUNK) & (length > 0), put(ranges=F.concat(last["ranges"], F.array(F.struct(start.alias("start"), (start + length - 1).alias("end"))))))
-            .otherwise(files)
+    lines = diffs.select("diff_id", F.posexplode(F.split("text", r"\r?\n")).alias("pos", "line"))
+    line = F.col("line")
+    kind = (
+        F.when(line.rlike(_HEADER), "header").when(line.startswith("new file mode"), "added").when(line.startswith("deleted file mode"), "deleted")
+        .when(line.startswith("rename from "), "from").when(line.startswith("rename to "), "to").when(line.rlike(_HUNK), "hunk")
+    )
+    lines = lines.withColumn("kind", kind).where("kind IS NOT NULL")
+    place = F.sum(F.when(F.col("kind") == "header", 1).otherwise(0)).over(W.partitionBy("diff_id").orderBy("pos")) - 1
+    start = F.regexp_extract(line, _HUNK, 1).try_cast("int")
+    length = F.coalesce(F.nullif(F.regexp_extract(line, _HUNK, 2), F.lit("")).try_cast("int"), F.lit(1))
+    of = lambda *kinds: F.col("kind").isin(*kinds)
+    hunk = F.when(of("hunk") & (length > 0), F.struct("pos", start.alias("start"), (start + length - 1).alias("end")))
+    grouped = (
+        lines.withColumn("seq", place)
+        .where("seq >= 0")
+        .groupBy("diff_id", F.col("seq").cast("int").alias("seq"))
+        .agg(
+            F.max(F.when(of("header"), F.regexp_extract(line, _HEADER, 1))).alias("a"),
+            F.max(F.when(of("header"), F.regexp_extract(line, _HEADER, 2))).alias("b"),
+            F.max_by(F.when(of("from"), F.trim(F.substring(line, F.lit(13), F.length(line)))), F.when(of("from"), F.col("pos"))).alias("from"),
+            F.max_by(F.when(of("to", "deleted"), line), F.when(of("to", "deleted"), F.col("pos"))).alias("named"),
+            F.max_by("kind", F.when(of("added", "deleted", "from"), F.col("pos"))).alias("last"),
+            F.array_sort(F.collect_list(hunk)).alias("hunks"),
         )
-
-    folded = diffs.select("diff_id", F.aggregate(F.split("text", r"\r?\n"), files0, step).alias("files"))
-    out = folded.select("diff_id", F.posexplode("files").alias("seq", "f")).select("diff_id", "seq", "f.*")
+    )
+    old = F.coalesce("from", "a")
+    path = F.when(F.col("named").startswith("rename to "), F.trim(F.substring("named", F.lit(11), F.length("named")))).when(F.col("named").isNotNull(), old).otherwise(F.col("b"))
+    ranges = F.transform("hunks", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end")))
+    out = grouped.select(
+        "diff_id", "seq", path.alias("path"), old.alias("old_path"), F.when(F.col("last") == "from", "renamed").otherwise(F.coalesce("last", F.lit("modified"))).alias("change_type"), ranges.alias("ranges")
+    )
     return out.withColumn("ranges", merge(F.col("ranges"))) if merged else out
 
 

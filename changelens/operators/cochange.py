@@ -11,9 +11,15 @@ def path_counts(touched: DataFrame) -> DataFrame:
     return touched.groupBy("file_id").agg(F.count("*").alias("n"))
 
 
-def pair_counts(touched: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+def pair_counts(touched: DataFrame, changed: DataFrame | None = None, most_files: int | None = None) -> DataFrame:
     """a, b, joint: in how many commits a and b both changed. With changed (file_id), a is
-    one of them, and only commits that touch one of them enter the self join."""
+    one of them, and only commits that touch one of them enter the self join.
+
+    Without changed, a commit of n files makes n (n - 1) pairs. most_files leaves out commits
+    of more files, which tell little about any pair; without it all count."""
+    if most_files is not None:
+        large = touched.groupBy("sha").agg(F.count("*").alias("n")).where(F.col("n") > most_files)
+        touched = touched.join(large, "sha", "left_anti")
     left = touched if changed is None else touched.join(changed.select("file_id").distinct(), "file_id", "left_semi")
     right = touched if changed is None else touched.join(left.select("sha").distinct(), "sha", "left_semi")
     pairs = left.withColumnRenamed("file_id", "a").join(right.withColumnRenamed("file_id", "b"), "sha").where("a <> b")

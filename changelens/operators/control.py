@@ -45,12 +45,16 @@ def monotone(log: DataFrame, key: str, order: str, pct: str) -> DataFrame:
 
 
 def ema(log: DataFrame, key: str, order: str, value: str, alpha: float = 0.35) -> DataFrame:
-    """key, ema: the exponential mean of value in order, seeded with the first."""
-    rows = F.array_sort(F.collect_list(F.struct(order, value)))
-    fold = F.aggregate(
-        F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0))), F.element_at("rows", 1)[value], lambda acc, x: F.lit(alpha) * x[value] + F.lit(1 - alpha) * acc
-    )
-    return log.groupBy(key).agg(rows.alias("rows")).select(key, F.round(fold, 6).alias("ema"))
+    """key, ema: the exponential mean of value in order, seeded with the first.
+
+    With n values the i-th weighs alpha (1 - alpha)^(n - i), the first (1 - alpha)^(n - 1); so
+    the mean is a sum over numbered rows, and no key's history is held in one place.
+    """
+    back = W.partitionBy(key).orderBy(F.desc(order))
+    numbered = log.select(key, F.col(value).alias("v"), (F.row_number().over(back) - 1).alias("back"))
+    summed = numbered.groupBy(key).agg(F.sum(F.col("v") * F.pow(F.lit(1 - alpha), "back")).alias("s"), F.max(F.struct("back", "v")).alias("first"))
+    seed = (1 - alpha) * F.col("first.v") * F.pow(F.lit(1 - alpha), "first.back")
+    return summed.select(key, F.round(alpha * F.col("s") + seed, 6).alias("ema"))
 
 
 def backoff(attempt: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,7 +51,8 @@ def final_score() -> Column:
 
 
 def candidates(files: DataFrame, edges: DataFrame, items: DataFrame, commits: DataFrame, changed: DataFrame, semantic: DataFrame, depth: int = 3, include_changed: bool = False) -> DataFrame:
-    """file_id, path, the five components and the score of every file with a reason."""
+    """file_id, path, the five components and the score of every file with a reason. files and
+    edges are read by several components: hand in stored ones."""
     universe = files if include_changed else files.join(changed.select("file_id"), "file_id", "left_anti")
     parts = {
         "dependency": by_dependency(edges, changed, depth).select("file_id", F.col("score").alias("dependency")),
@@ -69,3 +72,57 @@ def ranked(found: DataFrame, top_k: int = 20) -> DataFrame:
     """The top_k by score, then path, with their rank. Cut before the ranking window."""
     top = found.orderBy(F.desc("score"), "path").limit(top_k)
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "path")))
+
+
+def explanation(changed: DataFrame, top: DataFrame, tests: DataFrame, symbols: DataFrame) -> DataFrame:
+    """One sentence about changed (path), top (rank, path), tests (score, path) and symbols
+    (symbol, place): three files, three tests and five symbols are named. Every part is a few
+    rows."""
+
+    def names(rows: DataFrame, name: str, *order: Column, most: int | None = None) -> DataFrame:
+        few = rows if most is None else rows.orderBy(*order).limit(most)
+        listed = F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(name).alias("it"))))
+        return few.agg(F.array_join(F.transform(listed, lambda x: x["it"]), ", ").alias("names"))
+
+    parts = [
+        names(changed, "path", F.col("path")),
+        names(top, "path", F.col("rank"), most=3),
+        names(symbols, "symbol", F.col("place"), F.col("symbol"), most=5),
+        names(tests, "path", -F.col("score"), F.col("path"), most=3),
+    ]
+    one = parts[0].toDF("changed")
+    for part, name in zip(parts[1:], ("files", "symbols", "tests"), strict=True):
+        one = one.crossJoin(part.toDF(name))
+    note = F.when(F.col("symbols") == "", "").otherwise(F.concat(F.lit(" Changed symbols: "), "symbols", F.lit(".")))
+    known = lambda name: F.when(F.col(name) == "", f"no {name}").otherwise(F.col(name))
+    return one.select(
+        F.concat(F.lit("Changes in "), known("changed"), F.lit(" are likely to affect "), known("files"), F.lit("."), note, F.lit(" Suggested tests: "), known("tests"), F.lit(".")).alias("explanation")
+    )
+
+
+_RUNS = "run_id string, status string, error string, n_predictions long"
+
+
+def persist_run(ranked_files: Callable[[], DataFrame], run_id: str, folder: str, spark: SparkSession) -> None:
+    """Write what ranked_files gives as the predictions of a run, then the run as completed.
+    If that breaks off the run is written as failed, with the error, which is raised again."""
+    try:
+        found = ranked_files()
+        found.write.mode("overwrite").parquet(f"{folder}/predictions/run_id={run_id}")
+        row = (run_id, "completed", None, spark.read.parquet(f"{folder}/predictions/run_id={run_id}").count())
+    except Exception as e:
+        spark.createDataFrame([(run_id, "failed", f"{type(e).__name__}: {e}", None)], _RUNS).write.mode("overwrite").parquet(f"{folder}/runs/{run_id}")
+        raise
+    spark.createDataFrame([row], _RUNS).write.mode("overwrite").parquet(f"{folder}/runs/{run_id}")
+
+
+def run_states(spark: SparkSession, folder: str) -> DataFrame:
+    """run_id, status, error and n_predictions of every run on record."""
+    return spark.read.schema(_RUNS).parquet(f"{folder}/runs/*")
+
+
+def read_run(spark: SparkSession, run_id: str, folder: str) -> DataFrame:
+    """The predictions of a run in order of rank, with the run's status."""
+    rows = spark.read.option("basePath", f"{folder}/predictions").parquet(f"{folder}/predictions/run_id={run_id}")
+    state = run_states(spark, folder).select("run_id", "status")
+    return rows.join(F.broadcast(state), "run_id").orderBy("rank")

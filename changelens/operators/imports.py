@@ -28,17 +28,16 @@ def normalize(path: Column) -> Column:
 
 
 def python_candidates(path: Column, module: Column, names: Column, level: Column) -> Column:
-    """Where a Python import can lead, in order: the module, its package, then each name."""
+    """Where a Python import can lead, in order: the module (of a relative import without one,
+    the package it counts from), its package, then each name in it."""
     folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
     parts = F.filter(F.split(folder, "/"), lambda x: x != "")
     base = F.when(level > 0, F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - level + 1, F.lit(0))), "/")).otherwise("")
     stem = _joined(base, F.regexp_replace(F.coalesce(module, F.lit("")), r"\.", "/"))
-    own = F.when(F.coalesce(module, F.lit("")) != "", F.array(F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py")))).otherwise(
-        F.array().cast("array<string>")
-    )
+    own = F.array(F.concat(stem, F.lit(".py")), F.concat(stem, F.lit("/__init__.py")))
     named = F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda n: n != "*")
     each = F.flatten(F.transform(named, lambda n: F.array(F.concat(_joined(stem, n), F.lit(".py")), F.concat(_joined(stem, n), F.lit("/__init__.py")))))
-    return F.concat(own, each)
+    return F.when(stem != "", F.concat(own, each)).otherwise(F.array().cast("array<string>"))
 
 
 def js_candidates(path: Column, module: Column) -> Column:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from changelens.functions.vectors import cosine_score
@@ -19,12 +24,54 @@ def best_by_file(hits: DataFrame) -> DataFrame:
     return hits.groupBy("file_id").agg(F.max("score").alias("score"))
 
 
-def batch_topk(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def batch_topk(chunks: DataFrame, queries: DataFrame, k: int, broadcast_rows: int = 2_000) -> DataFrame:
     """The k nearest chunks of each row of a stated query set (query_id, query_vec): every
-    chunk meets every query once, and k rows a query leave each group."""
-    pairs = chunks.crossJoin(F.broadcast(queries)).select("query_id", "chunk_id", cosine_score(F.col("embedding"), F.col("query_vec")).alias("score"))
-    entry = F.struct((-F.col("score")).alias("s"), "chunk_id")
-    # salted first, so that a query's rows never meet in one task before they are cut to k
-    part = pairs.groupBy("query_id", F.pmod(F.xxhash64("chunk_id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list(entry)), 1, k).alias("near"))
-    merged = part.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
-    return merged.select("query_id", F.posexplode("near").alias("pos", "e")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("e.chunk_id"), (-F.col("e.s")).alias("score"))
+    chunk meets every query once, and k rows a query and task are left before any shuffle.
+
+    The queries are broadcast if they are at most broadcast_rows; beyond that they meet the
+    chunks block by block, partition against partition.
+    """
+    if queries.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        queries = F.broadcast(queries)
+    pairs = chunks.crossJoin(queries).select("query_id", "chunk_id", cosine_score(F.col("embedding"), F.col("query_vec")).alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+
+
+def cell_centres(chunks: DataFrame, cells: int, sample_rows: int = 20_000, seed: int = 1) -> np.ndarray:
+    """The unit centres of an index of `cells` cells: k-means by cosine over a sample of about
+    sample_rows chunks, drawn by a hash."""
+    n = chunks.count()
+    drawn = chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, sample_rows / max(1, n)) * (1 << 20))))
+    points = drawn.select(F.col("embedding").cast("array<double>").alias("e")).where(F.exists("e", lambda x: x != 0)).select(array_to_vector("e").alias("e"))
+    if points.limit(1).count() == 0:
+        return np.zeros((0, 0))
+    centres = np.array(KMeans(k=max(2, cells), featuresCol="e", distanceMeasure="cosine", seed=seed, maxIter=10).fit(points).clusterCenters())
+    return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+
+
+def nearest_cells(centres: np.ndarray, vector: Column, probes: int) -> Column:
+    """The numbers of the `probes` cells nearest to a vector."""
+
+    @F.pandas_udf("array<int>")
+    def run(vectors: pd.Series) -> pd.Series:
+        x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.zeros((0, centres.shape[1]))
+        near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
+        return pd.Series(list(near.astype(np.int32)))
+
+    return run(vector)
+
+
+def ann_topk(chunks: DataFrame, queries: DataFrame, k: int, cells: int = 64, probes: int = 16) -> DataFrame:
+    """About the k nearest chunks of each query (query_id, query_vec): an inverted file over
+    cells. Every chunk is in its nearest cell, a query looks into its `probes` nearest cells,
+    and what it meets there is scored exactly. Chunks and queries meet by an equi join on the
+    cell, of which a skewed one is split at run time; with probes = cells the result is exact."""
+    centres = cell_centres(chunks, cells)
+    if len(centres) == 0:
+        return batch_topk(chunks, queries, k)
+    placed = chunks.select("chunk_id", "embedding", F.element_at(nearest_cells(centres, F.col("embedding"), 1), 1).alias("cell"))
+    asked = queries.select("query_id", "query_vec", F.explode(nearest_cells(centres, F.col("query_vec"), probes)).alias("cell"))
+    pairs = asked.join(placed, "cell").select("query_id", "chunk_id", cosine_score(F.col("embedding"), F.col("query_vec")).alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")

@@ -32,17 +32,18 @@ def _sources(sources: DataFrame) -> DataFrame:
     return sources.select(F.col("file_id").alias("source_id"), parent_of(p).alias("parent"), stem_of(p).alias("stem"), name_of(parent_of(p)).alias("parent_name"))
 
 
-def _substrings(stem: Column) -> Column:
-    """All substrings of a stem; as many as the square of its length, which names bound."""
-    n = F.length(stem)
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(stem, i, k)))))
+def _substrings(stem: Column, lengths: Column) -> Column:
+    """The substrings of a stem that have one of the lengths."""
+    fit = F.filter(lengths, lambda k: k <= F.length(stem))
+    return F.array_distinct(F.flatten(F.transform(fit, lambda k: F.transform(F.sequence(F.lit(1), F.length(stem) - k + 1), lambda i: F.substring(stem, i, k)))))
 
 
 def naming(files: DataFrame, sources: DataFrame) -> DataFrame:
     """test_id, source_id, score: 0.85 for an expected name, 0.65 for a stem within a stem under tests."""
     t, s = _tests(files), _sources(sources).select("source_id", "stem").where("stem <> ''")
     exact = t.select("test_id", F.explode("named").alias("stem")).join(s, "stem").select("test_id", "source_id", F.lit(0.85).alias("score"))
-    under = t.where(F.array_contains("parts", "tests")).select("test_id", F.explode(_substrings(F.col("test_stem"))).alias("stem"))
+    lengths = s.agg(F.collect_set(F.length("stem")).alias("lengths"))  # one row; a name has 255 at most
+    under = t.where(F.array_contains("parts", "tests")).crossJoin(F.broadcast(lengths)).select("test_id", F.explode(_substrings(F.col("test_stem"), F.col("lengths"))).alias("stem"))
     within = under.join(s, "stem").select("test_id", "source_id", F.lit(0.65).alias("score"))
     return exact.union(within).groupBy("test_id", "source_id").agg(F.max("score").alias("score"))
 

@@ -3,6 +3,7 @@
 from changelens.plans import (  # noqa: F401
     control_queries,
     evaluation_queries,
+    git_queries,
     graph_queries,
     impact_queries,
     parse_queries,

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from changelens.operators import control as C
 from changelens.plans.registry import query
+from changelens.sources.tables_sink import shared_folder
+from changelens.streaming import progress
 from changelens.sources.tables import LOG_SQL, load, progress_log
 
 _L = f"WITH {LOG_SQL}"
@@ -76,6 +78,32 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(spark, sf_dir).groupBy("generation").agg(F.max("seq").alias("seq"), F.max_by("kind", "seq").alias("kind"), F.max("batch").alias("batch"))
 
 
+@query(
+    "progress_tail",
+    """WITH t AS (SELECT max(event_id) // 2 AS tail FROM events), b AS (SELECT user_id, event_id, event_type, value, ts FROM events, t WHERE event_id > tail),
+    o AS (SELECT *, count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM b)
+    SELECT user_id, event_id, event_type, value FROM o WHERE coalesce(ended, 0) = 0""",
+)
+def progress_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a subscriber gets behind its snapshot (here of the first half of the events): a
+    stream per generation, up to its terminal event."""
+    log = load(spark, sf_dir, "events")
+    half = log.agg(F.expr("max(event_id) div 2")).first()[0]
+    _, last = progress.snapshot(log.where(F.col("event_id") <= half))
+    folder = shared_folder(spark)
+    progress.publish(progress.tail(progress.read_events(spark, f"{sf_dir}/events.parquet"), last), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("user_id", "event_id", "event_type", "value")
+
+
+@query("log_retention", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n, max(ts) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id) AS ended, max(ts) OVER () AS newest FROM events)
+  SELECT user_id, event_id FROM o WHERE n <= 1000 AND (ended IS NULL OR ended >= newest - INTERVAL 24 HOUR)""")
+def log_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that the log keeps, as of the newest event."""
+    log = load(spark, sf_dir, "events")
+    newest = log.agg(F.max("ts")).first()[0]
+    return progress.retained(log, F.to_timestamp_ntz(F.lit(str(newest)))).select("user_id", "event_id")
+
+
 @query("batch_progress", f"{_L} SELECT generation, count(*) AS total, count(*) FILTER (WHERE kind = 'purchase') AS completed, count(*) FILTER (WHERE kind = 'error') AS failed FROM log GROUP BY generation")
 def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(spark, sf_dir).groupBy("generation").agg(F.count("*").alias("total"), F.count_if(F.col("kind") == "purchase").alias("completed"), F.count_if(F.col("kind") == "error").alias("failed"))

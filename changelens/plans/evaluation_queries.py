@@ -9,9 +9,10 @@ from changelens.operators import evaluation as ev
 from changelens.operators import search
 from changelens.plans.graph_queries import edge_paths, touched
 from changelens.plans.registry import query
-from changelens.sources.tables import CHUNKS_SQL, COMMITS_SQL, EDGES_SQL, FILES_SQL, TOUCHED_SQL, chunks, commits, files, load
+from changelens.sources.tables import CHUNKS_SQL, COMMITS_SQL, EDGES_SQL, FILES_SQL, TOUCHED_SQL, chunks, commits, files
+from changelens.sources.tables_sink import stored
 
-LIMIT, MOST, KS, NEAR = 200, 6, (5, 10), 20
+LIMIT, MOST, KS, NEAR = 200, 20, (5, 10), 20
 
 _EVAL = f"""WITH {FILES_SQL}, {EDGES_SQL}, {TOUCHED_SQL}, {COMMITS_SQL}, {CHUNKS_SQL},
 recent AS (SELECT * FROM commits ORDER BY author_date DESC NULLS LAST, sha LIMIT {LIMIT}),
@@ -56,18 +57,18 @@ def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scenarios(spark, sf_dir).select("known").distinct()
 
 
-def _dependency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.by_dependency(_known(spark, sf_dir), edge_paths(spark, sf_dir))
+def _dependency(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    return ev.by_dependency(known or _known(spark, sf_dir), edge_paths(spark, sf_dir))
 
 
-def _cochange(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cochange(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
     rows = touched(spark, sf_dir).join(_recent(spark, sf_dir).select("sha"), "sha").join(files(spark, sf_dir).select("file_id", "path"), "file_id")
-    return ev.by_cochange(_known(spark, sf_dir), rows)
+    return ev.by_cochange(known or _known(spark, sf_dir), rows)
 
 
-def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _semantic(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
     f, c = files(spark, sf_dir).select("file_id", "path"), chunks(spark, sf_dir)
-    own = _known(spark, sf_dir).join(f, F.col("known") == F.col("path")).join(c, "file_id")
+    own = (known or _known(spark, sf_dir)).join(f, F.col("known") == F.col("path")).join(c, "file_id")
     vectors = own.groupBy("known").agg(F.min_by("embedding", "chunk_id").alias("query_vec")).withColumnRenamed("known", "query_id")
     hits = search.batch_topk(c, vectors, NEAR).join(c.select("chunk_id", "file_id"), "chunk_id").join(f, "file_id")
     return ev.by_semantic(hits.select(F.col("query_id").alias("known"), "rank", "path"))
@@ -78,12 +79,15 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lists = {"dependency_only": _dependency, "cochange_only": _cochange, "semantic_only": _semantic, "hybrid": _hybrid}
-    predictions = None
-    for name, f in lists.items():
-        rows = f(spark, sf_dir).withColumn("method", F.lit(name))
-        predictions = rows if predictions is None else predictions.unionByName(rows)
-    return ev.metrics(_scenarios(spark, sf_dir), predictions, KS)
+    """Scenarios and the three lists are computed once; the fourth comes from them."""
+    scenarios = stored(_scenarios(spark, sf_dir))
+    known = scenarios.select("known").distinct()
+    lists = None
+    for name, f in (("dependency_only", _dependency), ("cochange_only", _cochange), ("semantic_only", _semantic)):
+        rows = f(spark, sf_dir, known).withColumn("method", F.lit(name))
+        lists = rows if lists is None else lists.unionByName(rows)
+    lists = stored(lists)
+    return ev.metrics(scenarios, lists.unionByName(ev.hybrid([lists.drop("method")]).withColumn("method", F.lit("hybrid"))), KS)
 
 
 @query("recent_commits", f"{_EVAL} SELECT sha, author_date FROM recent")

@@ -220,7 +220,7 @@ def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("set_except", f"{_SETS} FROM left_set EXCEPT FROM right_set")
 def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _sets(spark, sf_dir)
-    return a.exceptAll(b).distinct().join(b, "file_id", "left_anti")
+    return a.distinct().join(b, "file_id", "left_anti")
 
 
 # Imports: each edge of the graph written the way a source file would.
@@ -233,13 +233,27 @@ def _imports(spark: SparkSession, sf_dir: str, pattern: str) -> DataFrame:
     return p.withColumn("import_id", F.concat_ws(">", "src_path", "dst_path"))
 
 
-@query("resolve_py", f"{_IMPORTS_SQL} SELECT src_path || '>' || dst_path AS import_id, dst_path AS target FROM w WHERE dst_path LIKE '%.py'")
+@query(
+    "resolve_py",
+    f"""{_IMPORTS_SQL}, m AS (SELECT *, (length(src_path) + length(dst_path)) % 5 AS form, regexp_extract(src_path, '^(.*)/[^/]*/[^/]*$', 1) AS top, regexp_extract(src_path, '^(.*)/[^/]*$', 1) AS own,
+      regexp_extract(dst_path, '([^/]*)/[^/]*$', 1) AS folder, regexp_extract(dst_path, '([^/]*)$', 1) AS name FROM w WHERE dst_path LIKE '%.py')
+    SELECT DISTINCT src_path || '>' || dst_path AS import_id, f.path AS target FROM m JOIN files f ON f.path = CASE form WHEN 1 THEN own || '/' || name WHEN 2 THEN top || '/' || folder || '/' || name ELSE dst_path END""",
+)
 def resolve_py(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Absolute Python imports (from folder import name) lead back to their file."""
-    rows = _imports(spark, sf_dir, r"\.py$")
-    folder = F.regexp_replace(F.regexp_extract("dst_path", r"^(.*)/[^/]*$", 1), "/", ".")
-    name = F.regexp_extract("dst_path", r"([^/]*)\.py$", 1)
-    made = rows.select("import_id", imports.python_candidates(F.col("src_path"), folder, F.array(name), F.lit(0)).alias("candidates"))
+    """Python imports in five forms: from a.b import c; from . import c; from ..b import c;
+    from ...a.b import c; import a.b.c, which a name beside it must not mislead."""
+    rows = _imports(spark, sf_dir, r"\.py$").withColumn("form", (F.length("src_path") + F.length("dst_path")) % 5)
+    dotted = lambda path: F.regexp_replace(path, "/", ".")
+    folder, name = F.regexp_extract("dst_path", r"^(.*)/[^/]*$", 1), F.regexp_extract("dst_path", r"([^/]*)\.py$", 1)
+    form = F.col("form")
+    module = (
+        F.when(form == 1, "")
+        .when(form == 2, F.regexp_extract("dst_path", r"([^/]*)/[^/]*$", 1))
+        .when(form == 4, dotted(F.regexp_replace("dst_path", r"\.py$", "")))
+        .otherwise(dotted(folder))
+    )
+    level = F.when(form == 4, 0).otherwise(form)
+    made = rows.select("import_id", imports.python_candidates(F.col("src_path"), module, F.array(name), level).alias("candidates"))
     return imports.resolve(made, files(spark, sf_dir))
 
 

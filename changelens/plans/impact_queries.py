@@ -14,6 +14,7 @@ from changelens.sources.tables import (
     CHUNKS_SQL, COMMITS_SQL, EDGES_SQL, FILES_SQL, ITEMS_SQL, TOUCHED_SQL,
     chunks, commit_items, commits, edges, files, load,
 )
+from changelens.sources.tables_sink import shared_folder, stored
 
 RISK_SQL = """fan AS (SELECT file_id, sum(i) AS fi, sum(o) AS fo FROM (SELECT dst AS file_id, 1 AS i, 0 AS o FROM edges UNION ALL SELECT src, 0, 1 FROM edges) GROUP BY file_id),
 ch AS (SELECT file_id, count(*) AS ch FROM items GROUP BY file_id),
@@ -207,7 +208,7 @@ top AS (SELECT *, row_number() OVER (ORDER BY score DESC, path)::INTEGER AS rank
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.candidates(
-        files(spark, sf_dir), edges(spark, sf_dir), commit_items(spark, sf_dir), commits(spark, sf_dir), changed(spark, sf_dir), semantic(spark, sf_dir)
+        files(spark, sf_dir), stored(edges(spark, sf_dir)), commit_items(spark, sf_dir), commits(spark, sf_dir), stored(changed(spark, sf_dir)), semantic(spark, sf_dir)
     )
 
 
@@ -279,12 +280,13 @@ _FINAL_TESTS = f"""{_ALL},
 chosen AS (SELECT file_id, path FROM changed UNION SELECT file_id, path FROM top)"""
 
 
+def _for_chosen(spark: SparkSession, sf_dir: str, top: DataFrame) -> DataFrame:
+    chosen = changed(spark, sf_dir).union(top.select("file_id", "path")).distinct()
+    return tests_rec.signals(files(spark, sf_dir), chosen, edges(spark, sf_dir)).where("source_id <> test_id")
+
+
 def _for_impacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = files(spark, sf_dir)
-    top = impact.ranked(_candidates(spark, sf_dir)).select("file_id", "path")
-    chosen = changed(spark, sf_dir).union(top).distinct()
-    found = tests_rec.signals(f, chosen, edges(spark, sf_dir))
-    return found.where("source_id <> test_id")
+    return _for_chosen(spark, sf_dir, impact.ranked(_candidates(spark, sf_dir)))
 
 
 _CHOSEN = r""", s2 AS (SELECT file_id AS source_id, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent, regexp_extract(path, '([^/]*)/[^/]*$', 1) AS parent_name, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[^.]*$', '') AS stem FROM chosen),
@@ -314,14 +316,18 @@ def impact_tests_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "explain_text",
-    f"""{_FINAL_TESTS} SELECT 'Changing ' || (SELECT string_agg(path, ', ' ORDER BY path) FROM changed) || ' most affects ' || (SELECT string_agg(path, ', ' ORDER BY rank) FROM top WHERE rank <= 3) || '.' AS explanation""",
+    f"""{_FINAL_TESTS}{_CHOSEN}, best AS (SELECT f.path, score FROM (SELECT test_id, round(max(score), 4) AS score FROM sig2 GROUP BY test_id) JOIN files f ON f.file_id = test_id ORDER BY score DESC, f.path LIMIT 3)
+    SELECT 'Changes in ' || (SELECT string_agg(path, ', ' ORDER BY path) FROM changed) || ' are likely to affect ' || (SELECT string_agg(path, ', ' ORDER BY rank) FROM top WHERE rank <= 3) || '. Changed symbols: '
+      || (SELECT string_agg('run_' || file_id, ', ' ORDER BY file_id) FROM changed) || '. Suggested tests: ' || (SELECT string_agg(path, ', ' ORDER BY score DESC, path) FROM best) || '.' AS explanation""",
 )
 def explain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sentence that names the changed and the most affected files."""
-    c = changed(spark, sf_dir).agg(F.array_join(F.array_sort(F.collect_list("path")), ", ").alias("c"))
-    top = impact.ranked(_candidates(spark, sf_dir)).where("rank <= 3")
-    t = top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]), ", ").alias("t"))
-    return c.crossJoin(t).select(F.format_string("Changing %s most affects %s.", "c", "t").alias("explanation"))
+    """A sentence that names the changed files and symbols, the most affected files and the
+    best tests. Each changed file stands for one symbol."""
+    c = changed(spark, sf_dir)
+    symbols = c.select(F.concat(F.lit("run_"), "file_id").alias("symbol"), F.col("file_id").alias("place"))
+    top = stored(impact.ranked(_candidates(spark, sf_dir)).select("rank", "file_id", "path"))
+    best = tests_rec.recommend(_for_chosen(spark, sf_dir, top), files(spark, sf_dir), 3)
+    return impact.explanation(c, top, best, symbols)
 
 
 @query("evidence_json", f"{_RISK} SELECT file_id, to_json({{'path': path, 'is_test': is_test, 'loc': loc}})::VARCHAR AS evidence FROM risks")
@@ -342,3 +348,26 @@ def input_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(diff, "raw_diff").when(given, "changed_files").when(refs, "git_diff").otherwise("error").alias("recorded"),
         F.when(given, "changed_files").when(diff, "raw_diff").when(refs, "git_diff").otherwise("error").alias("used"),
     )
+
+
+@query("impact_run", f"{_ALL} SELECT rank, path, score, dependency, semantic, cochange, test, risk, 'completed' AS status FROM top")
+def impact_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run written with its predictions, and read back by rank."""
+    folder = shared_folder(spark)
+    impact.persist_run(lambda: impact.ranked(_candidates(spark, sf_dir)), "run-1", folder, spark)
+    return impact.read_run(spark, "run-1", folder).select("rank", "path", "score", *impact.WEIGHTS, "status")
+
+
+@query("impact_run_failed", "SELECT 'run-1' AS run_id, 'failed' AS status, 'ValueError' AS error, 0 AS n_predictions")
+def impact_run_failed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that breaks off is on record as failed, without predictions."""
+    folder = shared_folder(spark)
+
+    def broken() -> DataFrame:
+        raise ValueError("no changed file is indexed")
+
+    try:
+        impact.persist_run(broken, "run-1", folder, spark)
+    except ValueError:
+        pass
+    return impact.run_states(spark, folder).select("run_id", "status", F.element_at(F.split("error", ":"), 1).alias("error"), F.coalesce("n_predictions", F.lit(0)).cast("int").alias("n_predictions"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens.functions import parse as P
+from changelens.functions.scripts import script_parsed
 from changelens.plans.registry import query
 from changelens.sources.tables import load
 
@@ -64,28 +65,63 @@ def py_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small script for every part, in three forms: a module, a class over CommonJS, tests."""
     k = F.col("p_partkey").cast("string")
     word = F.element_at(F.split("p_name", " "), 1)
-    text = F.concat(
-        F.lit("import React, { useState } from 'react';\nimport x from \"./"), word, F.lit("\";\nconst y = require('../y"), k, F.lit("');\nexport const run"), k, F.lit(" = (a) => a;\nexport default class W"), k,
-        F.lit(" {}\nfunction go() {}\nexport { go, y as z };\n"),
+    module = F.concat(
+        F.lit("import React, { useState as use } from 'react';\nimport x from \"./"), word, F.lit("\";\nimport * as ns from './ns'\nexport const run"), k, F.lit(" = async (a) => a / 2;\nexport default class W"), k,
+        F.lit(" {}\n// import no from 'no'\nfunction go() {\n  return ns.call(1)\n}\nexport { go, x as z };\n"),
     )
-    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), text.alias("content"))
+    common = F.concat(
+        F.lit("const y = require('../y"), k, F.lit("');\nclass C"), k, F.lit(" extends B {\n  constructor(a) {\n    super(a);\n  }\n  static async "), word,
+        F.lit("(a, b) {\n    const s = \"function no() {}\";\n    return y(a).then(1)\n  }\n}\nconst make = function () {\n};\n"),
+    )
+    tests = F.concat(F.lit("/* class No {} */\nimport { a, b } from '../"), word, F.lit("';\ndescribe('"), word, F.lit("', () => {\n  it('x', () => { expect(a("), k, F.lit(")); });\n});\nconst testAll = x => { b() };\n"))
+    form = F.col("p_partkey") % 3
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), F.when(form == 0, module).when(form == 1, common).otherwise(tests).alias("content"))
+
+
+def _script_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    parsed = _scripts(spark, sf_dir).select("file_id", script_parsed(F.col("content")).alias("p"))
+    return parsed.select("file_id", F.explode(f"p.{name}").alias("x")).select("file_id", "x.*")
 
 
-@query("js_imports", f"SELECT p_partkey AS file_id, 'react,./' || {_WORD} || ',../y' || p_partkey AS modules FROM part")
+_FORM = f"p AS (SELECT p_partkey AS file_id, p_partkey % 3 AS form, p_partkey::VARCHAR AS k, {_WORD} AS word FROM part)"
+
+
+@query(
+    "js_imports",
+    f"""WITH {_FORM} SELECT file_id, module, names, alias, line, kind FROM p, LATERAL (VALUES (0, 'react', 'useState', NULL, 1, 'es_import'), (0, './' || word, 'x', 'x', 2, 'es_import'), (0, './ns', 'ns', NULL, 3, 'es_import'),
+      (1, '../y' || k, '', 'y', 1, 'require'), (2, '../' || word, 'a,b', NULL, 2, 'es_import')) v(f, module, names, alias, line, kind) WHERE f = form""",
+)
 def js_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scripts(spark, sf_dir).select("file_id", F.array_join(P.js_imports(F.col("content")), ",").alias("modules"))
+    return _script_rows(spark, sf_dir, "imports").withColumn("names", F.array_join("names", ","))
 
 
-@query("js_exports", "SELECT p_partkey AS file_id, 'W' || p_partkey || ',go,run' || p_partkey || ',y' AS names FROM part")
+@query(
+    "js_exports",
+    f"""WITH {_FORM} SELECT file_id, name, line, kind, confidence::DOUBLE AS confidence FROM p, LATERAL (VALUES (0, 'run' || k, 4, 'export', 1), (0, 'W' || k, 5, 'export', 1), (0, 'go', 10, 'export', 1), (0, 'x', 10, 'export', 1),
+      (2, 'describe', 3, 'test_block', 0.7), (2, 'it', 4, 'test_block', 0.7), (2, 'expect', 4, 'test_block', 0.7)) v(f, name, line, kind, confidence) WHERE f = form""",
+)
 def js_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scripts(spark, sf_dir).select("file_id", F.array_join(F.array_sort(P.js_exports(F.col("content"))), ",").alias("names"))
+    return _script_rows(spark, sf_dir, "exports")
 
 
-@query("js_parse", "SELECT p_partkey AS file_id, 'W' || p_partkey || ',go,run' || p_partkey AS symbols FROM part")
+@query(
+    "js_parse",
+    f"""WITH {_FORM} SELECT file_id, qualified, kind, start_line, end_line, is_test FROM p, LATERAL (VALUES (0, 'run' || k, 'function', 4, 4, false), (0, 'W' || k, 'class', 5, 5, false), (0, 'go', 'function', 7, 9, false),
+      (1, 'C' || k, 'class', 2, 10, false), (1, 'C' || k || '.constructor', 'method', 3, 5, false), (1, 'C' || k || '.' || word, 'method', 6, 9, false), (1, 'make', 'function', 11, 12, false), (2, 'testAll', 'function', 6, 6, true)) v(f, qualified, kind, start_line, end_line, is_test) WHERE f = form""",
+)
 def js_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scripts(spark, sf_dir).select("file_id", F.array_join(F.array_sort(P.js_symbols(F.col("content"))), ",").alias("symbols"))
+    return _script_rows(spark, sf_dir, "symbols").select("file_id", "qualified", "kind", "start_line", "end_line", "is_test")
+
+
+@query(
+    "js_calls",
+    f"""WITH {_FORM} SELECT file_id, callee, scope, line FROM p, LATERAL (VALUES (0, 'ns.call', NULL, 8), (1, 'require', NULL, 1), (1, 'y', 'C' || k, 8), (2, 'describe', NULL, 3), (2, 'it', NULL, 4), (2, 'expect', NULL, 4), (2, 'a', NULL, 4), (2, 'b', NULL, 6)) v(f, callee, scope, line) WHERE f = form""",
+)
+def js_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _script_rows(spark, sf_dir, "calls").select("file_id", "callee", "scope", "line")
 
 
 def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,14 @@ def semantic_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.batch_topk(c, q, 5)
 
 
+@query("semantic_ann")
+def semantic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest chunks, by the cell index, of every chunk whose id 100 divides. SQL can't
+    express the index; a test measures its recall against the exact search."""
+    c = chunks(spark, sf_dir)
+    return search.ann_topk(c, c.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vec")), 10)
+
+
 @query("embed_normalize", "SELECT vec_id, round(sqrt(list_sum(list_transform(e, lambda x: (x / n) * (x / n)))), 6) AS length FROM (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings)")
 def embed_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm(V.normalize(F.col("embedding"))), 6).alias("length"))

@@ -46,15 +46,15 @@ FILES_SQL = """files AS (
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src depends on dst: neighbouring lines of an order, both of them returned."""
-    line = load(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_partkey")
+    """src depends on dst: neighbouring lines of an order."""
+    line = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
     return line.join(after, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").alias("src"), "dst").where("src <> dst").distinct()
 
 
 EDGES_SQL = """edges AS (
   SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b
-  ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'R' AND a.l_partkey <> b.l_partkey
+  ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey
 )"""
 
 

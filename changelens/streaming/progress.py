@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -40,33 +41,88 @@ def _by_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
 
 
-def monotone(events: DataFrame) -> DataFrame:
-    """user_id, event_id, pct: a percentage that never falls, one number of state per key."""
+def _kept(state: GroupState, value: float, rows: pd.DataFrame, retention: str) -> None:
+    """Remember value until event time has passed the key's last event by `retention`."""
+    state.update((value,))
+    last = int(rows["ts"].max().timestamp() * 1000)
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + int(pd.Timedelta(retention).total_seconds() * 1000))
+
+
+def monotone(events: DataFrame, late: str = "1 day", retention: str = "90 days") -> DataFrame:
+    """user_id, event_id, pct: a percentage that never falls, one number of state per key. A
+    key without events for `retention` of event time is forgotten, and starts anew."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = _by_order(frames)
         best = state.get[0] if state.exists else float("-inf")
         pct = rows["value"].cummax().clip(lower=best)
-        state.update((float(pct.iloc[-1]),))
+        _kept(state, float(pct.iloc[-1]), rows, retention)
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "pct": pct})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, pct double", "best double", "append", GroupStateTimeout.NoTimeout)
+    watched = events.withWatermark("ts", late).groupBy("user_id")
+    return watched.applyInPandasWithState(step, "user_id long, event_id long, pct double", "best double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def ema(events: DataFrame, alpha: float = 0.35) -> DataFrame:
-    """user_id, event_id, ema: the exponential mean of value, seeded with the first."""
+def ema(events: DataFrame, alpha: float = 0.35, late: str = "1 day", retention: str = "90 days") -> DataFrame:
+    """user_id, event_id, ema: the exponential mean of value, seeded with the first. A key
+    without events for `retention` of event time is forgotten, and is seeded anew."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = _by_order(frames)
         now = state.get[0] if state.exists else None
         out = []
         for v in rows["value"]:
             now = v if now is None else alpha * v + (1 - alpha) * now
             out.append(now)
-        state.update((float(now),))
+        _kept(state, float(now), rows, retention)
         yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "ema": out})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, ema double", "now double", "append", GroupStateTimeout.NoTimeout)
+    watched = events.withWatermark("ts", late).groupBy("user_id")
+    return watched.applyInPandasWithState(step, "user_id long, event_id long, ema double", "now double", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+# Fixed value: how many events of a key the log keeps.
+MOST_EVENTS = 1000
+
+
+def retained(log: DataFrame, now: Column, most: int = MOST_EVENTS, retention: str = "24 hours", terminal: str = "purchase") -> DataFrame:
+    """The events that a log keeps: the `most` newest of each key, and nothing of a key whose
+    terminal event is older than `retention`."""
+    newest = W.partitionBy("user_id").orderBy(F.desc("event_id"))
+    ended = F.max(F.when(F.col("event_type") == terminal, F.col("ts"))).over(W.partitionBy("user_id"))
+    kept = log.withColumn("_n", F.row_number().over(newest)).withColumn("_ended", ended)
+    return kept.where((F.col("_n") <= most) & (F.col("_ended").isNull() | (F.col("_ended") >= now - F.expr(f"INTERVAL {retention}")))).drop("_n", "_ended")
+
+
+def snapshot(log: DataFrame) -> tuple[DataFrame, int]:
+    """The latest event of each key, and the last event id there is: the tail starts behind it."""
+    tail = log.agg(F.coalesce(F.max("event_id"), F.lit(-1))).first()[0]
+    state = log.where(F.col("event_id") <= tail).groupBy("user_id").agg(F.max_by(F.struct("event_id", "ts", "event_type", "value"), "event_id").alias("e"))
+    return state.select("user_id", "e.*"), tail
+
+
+def tail(events: DataFrame, after: int, terminal: str = "purchase", late: str = "1 day", retention: str = "90 days") -> DataFrame:
+    """The events behind a snapshot, per key up to its first terminal event."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = _by_order(frames)
+        ended = state.exists and state.get[0] > 0
+        stop = (rows["event_type"] == terminal).to_numpy()
+        kept = rows.iloc[:0] if ended else rows.iloc[: int(stop.argmax()) + 1] if stop.any() else rows
+        _kept(state, float(ended or stop.any()), rows, retention)
+        yield pd.DataFrame({"user_id": key[0], "event_id": kept["event_id"], "event_type": kept["event_type"], "value": kept["value"]})
+
+    behind = events.where(F.col("event_id") > after).withWatermark("ts", late).groupBy("user_id")
+    return behind.applyInPandasWithState(step, "user_id long, event_id long, event_type string, value double", "ended double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def publish(df: DataFrame, folder: str, checkpoint: str, fan_out=None):

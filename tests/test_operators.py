@@ -1,7 +1,9 @@
 """Golden values and edge cases of the operators."""
 
 import subprocess
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,17 +185,108 @@ def test_git_source(spark, tmp_path):
     def git(*args):
         subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *args], check=True, capture_output=True)
 
-    git("init", "-q")
+    git("init", "-q", "--initial-branch=main")
     (tmp_path / "a.py").write_text("one\n")
     git("add", "."), git("commit", "-qm", "first")
     (tmp_path / "a.py").write_text("one\ntwo\n")
     (tmp_path / "b.py").write_text("b\n")
-    git("add", "."), git("commit", "-qm", "Fix it")
+    git("add", "."), git("commit", "-qm", "Fix it\n\nwith a body")
+    git("checkout", "-qb", "side", "HEAD~1")
+    (tmp_path / "café.py").write_text("x\ny\n")
+    (tmp_path / "a b\tc.bin").write_bytes(b"\0\1")
+    git("add", "."), git("commit", "-qm", "odd names")
+    git("checkout", "-q", "main"), git("merge", "-q", "--no-ff", "-m", "merge", "side")
     spark.dataSource.register(GitSource)
 
-    def read(kind):
-        return spark.read.format("git").option("path", str(tmp_path)).option("kind", kind).option("limit", "10").option("rows_per_task", "1").load()
+    def read(kind, **options):
+        return spark.read.format("git").options(path=str(tmp_path), kind=kind, limit="10", rows_per_task="1", **options).load()
 
-    assert {r["message"] for r in read("commits").collect()} == {"first", "Fix it"}
-    assert sorted((r["path"], r["insertions"]) for r in read("commit_files").collect()) == [("a.py", 1), ("a.py", 1), ("b.py", 1)]
-    assert {r["path"] for r in read("files").collect()} == {"a.py", "b.py"}
+    commits = {r["message"]: r for r in read("commits").collect()}
+    assert set(commits) == {"first", "Fix it\n\nwith a body", "odd names", "merge"}
+    assert commits["first"]["parent"] is None and commits["merge"]["parent"] == commits["Fix it\n\nwith a body"]["sha"]
+    assert (commits["merge"]["insertions"], commits["merge"]["deletions"]) == (2, 0)
+    changed = read("commit_files")
+    by_sha = {}
+    for r in changed.collect():
+        by_sha.setdefault(r["sha"], set()).add((r["path"], r["insertions"]))
+    assert by_sha[commits["merge"]["sha"]] == by_sha[commits["odd names"]["sha"]] == {("café.py", 2), ("a b\tc.bin", 0)}
+    assert changed.select("path").distinct().join(read("files"), "path").count() == 4
+    assert {r["path"] for r in read("files", ref="side").collect()} == {"a.py", "café.py", "a b\tc.bin"}
+    assert read("content", ref="side", file="a.py").first()["content"] == b"one\n"
+
+
+def test_python_import_candidates(spark):
+    from changelens.operators import imports
+
+    cases = [
+        ("pkg/api/routes.py", "", ["token"], 1, ["pkg/api.py", "pkg/api/__init__.py", "pkg/api/token.py", "pkg/api/token/__init__.py"]),
+        ("pkg/api/routes.py", "auth.token", ["x"], 2, ["pkg/auth/token.py", "pkg/auth/token/__init__.py", "pkg/auth/token/x.py", "pkg/auth/token/x/__init__.py"]),
+        ("pkg/api/routes.py", "", ["a", "*"], 2, ["pkg.py", "pkg/__init__.py", "pkg/a.py", "pkg/a/__init__.py"]),
+        ("pkg/api/routes.py", None, ["a"], 3, []),
+        ("pkg/routes.py", "a.b", [], 0, ["a/b.py", "a/b/__init__.py"]),
+        ("routes.py", "", ["a"], 1, []),
+    ]
+    df = frame(spark, [(i, *c[:4]) for i, c in enumerate(cases)], "id int, path string, module string, names array<string>, level int")
+    got = {r["id"]: r["c"] for r in df.select("id", imports.python_candidates(F.col("path"), F.col("module"), F.col("names"), F.col("level")).alias("c")).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[4] for c in cases]
+
+
+def test_async_code_counts_as_branches_and_nesting():
+    from changelens.functions.parse import python_shape
+
+    assert python_shape("async def f():\n    async for x in y:\n        async with z:\n            if x:\n                pass\n") == (2, 1, 3)
+    assert python_shape("for a in b:\n    with c:\n        while d:\n            pass\n") == (2, 0, 3)
+
+
+def test_scripts():
+    from changelens.functions.scripts import parse_script
+
+    got = parse_script("import d, { a as b, type T } from \"m\"\nimport './side'\nexport default class extends X {}\nclass A {\n  if(x) { return /[/\"]/.test(x) }\n  #p() { new B(); this.a.b(1) }\n}\nexport const f = (a): number => { g() }\nfoo(`in ${no()} text`)\n")
+    assert [(i["module"], i["names"], i["alias"]) for i in got["imports"]] == [("m", ["a", "T"], None), ("./side", [], None)]
+    assert [(e["name"], e["line"]) for e in got["exports"]] == [("default", 3), ("f", 8)]
+    assert [(s["qualified"], s["kind"], s["start_line"], s["end_line"]) for s in got["symbols"]] == [("A", "class", 4, 7), ("A.if", "method", 5, 5), ("A.#p", "method", 6, 6), ("f", "function", 8, 8)]
+    assert [(c["callee"], c["scope"]) for c in got["calls"]] == [("this.a.b", "A"), ("g", None), ("foo", None)]
+    assert parse_script(None) == parse_script("") == {"imports": [], "exports": [], "symbols": [], "calls": []}
+    for broken in ("(" * 20_000, "'" * 20_001, "/*" * 20_000, "import {" * 5_000, "class A " * 5_000, "a.b" * 20_000, "const a : " * 5_000):
+        began = time.process_time()
+        parse_script(broken)
+        assert time.process_time() - began < 5
+
+
+def test_diff_with_many_files_and_odd_lines(spark):
+    from changelens.functions.parse import parse_diffs
+
+    text = "".join(f"diff --git a/f{i} b/f{i}\n@@ -1 +{i + 1},2 @@\n+diff --git a/no b/no\n+rename to no\n" for i in range(500))
+    got = parse_diffs(frame(spark, [(1, text), (2, None), (3, ""), (4, "@@ -1 +1 @@\nnothing before")], "diff_id int, text string")).orderBy("seq").collect()
+    assert [(r["diff_id"], r["path"], [(x["start"], x["end"]) for x in r["ranges"]]) for r in got] == [(1, f"f{i}", [(i + 1, i + 2)]) for i in range(500)]
+
+
+def test_cell_index_recall(spark):
+    from changelens.operators import search
+
+    r = np.random.default_rng(1)
+    x = r.standard_normal((3000, 48)) + 2 * r.standard_normal((40, 48))[r.integers(0, 40, 3000)]
+    chunks = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, [0.0] * 48)], "chunk_id long, embedding array<double>")
+    queries = chunks.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    exact = {(q["query_id"], q["chunk_id"]) for q in search.batch_topk(chunks, queries, 10).collect() if q["query_id"] != 9000}
+    near = {(q["query_id"], q["chunk_id"]) for q in search.ann_topk(chunks, queries, 10).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+    assert search.batch_topk(chunks, queries, 10, broadcast_rows=1).count() == 31 * 10
+
+
+def test_commits_of_too_many_files_are_skipped(spark):
+    from changelens.operators import evaluation as ev
+
+    files = frame(spark, [(i, f"p{i:02}") for i in range(30)], "file_id int, path string")
+    touched = frame(spark, [("big", i) for i in range(21)] + [("most", i) for i in range(20)] + [("one", 1)], "sha string, file_id int")
+    recent = frame(spark, [("big",), ("most",), ("one",), ("none",)], "sha string")
+    got = {r["sha"]: r["skipped"] for r in ev.judged(recent, touched, files).collect()}
+    assert got == {"big": "too_many_files", "most": None, "one": "fewer_than_two_code_files", "none": "no_indexed_code_files"}
+
+
+def test_refresh_replaces_only_its_partitions(spark, tmp_path):
+    from changelens.sources import tables_sink
+
+    path = tables_sink.write_generation(frame(spark, [("a", 1), ("b", 2)], "g string, v int"), "g", str(tmp_path))
+    tables_sink.refresh(frame(spark, [("b", 3), ("b", 4)], "g string, v int"), "g", path)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("g", "v").collect()) == [("a", 1), ("b", 3), ("b", 4)]

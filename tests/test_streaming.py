@@ -1,5 +1,7 @@
 """Streams give what the batch operators give over the same events."""
 
+import time
+
 import pytest
 
 from changelens.operators import control
@@ -55,3 +57,23 @@ def test_publish_is_idempotent(spark, folder, tmp_path):
     events = progress.read_events(spark, folder, 1)
     progress.publish(events, str(tmp_path / "out"), str(tmp_path / "ck"), lambda b, i: seen.append(i)).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(folder).count() and seen
+
+
+def test_keys_are_forgotten_after_their_retention(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00", 7, "view", 90.0), (2, "2024-01-09 00:00:00", 8, "view", 1.0), (3, "2024-01-10 00:00:00", 8, "view", 2.0), (4, "2024-01-10 01:00:00", 7, "view", 5.0)]
+    for k, r in enumerate(rows):
+        df = spark.createDataFrame([r], "event_id long, ts string, user_id long, event_type string, value double")
+        df.selectExpr("event_id", "cast(ts AS timestamp_ntz) AS ts", "user_id", "event_type", "value", "'{}' AS props").coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
+        time.sleep(1.1)  # files are read in order of their time
+    got = {r["event_id"]: r["pct"] for r in drain(progress.monotone(progress.read_events(spark, str(tmp_path / "e"), 1), retention="24 hours"), "append", "forgotten").collect()}
+    assert got == {1: 90.0, 2: 1.0, 3: 2.0, 4: 5.0}
+    kept = {r["event_id"]: r["pct"] for r in drain(progress.monotone(progress.read_events(spark, str(tmp_path / "e"), 1)), "append", "remembered").collect()}
+    assert kept[4] == 90.0
+
+
+def test_snapshot_then_tail_covers_every_event_once(spark, folder):
+    log = spark.read.parquet(folder)
+    state, last = progress.snapshot(log.where("event_id <= 400"))
+    assert state.count() == log.where("event_id <= 400").select("user_id").distinct().count() and last == 400
+    got = drain(progress.tail(progress.read_events(spark, folder, 100), last, terminal="never"), "append", "tailed")
+    assert got.count() == log.where("event_id > 400").count() == got.select("event_id").distinct().count()
