@@ -98,6 +98,7 @@ class _Script:
 
     def body_end(self, i: int) -> int:
         """The line where a body that follows token i ends."""
+        i += self.at(i) == "function"
         while i < self.n and self.at(i) not in _HEAD_ENDS:
             i = self.close.get(i, i) + 1
         if self.at(i) == "{":

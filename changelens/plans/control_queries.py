@@ -91,7 +91,7 @@ def progress_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = log.agg(F.expr("max(event_id) div 2")).first()[0]
     _, last = progress.snapshot(log.where(F.col("event_id") <= half))
     folder = shared_folder(spark)
-    progress.publish(progress.tail(progress.read_events(spark, f"{sf_dir}/events.parquet"), last), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    progress.publish(progress.tail(progress.read_events(spark, f"{sf_dir}/events.parque[t]"), last), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("user_id", "event_id", "event_type", "value")
 
 
