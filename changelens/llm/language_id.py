@@ -176,6 +176,8 @@ def fit(labelled: DataFrame, fit_rows: int = 4000, clusters: int = 4, quantile:
         for b in batches:
             found = [(lang, gram_counts(t)) for lang, t in zip(b["lang"], b["text"], strict=True)]
             found = [(lang, c) for lang, c in found if c is not None]
+            if not found:  # Arrow takes no frame of binary columns without rows
+                continue
             yield pd.DataFrame(
                 {
                     "lang": [lang for lang, _ in found],

@@ -237,9 +237,13 @@ def pack(docs: DataFrame, window: int = 4096, shard_tokens: int = 2_000_000, pat
                 held.append((None if pd.isna(doc) else int(doc), row, np.frombuffer(ids, dtype="<u2"), 0))
                 size += held[-1][2].size
                 if size >= 1.5 * shard_tokens:
-                    yield shards.pack(held, last=False)
+                    found = shards.pack(held, last=False)
                     held, size = [], 0
-        yield shards.pack(held, last=True)
+                    if len(found):  # Arrow takes no frame of binary columns without rows
+                        yield found
+        found = shards.pack(held, last=True)
+        if len(found):
+            yield found
         hand_back()
 
     return deal(tokens, df, total, shard_tokens).mapInPandas(run, _PIECES)
