@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from changelens.llm import minhash_dedup
@@ -86,3 +87,24 @@ def test_verify_takes_each_text_of_a_repeated_id(spark):
     docs = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b)], "doc_id long, text string").coalesce(1)
     likely = spark.createDataFrame([(1, 2), (1, 3)], "x long, y long").coalesce(1)
     assert sorted(tuple(r) for r in minhash_dedup._verify(likely, docs, 5, 80).collect()) == [(1, 2), (1, 3)]
+
+
+def test_stages_take_empty_tables_and_odd_rows(spark, tmp_path):
+    plain = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, None, "en", "s", None), (None, "x", None, "s", 1), (2, " \n", "xx", None, 2), (3, "wort " * 30_000, "de", "s", 150_000)]
+    docs = plain.unionByName(spark.createDataFrame(odd * 2, plain.schema)).withColumn("score", F.lit("clash")).withColumn("row", F.lit("clash")).withColumn("ids", F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, plain.where("false"), SF).count() == 0
+        out = stage(spark, docs, SF)
+        if name == "packing":
+            ids = out.where("start = 0").count()
+            assert ids == docs.count()
+            continue
+        assert out.columns == plain.columns
+        texts = out.select("text").collect()
+        if name == "language":
+            assert all(r["text"] and r["text"].strip() for r in texts)
+        if name == "near_dedup":
+            assert sum(not (r["text"] or "").split() for r in texts) >= 8 and sum(r["text"] == "x" for r in texts) == 1
+        if name == "decontaminate":
+            assert sum(not (r["text"] or "").split() for r in texts) >= 8
