@@ -4,6 +4,10 @@ Language identification drops documents that belong to no known language, the qu
 classifier drops documents it scores low, near-dedup keeps one document of each group,
 decontamination drops documents that contain a benchmark item, and packing cuts what is left
 into windows of token ids.
+
+Every stage decides row by row: a null or repeated doc_id is treated like any other, and rows
+that repeat are rows of their own. Columns beyond those of `documents` are ignored. An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,13 +22,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the languages of docs; texts without a letter or far from every centroid go."""
+    """Learns from the languages of docs; texts without a letter or far from every centroid go,
+    so null and empty texts do. Rows of a null language are judged, not learned from; without
+    any language nothing is known, and all rows go. Equal texts are judged alike."""
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
     return language_id.predict(docs.select(*COLUMNS), model).where("NOT rejected").select(*COLUMNS)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from `labels`; documents that score below the limit go."""
+    """Learns from `labels`; documents that score below the limit go. Null and empty texts are
+    scored as texts without words, labels of a null or absent doc_id are not learned from, and
+    without labels every row has the same score. Equal texts are judged alike."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
@@ -37,7 +45,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row stays of each group, on five-word shingles: that of the smallest doc_id, where
-    a null comes last."""
+    a null comes last, then the first. Rows of equal texts are a group; texts that are null or
+    have no words are in none, and stay."""
     rows = _numbered(docs)
     found = minhash_dedup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
     groups = found.where("NOT kept").select("component_id").distinct()
@@ -48,14 +57,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain an item of `benchmark` go."""
+    """Documents that contain an item of `benchmark` go. Null and empty texts contain none, null
+    and empty items are contained in none."""
     rows = _numbered(docs)
     leaks = materialize(decontaminate.contaminated(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct())
     return rows.join(leaks, "row", "left_anti").select(*COLUMNS)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents left, packed into windows of 4096 token ids."""
+    """All documents left, packed into windows of 4096 token ids; a null or empty text is one
+    id, the end. A null doc_id stays null."""
     return packing.pack(docs.select("doc_id", "text")).withColumn("ids_crc32", F.crc32("ids"))
 
 
