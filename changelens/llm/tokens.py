@@ -7,7 +7,8 @@ gets its ids once, and the ids of all texts are gathered from them by position.
 A chunk of Latin letters with a run of marks behind it is two pieces that the tokenizer would
 cut it into anyway; new pieces are lower-cased and go through the tokenizer's own model in one
 call, without its normaliser. Any other chunk goes through the whole chain. The ids of the
-first `cache_chunks` chunks and pieces are kept for later batches.
+first `cache_chunks` chunks and as many pieces are kept for later batches, some 50 MB: Python
+workers live on, and whatever else runs in them later has to share their memory.
 """
 
 from __future__ import annotations
@@ -29,13 +30,13 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")  # letters, then marks but no apostrophe
 _LONGEST = 64  # longer chunks are not kept
-_SLICE = 8 << 20  # bytes of text whose chunks are looked up at a time
+_SLICE = 4 << 20  # bytes of text whose chunks are looked up at a time
 
 
 class Encoder:
     """Ids of texts as little-endian 16-bit numbers."""
 
-    def __init__(self, path: str, cache_chunks: int = 600_000) -> None:
+    def __init__(self, path: str, cache_chunks: int = 150_000) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
