@@ -257,6 +257,8 @@ def _across(rows: DataFrame, reps: DataFrame, docs: DataFrame, floors: list[tupl
     again = dealt.join(crowded, group).join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL"), "doc_id")
     with arrow_rows(spark, 256):
         links = materialize(again.repartition(*group).sortWithinPartitions(*group).mapInPandas(dense, "x long, y long").distinct())
+    release(inside)
+    release(mixed)
     return one.where("x IS NOT NULL").select("x", "y").distinct(), links
 
 
@@ -304,10 +306,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     known = sketches.where("key IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialize(known.groupBy("key").agg(F.min("doc_id").alias("rep")))
     reps = materialize(known.join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "n_shingles", "sig", "buckets"))
+    rows_out = materialize(sketches.select("doc_id", "n_shingles", "key"))
+    release(sketches)
 
     spread = reps.select("doc_id", F.posexplode("buckets").alias("band", "bucket"))
     shared = materialize(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"))
     members = materialize(spread.join(shared, "bucket"))
+    release(shared)
+    done = [classes, reps, members]  # nothing reads them once the components are named
 
     floors = posterior_floors(bands * rows, percent / 100, miss)
     links, compared, comps = None, None, None
@@ -326,6 +332,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
             if compared is not None:
                 pairs = pairs.join(compared, ["x", "y"], "left_anti")
             pairs = materialize(pairs)
+            done.append(pairs)
             release(leaders)
             compared = pairs if compared is None else compared.union(pairs)
             with arrow_rows(docs.sparkSession, 2000):
@@ -333,20 +340,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
         else:
             likely, direct = _across(rowset, reps, docs, floors, shingle, percent, bands)
             likely = materialize(likely.join(compared, ["x", "y"], "left_anti"))
+            done.append(direct)
             links = direct if links is None else links.union(direct)
         release(rowset)
         if likely.limit(1).count() > 0:
             found = _verify(likely, docs, shingle, percent)
+            done.append(found)
             links = found if links is None else links.union(found)
         release(likely)
         if links is not None:
             comps = materialize(connected_components(links, "x", "y"))
+            done.append(comps)
 
     named = classes.withColumn("component_id", F.col("rep"))
     if comps is not None:
         named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     named = materialize(named.select("key", "component_id"))
-    out = sketches.select("doc_id", "n_shingles", "key").join(named, "key", "left")
+    for df in done:
+        release(df)
+    out = rows_out.join(named, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
