@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from changelens.llm import chat_format, decontaminate, embedding_dedup, html_extract, language_id, lm_score, minhash_dedup, packing, quality, url_filter
+from changelens.llm import chat_format, decontaminate, embedding_dedup, html_extract, language_id, lm_score, merkle, minhash_dedup, packing, quality, sentencepieces, spelling, url_filter
 
 QUERIES = {
     "op1_html_extract": html_extract.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.query,
     "op9_packing": packing.query,
     "op10_chat_format": chat_format.query,
+    "op11_merkle": merkle.query,
+    "op12_spelling": spelling.query,
+    "op13_sentencepiece": sentencepieces.query,
 }
 
 ORACLES = {
@@ -23,4 +26,6 @@ ORACLES = {
     "op7_minhash_dedup": minhash_dedup.ORACLE_SQL,
     "op8_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op10_chat_format": chat_format.ORACLE_SQL,
+    "op11_merkle": merkle.ORACLE_SQL,
+    "op12_spelling": spelling.ORACLE_SQL,
 }
