@@ -8,7 +8,7 @@ agenda, and so on until it is empty. A symbol that is no piece becomes its UTF-8
 Two code points that are adjacent in no piece never meet in one symbol, so a text is cut there
 beforehand without any change of result. The agenda then runs once for each distinct chunk of
 a slice of an Arrow batch, and the ids of all texts are gathered from them by position. The
-ids of the first `cache_chunks` chunks are kept for later batches.
+ids of the chunks that came last are kept for later batches, at most twice `cache_chunks`.
 
 Decoding gathers the pieces' bytes, drops control pieces and the space that normalising put in
 front, and replaces each byte that is not UTF-8.
@@ -24,6 +24,7 @@ whole; an empty table gives an empty result; extra columns are ignored, whatever
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
@@ -39,6 +40,8 @@ from changelens.llm.common import hand_back, table
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = range(1, 7)
+_SHORT = 48  # up to so many symbols the agenda is a list, beyond that a heap
+_NONE = 1 << 60
 _LONGEST = 64  # longer chunks are not kept
 _SECTION = 1 << 20  # code points of a text that are cut into chunks at a time
 _SLICE = 2 << 20  # bytes of text that are encoded or decoded at a time
@@ -72,7 +75,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class Vocabulary:
     """Pieces, scores and settings of a model file."""
 
-    def __init__(self, path: str, cache_chunks: int = 150_000) -> None:
+    def __init__(self, path: str, cache_chunks: int = 200_000) -> None:
         from sentencepiece import SentencePieceProcessor
 
         self.library = SentencePieceProcessor(model_file=path)
@@ -83,7 +86,7 @@ class Vocabulary:
         if normalizer.get(2) or not normalizer.get(3, 1) or normalizer.get(4, 1) or not normalizer.get(5, 1) or trainer.get(24, 0):
             raise ValueError("a normaliser that does more than mark spaces")
         self.text: list[str] = []
-        self.score: dict[str, float] = {}
+        score: dict[str, float] = {}
         self.id: dict[str, int] = {}
         kinds = []
         for number, value in proto:
@@ -93,9 +96,12 @@ class Vocabulary:
                 if kind in (_USER, _UNUSED):
                     raise ValueError("pieces that are user-defined or unused")
                 if kind == _NORMAL:
-                    self.score[text], self.id[text] = struct.unpack("<f", piece[2])[0], len(kinds)
+                    score[text], self.id[text] = struct.unpack("<f", piece[2])[0], len(kinds)
                 self.text.append(text)
                 kinds.append(kind)
+        # A piece's order on the agenda: 0 for the highest score, the same for equal scores.
+        order = {x: i for i, x in enumerate(sorted(set(score.values()), reverse=True))}
+        self.order = {t: order[x] for t, x in score.items()}
         self.kind = np.array(kinds)
         self.byte = np.zeros(256, dtype=np.int64)
         for i in np.flatnonzero(self.kind == _BYTE).tolist():
@@ -119,52 +125,72 @@ class Vocabulary:
             self.adjacent[n[:-1], n[1:]] = True
         self.cache_chunks = cache_chunks
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     # --- encoding ----------------------------------------------------------------------
 
     def merge(self, text: str) -> list[str]:
         """The symbols that the agenda leaves of a normalised text."""
-        score = self.score
+        order, none = self.order.get, _NONE
         symbols = list(text)
         n = len(symbols)
+        if n > _SHORT:
+            return self._merge_long(symbols)
+        agenda = [order(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while agenda and (best := min(agenda)) != none:
+            i = agenda.index(best)
+            piece = symbols[i] + symbols.pop(i + 1)
+            symbols[i] = piece
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = order(piece + symbols[i + 1], none)
+            if i:
+                agenda[i - 1] = order(symbols[i - 1] + piece, none)
+        return symbols
+
+    def _merge_long(self, symbols: list[str]) -> list[str]:
+        """The same with the agenda in a heap; an entry is the piece's order and the left place."""
+        order = self.order.get
+        n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(-s, i, len(p)) for i in range(n - 1) if (s := score.get(p := symbols[i] + symbols[i + 1])) is not None]
+        agenda = [(o, i) for i in range(n - 1) if (o := order(symbols[i] + symbols[i + 1])) is not None]
         heapify(agenda)
         while agenda:
-            _, i, size = heappop(agenda)
+            o, i = heappop(agenda)
             j = after[i]
-            if not symbols[i] or j >= n or len(symbols[i]) + len(symbols[j]) != size:
+            if j == n or not symbols[i]:
+                continue
+            piece = symbols[i] + symbols[j]
+            if order(piece) != o:
                 continue  # one of the two has been merged since
-            symbols[i] += symbols[j]
+            symbols[i] = piece
             symbols[j] = ""
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (s := score.get(p := symbols[i] + symbols[k])) is not None:
-                    heappush(agenda, (-s, i, len(p)))
+                if (o := order(piece + symbols[k])) is not None:
+                    heappush(agenda, (o, i))
             h = before[i]
-            if h >= 0 and (s := score.get(p := symbols[h] + symbols[i])) is not None:
-                heappush(agenda, (-s, h, len(p)))
+            if h >= 0 and (o := order(symbols[h] + piece)) is not None:
+                heappush(agenda, (o, h))
         return [s for s in symbols if s]
 
     def _chunk(self, text: str) -> bytes:
-        found: list[int] = []
-        whole = self.id.get
-        for s in self.merge(text):
-            i = whole(s)
-            if i is None:
-                found.extend(self.byte[list(s.encode())].tolist())
-            else:
-                found.append(i)
-        return np.array(found, dtype="<u4").tobytes()
+        symbols = self.merge(text)
+        ids = list(map(self.id.get, symbols))
+        if None in ids:
+            ids = [i for s, x in zip(symbols, ids, strict=True) for i in ([x] if x is not None else self.byte[list(s.encode())].tolist())]
+        return array("I", ids).tobytes()
 
     def _chunks(self, texts: list[str]) -> list[bytes]:
         known, out = self.chunks, []
         for t in texts:
             ids = known.get(t)
             if ids is None:
-                ids = self._chunk(t)
-                if len(known) < self.cache_chunks and len(t) <= _LONGEST:
+                ids = self.older.get(t) or self._chunk(t)
+                if len(t) <= _LONGEST:
+                    if len(known) >= self.cache_chunks:
+                        self.older, self.chunks = known, (known := {})
                     known[t] = ids
             out.append(ids)
         return out
@@ -297,9 +323,9 @@ def tokenize(docs: DataFrame, path: str | None = None, check: bool = False) -> D
                 decoded = v.decode(rows)
                 agrees = [None] * len(rows)
                 if check:
-                    theirs = v.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+                    theirs = v.library.encode(texts, add_bos=True, add_eos=True, num_threads=1, return_type="numpy")
                     again = v.library.decode(theirs, num_threads=1) if theirs else []
-                    agrees = [a.tolist() == b and c == d for a, b, c, d in zip(rows, theirs, decoded, again, strict=True)]
+                    agrees = [np.array_equal(a, b) and c == d for a, b, c, d in zip(rows, theirs, decoded, again, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([r.astype("<u4").tobytes() for r in rows], pa.binary()), pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())],
                     ["doc_id", "ids", "decoded", "agrees"],
