@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens.llm import decontaminate, language_id, minhash_dedup, packing, quality
-from changelens.llm.common import materialize, table
+from changelens.llm.common import materialize, release, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -43,6 +43,12 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
 
 
+def _reading(out: DataFrame, *stored: DataFrame) -> DataFrame:
+    """out, which reads these stored frames: once it is written itself, they can go."""
+    out.reads = stored
+    return out
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row stays of each group, on five-word shingles: that of the smallest doc_id, where
     a null comes last, then the first. Rows of equal texts are a group; texts that are null or
@@ -53,7 +59,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     members = materialize(found.select(F.col("doc_id").alias("row"), "component_id").join(groups, "component_id").join(rows.select("row", "doc_id"), "row"))
     first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     gone = materialize(members.select("row").join(first.select("first.row"), "row", "left_anti"))
-    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
+    release(members)
+    return _reading(rows.join(gone, "row", "left_anti").select(*COLUMNS), rows, gone)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +68,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     and empty items are contained in none."""
     rows = _numbered(docs)
     leaks = materialize(decontaminate.contaminated(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("row")).distinct())
-    return rows.join(leaks, "row", "left_anti").select(*COLUMNS)
+    return _reading(rows.join(leaks, "row", "left_anti").select(*COLUMNS), rows, leaks)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,8 +90,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
+    """All stages over `documents`. Once a stage's output is written, its input and what the
+    stage has stored are deleted, so two copies of the corpus lie there at most."""
     docs = table(spark, sf_dir, "documents")
+    given = True
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        out = stage(spark, docs, sf_dir)
+        written = materialize(out)
+        for old in (*getattr(out, "reads", ()), *(() if given else (docs,))):
+            release(old)
+        docs, given = written, False
     return STAGES[-1][1](spark, docs, sf_dir)
