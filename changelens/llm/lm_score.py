@@ -1,25 +1,30 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Counts of words and word pairs are quantised: a count c has level 1 + floor(log2 c), and the
-filter holds an n-gram once for each level up to its own. A count is read back by probing
-level 1, 2, ... until a probe fails. With level q standing for the middle of its range, a
-word w after h has the probability
-
-    L * min(1, c(h w) / c(h)) + (1 - L) * (c(w) + 1) / (N + V + 1)
-
-(the second term alone after an unknown h). A text is its words and an end; the end also
-stands before the first word. The base score uses exact word counts.
-
-The filter is cut into shards by the top bits of an n-gram's hash, as many as the corpus
-needs for shards of a bounded size; a shard's part of the exact word counts lies beside it.
-Texts are counted a batch at a time, and a shard is built by one task from what the batches
-have for it. If all shards together have at most `broadcast_mb`, they are broadcast. Beyond
-that the probes go to the shards by a shuffle, each distinct n-gram of a batch once. Both
-ways give the same scores.
-
-Defined results: a null text is empty and has one token, the end; without training texts a
-base score is 0 per token, and so is a score; rows that repeat give a result each; extra
-columns are ignored; an empty table gives an empty result. Words are compared by 64-bit hash.
+Counts of word pairs are quantised: a count c has level 1 + floor(log2 c), and the filter holds
+a pair once for each level up to its own. A level is read back by probing level 1, 2, ... until
+a probe fails; it stands for the middle of its range. Beside the filter lies, for each word h
+of the vocabulary, its exact count, M(h), the sum of what the levels of its pairs stand for, and
+T(h), how many words follow it. A word w after h has the probability
+
+    (value(h w) + T(h) * p(w)) / (M(h) + T(h)),    p(w) = (c(w) + 1) / (N + V + 1)
+
+(p(w) alone after an unknown h). Both p and the pair term sum to 1 over the vocabulary and one
+unknown word, so the whole does, but for pairs that pass the filter by chance. Level 1 has
+log2 V + 6 probes, so that these add less than 1/64 of a single pair's value to any history;
+higher levels, which only pairs that passed before can reach, have 8. A text is its words and
+an end; the end also stands before the first word. The base score uses exact word counts.
+
+Each task counts the words and pairs of its texts and hands them on as rows, which are summed
+by n-gram, combined before the shuffle. The filter is cut into shards by the top bits of a
+pair's hash, as many as the corpus needs for shards of a bounded size; one task builds a shard
+from its distinct pairs. If all shards together have at most `broadcast_mb`, they are broadcast.
+Beyond that the probes go to the shards by a shuffle, each distinct pair once. Both ways give
+the same scores.
+
+Defined results: a null text is empty and has one token, the end; a null doc_id is not held out;
+without training texts a base score is 0 per token, and so is a score; rows that repeat give a
+result each; extra columns are ignored; an empty table gives an empty result. Words are compared
+by 64-bit hash.
 """
 
 from __future__ import annotations
@@ -28,17 +33,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm.common import arrow_rows, crc_mod, materialize, mix64, table, word_hashes
+from changelens.llm.common import arrow_rows, crc_mod, hand_back, materialize, mix64, release, table, word_hashes
 
 END = np.uint64(0x3C79AC492BA7B653)
-WEIGHT = 0.7  # L
-PROBES = 6  # hash functions: one failing probe in 64 passes by chance
+PROBES = 8  # hash functions of levels above 1
+_SPARE = 6  # probes at level 1 beyond log2 of the vocabulary
 _SHARD_GRAMS = 1_500_000
-_SLICE = 200_000  # tokens scored at a time
-_GATHERED = 1_000_000  # tokens counted at a time
+_SLICE = 400_000  # tokens scored at a time
+_GATHERED = 3_000_000  # tokens counted at a time
 _BATCH = 1000  # texts sent to Python at a time
 
 
@@ -55,14 +61,21 @@ def _history(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate(([END], tokens[:-1]))
 
 
-def _places(grams: np.ndarray, level: np.ndarray | int, bits: np.ndarray) -> Iterator[np.ndarray]:
+def _places(grams: np.ndarray, level: int, bits: np.ndarray, probes: int) -> Iterator[np.ndarray]:
     """For each probe: the bit of each n-gram at its level, in filters of so many bits."""
     with np.errstate(over="ignore"):
-        g = mix64(grams + np.uint64(0xA0761D6478BD642F) * np.asarray(level, dtype=np.uint64))
-        a, b = g >> np.uint64(32), (g & np.uint64(0xFFFFFFFF)) | np.uint64(1)
-        for _ in range(PROBES):
+        g = mix64(grams + np.uint64(0xA0761D6478BD642F) * np.uint64(level))
+        h = mix64(g + np.uint64(0xE7037ED1A0B428DB))
+        a, b = g >> np.uint64(32), h | np.uint64(1)
+        for _ in range(probes):
             yield ((a & np.uint64(0xFFFFFFFF)) * bits) >> np.uint64(32)
-            a = a + b
+            a = a + (b >> np.uint64(32)) + np.uint64(1)
+            b = b * np.uint64(0x9E3779B97F4A7C15)
+
+
+def probes_for(v: int) -> int:
+    """Probes at level 1 for a vocabulary of so many words."""
+    return _SPARE + max(1, v).bit_length()
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -74,41 +87,39 @@ def _value(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, 1.5 * 2.0 ** (levels - 1) - 0.5, 0.0)
 
 
-def _build(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The packed filter of distinct n-grams and their counts."""
-    levels = _levels(counts)
-    size = max(64, int(levels.sum() * PROBES / np.log(2)))
+def level_column(n: Column) -> Column:
+    """The level of a column of counts."""
+    return F.length(F.bin(n))
+
+
+def _build(grams: np.ndarray, levels: np.ndarray, first: int) -> np.ndarray:
+    """The packed filter of distinct n-grams of these levels, with `first` probes at level 1."""
+    size = max(64, int((grams.size * first + (levels - 1).sum() * PROBES) / np.log(2)))
     bits = np.zeros(-(-size // 8) * 8, dtype=np.uint8)
     for q in range(1, int(levels.max(initial=0)) + 1):
-        for place in _places(grams[levels >= q], q, np.uint64(bits.size)):
+        for place in _places(grams[levels >= q], q, np.uint64(bits.size), first if q == 1 else PROBES):
             bits[place] = 1
     return np.packbits(bits, bitorder="little")
 
 
 class Shards:
-    """Filters and exact word counts of one or more shards, ready to be probed."""
+    """The filters of one or more shards, ready to be probed."""
 
-    def __init__(self, rows: Iterable, layout: list[tuple[int, int, int]], shift: int, n: int, v: int) -> None:
-        """layout: the shard, bytes of its filter and words of each row. Rows come in any
-        order; each is copied to its place and let go."""
-        self.shift, self.n, self.v = shift, n, v
+    def __init__(self, rows: Iterable, layout: list[tuple[int, int]], shift: int, first: int) -> None:
+        """layout: the shard and the bytes of its filter. Rows come in any order; each is copied
+        to its place and let go."""
+        self.shift, self.first = shift, first
         self.offset = np.zeros(1 << (64 - shift), dtype=np.uint64)
         self.bits = np.ones(1 << (64 - shift), dtype=np.uint64)
-        places, at, first = {}, 1, 0  # a shard without a row has one bit, not set
-        for shard, filter_bytes, n_words in sorted(layout):
-            places[shard] = (at, first)
+        places, at = {}, 1  # a shard without a row has one bit, not set
+        for shard, filter_bytes in sorted(layout):
+            places[shard] = at
             self.offset[shard], self.bits[shard] = at * 8, filter_bytes * 8
             at += filter_bytes
-            first += n_words
         self.filter = np.zeros(at, dtype=np.uint8)
-        self.words = np.empty(first, dtype=np.uint64)  # in order: a shard is a range of hashes
-        self.counts = np.empty(first, dtype=np.uint32)
         for r in rows:
-            at, first = places[r["shard"]]
-            part, words = np.frombuffer(r["bits"], dtype=np.uint8), np.frombuffer(r["words"], dtype=np.uint64)
-            self.filter[at : at + part.size] = part
-            self.words[first : first + words.size] = words
-            self.counts[first : first + words.size] = np.frombuffer(r["counts"], dtype=np.uint32)
+            part = np.frombuffer(r["bits"], dtype=np.uint8)
+            self.filter[places[r["shard"]] : places[r["shard"]] + part.size] = part
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """The level of each n-gram, by probing until a probe fails."""
@@ -117,91 +128,93 @@ class Shards:
         alive, q = np.arange(grams.size), 0
         while alive.size:
             q += 1
-            offset, bits, g = self.offset[shard[alive]], self.bits[shard[alive]], grams[alive]
+            offset, bits = self.offset[shard[alive]], self.bits[shard[alive]]
             hit = np.ones(alive.size, dtype=bool)
-            for place in _places(g, q, bits):
+            for place in _places(grams[alive], q, bits, self.first if q == 1 else PROBES):
                 at = place + offset
                 hit &= (self.filter[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
             alive = alive[hit]
             out[alive] = q
         return out
 
-    def exact(self, words: np.ndarray) -> np.ndarray:
-        """The exact count of each word."""
-        if self.words.size == 0:
-            return np.zeros(words.size, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.words, words), self.words.size - 1)
-        return np.where(self.words[at] == words, self.counts[at], 0).astype(np.int64)
+
+class Words:
+    """Exact counts of the vocabulary, and M and T of each word as a history."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, mass: np.ndarray, after: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.counts, self.mass, self.after = hashes[order], counts[order], mass[order], after[order]
+
+    def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The count, M and T of each word; 0 for unknown ones."""
+        if self.hashes.size == 0:
+            return np.zeros(words.size, dtype=np.int64), np.zeros(words.size), np.zeros(words.size)
+        at = np.minimum(np.searchsorted(self.hashes, words), self.hashes.size - 1)
+        known = self.hashes[at] == words
+        return tuple(np.where(known, x[at], 0) for x in (self.counts, self.mass, self.after))
 
 
 def base_logs(counts: np.ndarray, n: int, v: int) -> np.ndarray:
     return np.log10((counts + 1.0) / (n + (v + 1.0)))
 
 
-def model_logs(pair: np.ndarray, before: np.ndarray, word: np.ndarray, n: int, v: int) -> np.ndarray:
-    """log10 probabilities from the levels of a pair, of the word before and of the word."""
-    alone = np.minimum(1.0, (_value(word) + 1.0) / (n + v + 1.0))
-    c = _value(before)
-    ratio = np.minimum(1.0, _value(pair) / np.maximum(c, 1.0))
-    return np.log10(np.where(c > 0, WEIGHT * ratio + (1 - WEIGHT) * alone, alone))
+def model_probabilities(pair: np.ndarray, mass: np.ndarray, after: np.ndarray, count: np.ndarray, n: int, v: int) -> np.ndarray:
+    """Probabilities of words from the levels of their pairs, M and T of the words before and
+    their own counts."""
+    alone = (count + 1.0) / (n + v + 1.0)
+    return np.where(mass > 0, (_value(pair) + after * alone) / np.maximum(mass + after, 1.0), alone)
 
 
-def _distinct(grams: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    if counts is None:
-        return np.unique(grams, return_counts=True)
-    order = np.argsort(grams, kind="stable")
-    grams, counts = grams[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
-    return grams[first], np.add.reduceat(counts, first)
+_GRAMS = "gram long, before long, n long"
 
 
-def train(docs: DataFrame, shard_grams: int = _SHARD_GRAMS) -> tuple[DataFrame, int, int, int]:
-    """The shards (shard, bits, words, counts) of docs (text), their shift, N and V."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    top = max(0, int(np.ceil(np.log2(max(1.0, size / 4 / shard_grams)))))  # a token has some 6 bytes; words and pairs
-    shift = 64 - top
+def train(docs: DataFrame, shard_grams: int = _SHARD_GRAMS) -> tuple[DataFrame, DataFrame, int, int, int]:
+    """From docs (text): the shards (shard, bits), the words (word, n, mass, after), the shards'
+    shift, N and V."""
+
+    def rows(tokens: list[np.ndarray]) -> pa.RecordBatch:
+        words, n = np.unique(np.concatenate(tokens), return_counts=True)
+        before = np.concatenate([_history(t) for t in tokens])
+        pairs, first, m = np.unique(_pair(before, np.concatenate(tokens)), return_index=True, return_counts=True)
+        grams, of = (x.view(np.int64) for x in (np.concatenate((words, pairs)), np.concatenate((words, before[first]))))
+        return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(of, mask=np.arange(of.size) < words.size), pa.array(np.concatenate((n, m)))], ["gram", "before", "n"])
 
-    def counted(tokens: list[np.ndarray]) -> pd.DataFrame:
-        words = _distinct(np.concatenate(tokens))
-        pairs = _distinct(np.concatenate([_pair(_history(t), t) for t in tokens]))
-        edges = np.arange(1, 1 << top, dtype=np.uint64) << np.uint64(shift) if top else np.zeros(0, dtype=np.uint64)
-        out = {"shard": np.arange(1 << top, dtype=np.int32)}
-        for name, (grams, n) in (("words", words), ("pairs", pairs)):
-            cuts = np.searchsorted(grams, edges)
-            out[name] = [x.tobytes() for x in np.split(grams, cuts)]
-            out[f"{name}_n"] = [x.tobytes() for x in np.split(n.astype(np.uint32), cuts)]
-        return pd.DataFrame(out)[["shard", "words", "words_n", "pairs", "pairs_n"]]
-
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         waiting = 0
         for b in batches:
-            for text in b["text"]:
-                held.append(_tokens(text))
+            for text in b.column("text"):
+                held.append(_tokens(text.as_py()))
                 waiting += held[-1].size
                 if waiting >= _GATHERED:
-                    yield counted(held)
+                    yield rows(held)
                     held, waiting = [], 0
         if held:
-            yield counted(held)
+            yield rows(held)
+        held = []
+        hand_back()
 
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        def merged(name: str) -> tuple[np.ndarray, np.ndarray]:
-            grams = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in group[name]])
-            counts = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in group[f"{name}_n"]]).astype(np.int64)
-            return _distinct(grams, counts) if grams.size else (grams, counts)
-
-        words, n = merged("words")
-        pairs, pn = merged("pairs")
-        bits = _build(np.concatenate((words, pairs)), np.concatenate((n, pn)))
-        row = {"shard": group["shard"].iloc[0], "bits": bits.tobytes(), "words": words.tobytes(), "counts": np.minimum(n, 2**32 - 1).astype(np.uint32).tobytes(), "n": int(n.sum()), "v": int(words.size)}
-        return pd.DataFrame([row])
-
-    gathered = docs.select("text").mapInPandas(gather, "shard int, words binary, words_n binary, pairs binary, pairs_n binary")
     with arrow_rows(docs.sparkSession, _BATCH):
-        shards = materialize(gathered.groupBy("shard").applyInPandas(build, "shard int, bits binary, words binary, counts binary, n long, v long"))
-    n, v = shards.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    return shards.select("shard", "bits", "words", "counts"), shift, n, v
+        # before is the same in all rows of a pair, and null for words.
+        grams = materialize(docs.select("text").mapInArrow(count, _GRAMS).groupBy("gram", "before").agg(F.sum("n").alias("n")))
+    pairs = grams.where("before IS NOT NULL")
+    masses = pairs.groupBy(F.col("before").alias("word")).agg(F.sum(F.lit(1.5) * F.pow(F.lit(2.0), level_column(F.col("n")) - 1) - F.lit(0.5)).alias("mass"), F.count("*").alias("after"))
+    words = materialize(grams.where("before IS NULL").select(F.col("gram").alias("word"), "n").join(masses, "word"))
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    first = probes_for(v)
+    top = max(0, int(np.ceil(np.log2(max(1.0, pairs.count() / shard_grams)))))
+    shift = 64 - top
+    shard = F.shiftrightunsigned("gram", shift).cast("int") if top else F.lit(0)
+
+    def build(group: pd.DataFrame) -> pd.DataFrame:
+        bits = _build(group["gram"].to_numpy().view(np.uint64), group["level"].to_numpy().astype(np.int64), first)
+        return pd.DataFrame([{"shard": group["shard"].iloc[0], "bits": bits.tobytes()}])
+
+    # Distinct pairs only, and their hashes are spread evenly: a group has some shard_grams rows.
+    level = level_column(F.col("n")).cast("byte")
+    shards = materialize(pairs.select(shard.alias("shard"), "gram", level.alias("level")).groupBy("shard").applyInPandas(build, "shard int, bits binary"))
+    release(grams)
+    return shards, words, shift, n, v
 
 
 _SCORES = "n_tokens long, n_known long, base_score double, score double"
@@ -211,108 +224,106 @@ def score(docs: DataFrame, held_out: Column, broadcast_mb: int = 256, shard_gram
     """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score. The model learns from the rows that are not held out."""
     spark = docs.sparkSession
-    shards, shift, n, v = train(docs.where(~held_out), shard_grams)
-    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
-    size = shards.agg(F.sum(F.length("bits") + F.length("words") + F.length("counts"))).first()[0] or 0
+    rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    shards, words, shift, n, v = train(rows.where("NOT held_out"), shard_grams)
+    size = (shards.agg(F.sum(F.length("bits"))).first()[0] or 0) + 32 * v
     if size <= broadcast_mb * 1_000_000:
-        layout = [tuple(r) for r in shards.select("shard", F.length("bits"), F.expr("length(words) div 8")).collect()]
-        model = spark.sparkContext.broadcast(Shards(shards.toLocalIterator(), layout, shift, n, v))
+        model = spark.sparkContext.broadcast(_gathered(shards, words, shift, v))
 
         @F.pandas_udf(_SCORES)
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            m = model.value
+            shards_, words_ = model.value
             for texts in batches:
                 out, held, waiting = [], [], 0
-
-                def flush() -> None:
-                    if held:
-                        out.append(_score_slice(m, held))
-                        held.clear()
-
                 for text in texts:
                     held.append(_tokens(text))
                     waiting += held[-1].size
                     if waiting >= _SLICE:
-                        flush()
-                        waiting = 0
-                flush()
+                        out.append(_score_slice(shards_, words_, held, n, v))
+                        held, waiting = [], 0
+                if held:
+                    out.append(_score_slice(shards_, words_, held, n, v))
                 yield pd.concat(out, ignore_index=True) if out else pd.DataFrame({"n_tokens": [], "n_known": [], "base_score": [], "score": []})
+            hand_back()
 
         with arrow_rows(spark, _BATCH):
             scored = materialize(rows.select("doc_id", "held_out", run("text").alias("s")))
     else:
-        scored = _score_by_shuffle(rows, shards, shift, n, v)
+        scored = _score_by_shuffle(rows, shards, words, shift, n, v)
     return scored.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(n).cast("long").alias("train_tokens"), "s.base_score", "s.score")
 
 
-def _score_slice(m: Shards, texts: list[np.ndarray]) -> pd.DataFrame:
+def _gathered(shards: DataFrame, words: DataFrame, shift: int, v: int) -> tuple[Shards, Words]:
+    """All of the model, within the bound of a broadcast."""
+    layout = [tuple(r) for r in shards.select("shard", F.length("bits")).collect()]
+    kinds = {"word": np.int64, "n": np.int64, "mass": np.float64, "after": np.float64}
+    table_ = words.select("word", "n", "mass", F.col("after").cast("double").alias("after")).toArrow()
+    columns = [table_.column(k).to_numpy().astype(kind) for k, kind in kinds.items()]
+    return Shards(shards.toLocalIterator(), layout, shift, probes_for(v)), Words(columns[0].view(np.uint64), *columns[1:])
+
+
+def _score_slice(shards: Shards, known: Words, texts: list[np.ndarray], n: int, v: int) -> pd.DataFrame:
     starts = np.concatenate(([0], np.cumsum([t.size for t in texts])[:-1]))
     tokens = np.concatenate(texts)
     before = np.concatenate(([END], tokens[:-1]))
     before[starts] = END
-    words, back = np.unique(tokens, return_inverse=True)
-    exact, level = m.exact(words), m.levels(words)
-    history = np.empty(tokens.size, dtype=np.int64)
-    of_end = int(m.levels(np.array([END]))[0])
-    history[0] = of_end
-    history[1:] = level[back[:-1]]
+    words, back = np.unique(np.append(tokens, END), return_inverse=True)
+    count, mass, after = known.look_up(words)
+    of_end, back = back[-1], back[:-1]
+    history = np.concatenate(([of_end], back[:-1]))
     history[starts] = of_end
-    logs = model_logs(m.levels(_pair(before, tokens)), history, level[back], m.n, m.v)
+    pairs, at = np.unique(_pair(before, tokens), return_inverse=True)
+    p = model_probabilities(shards.levels(pairs)[at], mass[history], after[history], count[back], n, v)
     return pd.DataFrame(
         {
             "n_tokens": [t.size for t in texts],
-            "n_known": np.add.reduceat((exact > 0)[back].astype(np.int64), starts),
-            "base_score": np.add.reduceat(base_logs(exact, m.n, m.v)[back], starts),
-            "score": np.add.reduceat(logs, starts),
+            "n_known": np.add.reduceat((count > 0)[back].astype(np.int64), starts),
+            "base_score": np.add.reduceat(base_logs(count, n, v)[back], starts),
+            "score": np.add.reduceat(np.log10(p), starts),
         }
     )
 
 
-def _score_by_shuffle(rows: DataFrame, shards: DataFrame, shift: int, n: int, v: int) -> DataFrame:
-    """The same scores, with the probes dealt to the shards."""
+def _score_by_shuffle(rows: DataFrame, shards: DataFrame, words: DataFrame, shift: int, n: int, v: int) -> DataFrame:
+    """The same scores, with the probes dealt to the shards and the words joined."""
     rows = rows.withColumn("row", F.monotonically_increasing_id())
+    first = probes_for(v)
 
     def uses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for row, text in zip(b["row"], b["text"], strict=True):
                 t = _tokens(text)
                 h = _history(t)
-                pair, first, times = np.unique(_pair(h, t), return_index=True, return_counts=True)
-                yield pd.DataFrame({"row": row, "pair": pair.view(np.int64), "before": h[first].view(np.int64), "word": t[first].view(np.int64), "times": times})
-
-    def shard_of(x: np.ndarray) -> np.ndarray:
-        return (x.view(np.uint64) >> np.uint64(shift)).astype(np.int32) if shift < 64 else np.zeros(x.size, dtype=np.int32)
+                pair, at, times = np.unique(_pair(h, t), return_index=True, return_counts=True)
+                yield pd.DataFrame({"row": row, "pair": pair.view(np.int64), "before": h[at].view(np.int64), "word": t[at].view(np.int64), "times": times})
 
     used = materialize(rows.select("row", "text").mapInPandas(uses, "row long, pair long, before long, word long, times long"))
-    # Each distinct n-gram is probed once.
-    grams = used.select(F.explode(F.array("pair", "before", "word")).alias("gram")).distinct()
-
-    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(shard=shard_of(b["gram"].to_numpy()))
+    # Pairs first: what is looked up for a pair is the same in every text.
+    pairs = used.select("pair", "before", "word").distinct()
+    shard = F.shiftrightunsigned("pair", shift).cast("int") if shift < 64 else F.lit(0)
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        g = left["gram"].to_numpy().view(np.uint64)
-        rows = right.to_dict("records")  # one, or none
-        m = Shards(rows, [(r["shard"], len(r["bits"]), len(r["words"]) // 8) for r in rows], shift, n, v)
-        return pd.DataFrame({"gram": left["gram"], "level": m.levels(g), "exact": m.exact(g)})
-
-    known = materialize(
-        grams.mapInPandas(dealt, "gram long, shard int").groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(probe, "gram long, level long, exact long")
-    )
+        one = right.to_dict("records")  # one, or none
+        s = Shards(one, [(r["shard"], len(r["bits"])) for r in one], shift, first)
+        return left[["pair", "before", "word"]].assign(level=s.levels(left["pair"].to_numpy().view(np.uint64)))
+
+    probed = pairs.withColumn("shard", shard).groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(probe, "pair long, before long, word long, level long")
+    probed = materialize(probed)
+    # A common word is the history of many distinct pairs: its row is looked up with salt.
+    salts = 16
+    salted = words.crossJoin(rows.sparkSession.range(salts).withColumnRenamed("id", "salt"))
+    of = probed.withColumn("salt", F.pmod(F.col("pair"), F.lit(salts)))
+    of = of.join(salted.select(F.col("word").alias("before"), "salt", "mass", "after"), ["before", "salt"], "left")
+    of = of.join(salted.select("word", "salt", F.col("n").alias("count")), ["word", "salt"], "left")
 
     @F.pandas_udf("base double, model double, known long")
-    def logs(pair: pd.Series, before: pd.Series, word: pd.Series, exact: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(
-            {"base": base_logs(exact.to_numpy(), n, v), "model": model_logs(pair.to_numpy(), before.to_numpy(), word.to_numpy(), n, v), "known": (exact > 0).astype("int64")}
-        )
+    def logs(level: pd.Series, mass: pd.Series, after: pd.Series, count: pd.Series) -> pd.DataFrame:
+        c = count.to_numpy()
+        p = model_probabilities(level.to_numpy(), mass.to_numpy(), after.to_numpy(), c, n, v)
+        return pd.DataFrame({"base": base_logs(c, n, v), "model": np.log10(p), "known": (c > 0).astype(np.int64)})
 
-    # Pairs first: what is looked up per pair is the same for every text.
-    pairs = used.select("pair", "before", "word").distinct()
-    for name in ("pair", "before", "word"):
-        found = known.select(F.col("gram").alias(name), F.col("level").alias(f"{name}_level"), *([F.col("exact")] if name == "word" else []))
-        pairs = pairs.join(found, name)
-    valued = pairs.select("pair", logs("pair_level", "before_level", "word_level", "exact").alias("l"))
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    valued = of.select("pair", logs("level", zero("mass"), zero("after"), zero("count")).alias("l"))
     summed = (
         used.join(valued, "pair")
         .groupBy("row")

@@ -8,7 +8,7 @@ whole batch at once.
 The model is fitted on at most about `fit_rows` labelled texts, chosen by a hash; features
 always read whole texts, and every text is scored.
 
-Defined results: a null text counts as empty, and an empty text is scored like any other;
+Defined results: a null doc_id is not held out and not learned from; a null text counts as empty, and an empty text is scored like any other;
 labels that are null are not learned from, labels that repeat for a document count once (the
 smallest); without labels of both kinds the score is the smoothed share of label 1; repeated rows
 and extra columns pass through; an empty table gives an empty result.
@@ -237,7 +237,7 @@ def score(docs: DataFrame, model: Model, keep: float = 0.7) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: the quality of every document; a quarter of the labels is held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = crc_mod("doc_id", 4) == 2
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     model = fit(docs.where(~held_out), table(spark, sf_dir, "labels").where(~held_out))
     found = score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
     return found.select("doc_id", "held_out", "score", "predicted")
