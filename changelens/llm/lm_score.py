@@ -10,7 +10,7 @@ T(h), how many words follow it. A word w after h has the probability
 
 (p(w) alone after an unknown h). Both p and the pair term sum to 1 over the vocabulary and one
 unknown word, so the whole does, but for pairs that pass the filter by chance. Level 1 has
-log2 V + 6 probes, so that these add less than 1/64 of a single pair's value to any history;
+log2 V + 10 probes, so that one history in a thousand has such a pair;
 higher levels, which only pairs that passed before can reach, have 8. A text is its words and
 an end; the end also stands before the first word. The base score uses exact word counts.
 
@@ -41,7 +41,7 @@ from changelens.llm.common import arrow_rows, crc_mod, hand_back, materialize, m
 
 END = np.uint64(0x3C79AC492BA7B653)
 PROBES = 8  # hash functions of levels above 1
-_SPARE = 6  # probes at level 1 beyond log2 of the vocabulary
+_SPARE = 10  # probes at level 1 beyond log2 of the vocabulary
 _SHARD_GRAMS = 1_500_000
 _SLICE = 400_000  # tokens scored at a time
 _GATHERED = 3_000_000  # tokens counted at a time
