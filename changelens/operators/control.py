@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from changelens.operators import intervals
+
 # The states, which may follow which, and limits in seconds.
 TERMINAL = ("completed", "failed", "cancelled", "superseded")
 NEXT_STATES = {
@@ -114,6 +116,7 @@ def changed_symbols(symbols: DataFrame, changed: DataFrame) -> DataFrame:
     file. changed (path, seq, ranges): a file without ranges changes all its symbols, and of
     a path that is given twice the last row counts."""
     last = changed.groupBy("path").agg(F.max_by("ranges", "seq").alias("ranges"))
-    each = last.select("path", F.coalesce(F.size("ranges"), F.lit(0)).alias("n"), F.explode_outer("ranges").alias("r"))
-    hit = symbols.join(each, "path").where((F.col("n") <= 0) | ((F.col("start_line") <= F.col("r.end")) & (F.col("r.start") <= F.col("end_line"))))
-    return hit.select("path", "symbol").distinct()
+    whole = symbols.join(last.where("coalesce(size(ranges), 0) <= 0").select("path"), "path", "left_semi").select("path", "symbol")
+    parts = last.select("path", F.explode("ranges").alias("r")).select("path", F.col("r.start").alias("r_start"), F.col("r.end").alias("r_end"))
+    marked = symbols.withColumnsRenamed({"start_line": "l_start", "end_line": "l_end"})
+    return whole.union(intervals.overlaps(marked, parts, "path").select("path", "symbol")).distinct()

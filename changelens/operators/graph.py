@@ -32,6 +32,26 @@ def reverse_dependents(edges: DataFrame, start: DataFrame, depth: int = 3) -> Da
     return found.groupBy("start", "file_id").agg(F.min("distance").alias("distance"))
 
 
+def shortest_paths(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
+    """start (file_id) -> start, file_id, distance, paths: who depends on it within `depth`
+    steps, how near, and by how many shortest paths. A file on a cycle reports itself.
+
+    A level is a sum-product: the counts of the frontier are added up over its edges, and only
+    files that no earlier level has reached go on. Counts are decimals, as they multiply.
+    """
+    back = edges.select(F.col("dst").alias("at"), F.col("src").alias("to")).distinct()
+    frontier = start.select(F.col("file_id").alias("start"), F.col("file_id").alias("at"), F.lit(1).cast("decimal(38,0)").alias("paths")).distinct()
+    found = None
+    for d in range(1, depth + 1):
+        step = frontier.join(back, "at").groupBy("start", "to").agg(F.sum("paths").cast("decimal(38,0)").alias("paths"))
+        level = step.select("start", F.col("to").alias("file_id"), F.lit(d).alias("distance"), "paths")
+        if found is not None:
+            level = level.join(found.select("start", "file_id"), ["start", "file_id"], "left_anti")
+        frontier = level.select("start", F.col("file_id").alias("at"), "paths")
+        found = level if found is None else found.unionByName(level)
+    return found
+
+
 def neighbors(edges: DataFrame, center: int) -> DataFrame:
     """The edges that touch a file."""
     return edges.where((F.col("src") == center) | (F.col("dst") == center))

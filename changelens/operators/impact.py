@@ -50,7 +50,7 @@ def final_score() -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.round(total, 4).cast("double")))
 
 
-def candidates(files: DataFrame, edges: DataFrame, items: DataFrame, commits: DataFrame, changed: DataFrame, semantic: DataFrame, depth: int = 3, include_changed: bool = False) -> DataFrame:
+def candidates(files: DataFrame, edges: DataFrame, items: DataFrame, commits: DataFrame, changed: DataFrame, semantic: DataFrame, depth: int = 3, include_changed: bool = False, complexity: DataFrame | None = None) -> DataFrame:
     """file_id, path, the five components and the score of every file with a reason. files and
     edges are read by several components: hand in stored ones."""
     universe = files if include_changed else files.join(changed.select("file_id"), "file_id", "left_anti")
@@ -59,7 +59,7 @@ def candidates(files: DataFrame, edges: DataFrame, items: DataFrame, commits: Da
         "semantic": semantic.select("file_id", F.col("score").alias("semantic")),
         "cochange": cochange.cosine(items.distinct(), changed).select("file_id", F.col("score").alias("cochange")),
         "test": test_component(files, edges).select("file_id", F.col("score").alias("test")),
-        "risk": risk.scored(risk.components(files, edges, items, commits)).select("file_id", F.col("score").alias("risk")),
+        "risk": risk.scored(risk.components(files, edges, items, commits, complexity)).select("file_id", F.col("score").alias("risk")),
     }
     joined = universe.select("file_id", "path")
     for frame in parts.values():

@@ -2,11 +2,13 @@
 
 from changelens.plans import (  # noqa: F401
     control_queries,
+    embed_queries,
     evaluation_queries,
     git_queries,
     graph_queries,
     impact_queries,
     parse_queries,
     search_queries,
+    store_queries,
     text_queries,
 )

@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens.operators import evaluation as ev
-from changelens.operators import search
+from changelens.plans.embed_queries import NEAR_SQL, VECTORS_SQL, hits
 from changelens.plans.graph_queries import edge_paths, touched
 from changelens.plans.registry import query
-from changelens.sources.tables import CHUNKS_SQL, COMMITS_SQL, EDGES_SQL, FILES_SQL, TOUCHED_SQL, chunks, commits, files
+from changelens.sources.tables import COMMITS_SQL, EDGES_SQL, FILES_SQL, TEXTS_SQL, TOUCHED_SQL, commits, files
 from changelens.sources.tables_sink import stored
 
 LIMIT, MOST, KS, NEAR = 200, 20, (5, 10), 20
 
-_EVAL = f"""WITH {FILES_SQL}, {EDGES_SQL}, {TOUCHED_SQL}, {COMMITS_SQL}, {CHUNKS_SQL},
+_EVAL = f"""WITH {FILES_SQL}, {EDGES_SQL}, {TOUCHED_SQL}, {COMMITS_SQL},
 recent AS (SELECT * FROM commits ORDER BY author_date DESC NULLS LAST, sha LIMIT {LIMIT}),
 tp AS (SELECT DISTINCT sha, path FROM touched JOIN recent USING (sha) JOIN files USING (file_id)),
 judged AS (SELECT r.sha, coalesce(list_sort(list(path) FILTER (WHERE path IS NOT NULL)), []) AS paths FROM recent r LEFT JOIN tp USING (sha) GROUP BY r.sha),
@@ -25,9 +25,8 @@ dep AS (SELECT known, row_number() OVER (PARTITION BY known ORDER BY path)::INTE
 cn AS (SELECT path, count(*) AS n FROM tp GROUP BY path),
 cp AS (SELECT a.path AS known, b.path, round(least(1e0, count(*) / sqrt(any_value(x.n) * any_value(y.n)::DOUBLE)), 6) AS score FROM tp a JOIN known ON known.known = a.path JOIN tp b ON a.sha = b.sha AND a.path <> b.path JOIN cn x ON x.path = a.path JOIN cn y ON y.path = b.path GROUP BY ALL),
 co AS (SELECT known, row_number() OVER (PARTITION BY known ORDER BY score DESC, path)::INTEGER AS rn, path FROM cp),
-qv AS (SELECT known, arg_min(embedding, chunk_id)::DOUBLE[] AS v FROM known JOIN files ON path = known JOIN chunks USING (file_id) GROUP BY known),
-near AS (SELECT known, chunk_id, row_number() OVER (PARTITION BY known ORDER BY s DESC, chunk_id) AS rank FROM (SELECT known, chunk_id, round(greatest(0e0, least(1e0, list_cosine_similarity(embedding::DOUBLE[], v))), 4) AS s FROM chunks, qv)),
-sem AS (SELECT known, row_number() OVER (PARTITION BY known ORDER BY rank)::INTEGER AS rn, path FROM near JOIN chunks USING (chunk_id) JOIN files USING (file_id) WHERE rank <= {NEAR} AND path <> known),
+{TEXTS_SQL}, {VECTORS_SQL}, asked AS (SELECT known AS id, known AS text FROM known), {NEAR_SQL},
+sem AS (SELECT id AS known, row_number() OVER (PARTITION BY id ORDER BY rank)::INTEGER AS rn, path FROM near JOIN files USING (file_id) WHERE rank <= {NEAR} AND path <> id),
 hy AS (SELECT known, row_number() OVER (PARTITION BY known ORDER BY score DESC, path)::INTEGER AS rn, path FROM (SELECT known, path, round(sum(1e0 / rn), 6) AS score FROM (FROM dep UNION ALL FROM co UNION ALL FROM sem) GROUP BY ALL)),
 preds AS (SELECT 'dependency_only' AS method, * FROM dep UNION ALL SELECT 'cochange_only', * FROM co UNION ALL SELECT 'semantic_only', * FROM sem UNION ALL SELECT 'hybrid', * FROM hy),
 base AS (SELECT sha, s.known, truth, len(truth) AS t, m.method FROM scenarios s, (VALUES ('dependency_only'), ('cochange_only'), ('semantic_only'), ('hybrid')) m(method)),
@@ -67,11 +66,10 @@ def _cochange(spark: SparkSession, sf_dir: str, known: DataFrame | None = None)
 
 
 def _semantic(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
-    f, c = files(spark, sf_dir).select("file_id", "path"), chunks(spark, sf_dir)
-    own = (known or _known(spark, sf_dir)).join(f, F.col("known") == F.col("path")).join(c, "file_id")
-    vectors = own.groupBy("known").agg(F.min_by("embedding", "chunk_id").alias("query_vec")).withColumnRenamed("known", "query_id")
-    hits = search.batch_topk(c, vectors, NEAR).join(c.select("chunk_id", "file_id"), "chunk_id").join(f, "file_id")
-    return ev.by_semantic(hits.select(F.col("query_id").alias("known"), "rank", "path"))
+    """A known file is asked for by its path."""
+    asked = (known or _known(spark, sf_dir)).select(F.col("known").alias("id"), F.col("known").alias("text"))
+    found = hits(spark, sf_dir, asked, NEAR).join(files(spark, sf_dir).select("file_id", "path"), "file_id")
+    return ev.by_semantic(found.select(F.col("query_id").alias("known"), "rank", "path"))
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from changelens.operators import cochange, graph, imports
+from changelens.operators import commit_items as mixed
 from changelens.plans.registry import query
 from changelens.sources.tables import (
     CHUNKS_SQL, COMMITS_SQL, EDGES_SQL, FILES_SQL, ITEMS_SQL, TOUCHED_SQL,
@@ -97,6 +98,63 @@ def reverse_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reverse_bfs(spark, sf_dir).where("start <> file_id")
 
 
+@query(
+    "dependency_paths",
+    f"""WITH {FILES_SQL}, {CHANGED_SQL}, {EDGES_SQL}, {BFS_SQL}, n0 AS (SELECT file_id AS start, file_id AS at_id, 1::HUGEINT AS paths FROM changed),
+    n1 AS (SELECT n0.start, to_id AS at_id, sum(paths) AS paths FROM n0 JOIN back USING (at_id) GROUP BY ALL),
+    n2 AS (SELECT n.start, to_id AS at_id, sum(paths) AS paths FROM n1 n JOIN back USING (at_id) JOIN bfs ON bfs.start = n.start AND bfs.file_id = to_id AND distance = 2 GROUP BY ALL),
+    n3 AS (SELECT n.start, to_id AS at_id, sum(paths) AS paths FROM n2 n JOIN back USING (at_id) JOIN bfs ON bfs.start = n.start AND bfs.file_id = to_id AND distance = 3 GROUP BY ALL)
+    SELECT start, file_id, distance, paths::DECIMAL(38,0) AS paths, least(1e0, CASE distance WHEN 1 THEN 1e0 WHEN 2 THEN 0.65e0 WHEN 3 THEN 0.4e0 ELSE 0.2e0 END + least(0.2e0, 0.08e0 * (paths - 1)::DOUBLE)) AS score
+    FROM (SELECT start, at_id AS file_id, 1 AS distance, paths FROM n1 UNION ALL SELECT start, at_id, 2, paths FROM n2 UNION ALL SELECT start, at_id, 3, paths FROM n3)""",
+)
+def dependency_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who depends on the changed files, by how many shortest paths, and the score with them."""
+    from changelens.operators.impact import dependency_score
+
+    found = graph.shortest_paths(edges(spark, sf_dir), changed(spark, sf_dir))
+    return found.withColumn("score", dependency_score(F.col("distance"), F.col("paths").cast("double")))
+
+
+_ITEMS = """lists AS (SELECT o_orderkey AS sha, CASE WHEN o_orderstatus <> 'P' THEN list END AS list FROM orders LEFT JOIN (SELECT l_orderkey, '[' || string_agg(CASE l_linenumber
+  WHEN 1 THEN '"f' || l_partkey || '"' WHEN 2 THEN '{"path":"f' || l_partkey || '"}' WHEN 3 THEN '{"new_path":"f' || l_partkey || '","old_path":"g"}' WHEN 4 THEN '{"path":"","old_path":"f' || l_partkey || '"}'
+  WHEN 5 THEN '{"path":null}' WHEN 6 THEN '"f' || l_partkey || '"' ELSE '7' END, ',' ORDER BY l_linenumber, l_partkey) || ']' AS list FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey),
+items AS (SELECT sha, unnest(CAST(list AS JSON[])) AS item FROM lists WHERE list IS NOT NULL),
+parts AS (SELECT sha, json_type(item) AS kind, json_extract_string(item, '$') AS s, nullif(json_extract_string(item, '$.path'), '') AS p, nullif(json_extract_string(item, '$.new_path'), '') AS np, nullif(json_extract_string(item, '$.old_path'), '') AS op FROM items)"""
+
+
+def _mixed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commits whose lists mix strings and objects by line number; open orders have none."""
+    line = load(spark, sf_dir, "lineitem")
+    name, n = F.concat(F.lit("f"), "l_partkey"), F.col("l_linenumber")
+    quoted = F.concat(F.lit('"'), name, F.lit('"'))
+    item = (
+        F.when(n.isin(1, 6), quoted)
+        .when(n == 2, F.concat(F.lit('{"path":'), quoted, F.lit("}")))
+        .when(n == 3, F.concat(F.lit('{"new_path":'), quoted, F.lit(',"old_path":"g"}')))
+        .when(n == 4, F.concat(F.lit('{"path":"","old_path":'), quoted, F.lit("}")))
+        .when(n == 5, F.lit('{"path":null}'))
+        .otherwise(F.lit("7"))
+    )
+    lists = line.groupBy(F.col("l_orderkey").alias("sha")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]")).alias("list"))
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha"), "o_orderstatus")
+    return orders.join(lists, "sha", "left").select("sha", F.when(F.col("o_orderstatus") != "P", F.col("list")).alias("changed_files"))
+
+
+@query("commit_paths_renamed", f"WITH {_ITEMS} SELECT DISTINCT sha, path FROM (SELECT sha, CASE kind WHEN 'VARCHAR' THEN s WHEN 'OBJECT' THEN coalesce(p, np, op) END AS path FROM parts) WHERE path IS NOT NULL")
+def commit_paths_renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed.renamed_paths(_mixed_commits(spark, sf_dir))
+
+
+@query("commit_paths_plain", f"WITH {_ITEMS} SELECT DISTINCT sha, path FROM (SELECT sha, CASE kind WHEN 'VARCHAR' THEN s WHEN 'OBJECT' THEN p END AS path FROM parts) WHERE path IS NOT NULL")
+def commit_paths_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed.plain_paths(_mixed_commits(spark, sf_dir))
+
+
+@query("commit_paths_churn", f"WITH {_ITEMS} SELECT p AS path, count(*) AS churn FROM parts WHERE kind = 'OBJECT' AND p IS NOT NULL GROUP BY p")
+def commit_paths_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed.churn_counts(_mixed_commits(spark, sf_dir))
+
+
 @query("neighbors", f"WITH {EDGES_SQL}, center AS (SELECT dst AS c FROM edges GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1) SELECT src, dst FROM edges, center WHERE src = c OR dst = c")
 def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges around the file with the most dependents."""

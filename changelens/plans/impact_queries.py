@@ -7,28 +7,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from changelens.operators import cochange, impact, risk, search, tests_rec
+from changelens.functions import text as T
+from changelens.operators import cochange, embed, impact, risk, search, tests_rec
+from changelens.plans.embed_queries import NEAR_SQL, VECTORS_SQL, hits
 from changelens.plans.graph_queries import BFS_SQL, CHANGED_SQL, COCHANGE_SQL, changed, touched
 from changelens.plans.registry import query
+from changelens.plans.text_queries import complexity_score
 from changelens.sources.tables import (
-    CHUNKS_SQL, COMMITS_SQL, EDGES_SQL, FILES_SQL, ITEMS_SQL, TOUCHED_SQL,
-    chunks, commit_items, commits, edges, files, load,
+    COMMITS_SQL, EDGES_SQL, FILES_SQL, ITEMS_SQL, SOURCE_FILES_SQL, TEXTS_SQL, TOUCHED_SQL,
+    commit_items, commits, edges, files, load,
 )
 from changelens.sources.tables_sink import shared_folder, stored
 
-RISK_SQL = """fan AS (SELECT file_id, sum(i) AS fi, sum(o) AS fo FROM (SELECT dst AS file_id, 1 AS i, 0 AS o FROM edges UNION ALL SELECT src, 0, 1 FROM edges) GROUP BY file_id),
+_COMPLEXITY_SQL = rf"""{SOURCE_FILES_SQL}, complex AS (SELECT file_id, least(1.0, round((len(regexp_extract_all(content, '{T.JS_BRANCHES}')) * 0.08::DECIMAL(3,2) + len(regexp_extract_all(content, '\band\b')) * 0.12::DECIMAL(3,2)
+  + len(regexp_extract_all(content, '\bfunction\b|=>|\bof\b')) * 0.03::DECIMAL(3,2))::DECIMAL(18,4), 4)::DOUBLE)::DOUBLE AS complexity FROM source_files)"""
+RISK_SQL = _COMPLEXITY_SQL + """, fan AS (SELECT file_id, sum(i) AS fi, sum(o) AS fo FROM (SELECT dst AS file_id, 1 AS i, 0 AS o FROM edges UNION ALL SELECT src, 0, 1 FROM edges) GROUP BY file_id),
 ch AS (SELECT file_id, count(*) AS ch FROM items GROUP BY file_id),
 bf AS (SELECT file_id, count(DISTINCT sha) AS bf FROM items JOIN commits USING (sha) WHERE regexp_matches(lower(message), 'fix|bug|regression|hotfix|patch|broken') GROUP BY file_id),
-raw AS (SELECT f.*, coalesce(fi, 0) AS fi, coalesce(fo, 0) AS fo, coalesce(ch, 0) AS ch, coalesce(bf, 0) AS bf FROM files f LEFT JOIN fan USING (file_id) LEFT JOIN ch USING (file_id) LEFT JOIN bf USING (file_id)),
+raw AS (SELECT f.*, coalesce(fi, 0) AS fi, coalesce(fo, 0) AS fo, coalesce(ch, 0) AS ch, coalesce(bf, 0) AS bf, coalesce(complexity, 0) AS cx FROM files f LEFT JOIN complex USING (file_id) LEFT JOIN fan USING (file_id) LEFT JOIN ch USING (file_id) LEFT JOIN bf USING (file_id)),
 parts AS (SELECT file_id, path, language, loc, is_test, round(least(fi / 10e0, 1e0), 4) AS fan_in, round(least(fo / 10e0, 1e0), 4) AS fan_out, round(least((fi + fo) / 20e0, 1e0), 4) AS centrality,
-  round(least(ch / 20e0, 1e0), 4) AS churn, 0e0 AS complexity, round(least(loc / 500e0, 1e0), 4) AS file_size, round(least(bf / 8e0, 1e0), 4) AS bugfix_frequency, CASE WHEN is_test THEN 0e0 ELSE 0.2e0 END AS test_coverage_proxy FROM raw),
+  round(least(ch / 20e0, 1e0), 4) AS churn, round(least(cx, 1e0), 4) AS complexity, round(least(loc / 500e0, 1e0), 4) AS file_size, round(least(bf / 8e0, 1e0), 4) AS bugfix_frequency, CASE WHEN is_test THEN 0e0 ELSE 0.2e0 END AS test_coverage_proxy FROM raw),
 risks AS (SELECT *, least(1e0, round(fan_in::DECIMAL(6,4) * 0.25::DECIMAL(3,2) + fan_out::DECIMAL(6,4) * 0.10::DECIMAL(3,2) + centrality::DECIMAL(6,4) * 0.10::DECIMAL(3,2) + churn::DECIMAL(6,4) * 0.20::DECIMAL(3,2)
   + complexity::DECIMAL(6,4) * 0.15::DECIMAL(3,2) + file_size::DECIMAL(6,4) * 0.10::DECIMAL(3,2) + bugfix_frequency::DECIMAL(6,4) * 0.15::DECIMAL(3,2) + test_coverage_proxy::DECIMAL(6,4) * 0.05::DECIMAL(3,2), 4)::DOUBLE) AS score FROM parts)"""
 _RISK = f"WITH {FILES_SQL}, {EDGES_SQL}, {ITEMS_SQL}, {COMMITS_SQL}, {RISK_SQL}"
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.components(files(spark, sf_dir), edges(spark, sf_dir), commit_items(spark, sf_dir), commits(spark, sf_dir))
+    return risk.components(files(spark, sf_dir), edges(spark, sf_dir), commit_items(spark, sf_dir), commits(spark, sf_dir), complexity_score(spark, sf_dir))
 
 
 def _risks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,9 +131,10 @@ _NAMING = r"""naming AS (SELECT test_id, source_id, max(CASE WHEN name IN ('test
 _PROXIMITY = "proximity AS (SELECT test_id, source_id, CASE WHEN t.parent = s.parent THEN 0.55e0 WHEN list_contains(parts, 'tests') THEN 0.5e0 ELSE 0.45e0 END AS score FROM t JOIN s ON t.parent = s.parent OR (parent_name <> '' AND list_contains(parts, parent_name)))"
 _CO = """co AS (SELECT b AS test_id, a AS source_id, least(0.75e0, round(joint / sqrt(x.n * y.n::DOUBLE), 6)) AS score FROM pairs JOIN counts x ON x.file_id = a JOIN counts y ON y.file_id = b JOIN files f ON f.file_id = b AND f.is_test)"""
 _IMPORT = "imp AS (SELECT DISTINCT src AS test_id, dst AS source_id, 0.95e0 AS score FROM edges JOIN files f ON f.file_id = src AND f.is_test WHERE dst IN (SELECT source_id FROM s))"
-HITS_SQL = """hits AS (SELECT chunk_id, file_id, round(greatest(0e0, least(1e0, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)))), 4) AS score FROM chunks ORDER BY score DESC, chunk_id LIMIT 50),
-sem AS (SELECT file_id, max(score) AS score FROM hits WHERE score > 0 GROUP BY file_id)"""
-_TESTS = f"WITH {FILES_SQL}, {CHANGED_SQL}, {TOUCHED_SQL}, {EDGES_SQL}, {CHUNKS_SQL}, {COCHANGE_SQL}, {HITS_SQL}, {_PATHS.format(sources='changed')}, {_NAMING}, {_PROXIMITY}, {_CO}, {_IMPORT}"
+HITS_SQL = f"""{TEXTS_SQL}, {VECTORS_SQL}, asked AS (SELECT 0 AS id, 'Changed files:' || chr(10) || string_agg(path, chr(10)) || chr(10) || 'Changed symbols:' || chr(10) || string_agg('run_' || file_id, chr(10)) AS text FROM changed), {NEAR_SQL},
+hits AS (SELECT chunk_id, file_id, score FROM near WHERE rank <= 50), sem AS (SELECT file_id, max(score) AS score FROM hits WHERE score > 0 GROUP BY file_id)"""
+_PATH_HITS = HITS_SQL.replace("'Changed files:' || chr(10) || string_agg(path, chr(10)) || chr(10) || 'Changed symbols:' || chr(10) || string_agg('run_' || file_id, chr(10))", "string_agg(path, chr(10))")
+_TESTS = f"WITH {FILES_SQL}, {CHANGED_SQL}, {TOUCHED_SQL}, {EDGES_SQL}, {COCHANGE_SQL}, {_PATH_HITS}, {_PATHS.format(sources='changed')}, {_NAMING}, {_PROXIMITY}, {_CO}, {_IMPORT}"
 _SIGNALS = """signals AS (SELECT *, 0 AS signal FROM naming UNION ALL SELECT *, 1 FROM proximity UNION ALL SELECT *, 2 FROM co UNION ALL SELECT *, 3 FROM imp
   UNION ALL SELECT sem.file_id, NULL, least(sem.score, 0.8e0), 4 FROM sem JOIN files f ON f.file_id = sem.file_id AND f.is_test),
 recommended AS (SELECT test_id, round(least(1e0, max(score)), 4) AS score, list_sort(list_distinct(list(signal))) AS sig, list_sort(list_distinct(list(source_id))) AS linked FROM signals WHERE score > 0 GROUP BY test_id),
@@ -136,16 +142,22 @@ recommended_tests AS (SELECT test_id, path, score, array_to_string(list_transfor
 
 
 def semantic_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 50 chunks nearest to the first chunk's vector."""
-    c = chunks(spark, sf_dir)
-    first = c.where("chunk_id = 0").select(F.col("embedding").alias("query_vec")).limit(1)
-    return search.topk(c.crossJoin(F.broadcast(first)), F.col("query_vec"), 50).drop("query_vec")
+    """The 50 chunks nearest to the text of the change: its paths and its symbols."""
+    rows = changed(spark, sf_dir).withColumn("change_id", F.lit(0))
+    asked = embed.change_texts(rows, rows.select("change_id", F.concat(F.lit("run_"), "file_id").alias("name")))
+    return hits(spark, sf_dir, asked, 50)
 
 
 def semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.best_by_file(semantic_hits(spark, sf_dir).where("score > 0"))
 
 
+def semantic_of_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the changed paths alone, as tests are sought."""
+    asked = embed.path_texts(changed(spark, sf_dir).withColumn("change_id", F.lit(0)))
+    return search.best_by_file(hits(spark, sf_dir, asked, 50).where("score > 0"))
+
+
 @query("tests_naming", f"{_TESTS} SELECT * FROM naming")
 def tests_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tests_rec.naming(files(spark, sf_dir), changed(spark, sf_dir))
@@ -168,13 +180,13 @@ def tests_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("tests_semantic", f"{_TESTS} SELECT sem.file_id AS test_id, least(sem.score, 0.8e0) AS score FROM sem JOIN files f ON f.file_id = sem.file_id AND f.is_test")
 def tests_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = semantic(spark, sf_dir).join(files(spark, sf_dir).where("is_test").select("file_id"), "file_id", "left_semi")
-    return hits.select(F.col("file_id").alias("test_id"), F.least("score", F.lit(0.8)).alias("score"))
+    found = semantic_of_paths(spark, sf_dir).join(files(spark, sf_dir).where("is_test").select("file_id"), "file_id", "left_semi")
+    return found.select(F.col("file_id").alias("test_id"), F.least("score", F.lit(0.8)).alias("score"))
 
 
 def _recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = files(spark, sf_dir)
-    found = tests_rec.signals(f, changed(spark, sf_dir), edges(spark, sf_dir), touched(spark, sf_dir), semantic(spark, sf_dir))
+    found = tests_rec.signals(f, changed(spark, sf_dir), edges(spark, sf_dir), touched(spark, sf_dir), semantic_of_paths(spark, sf_dir))
     return tests_rec.recommend(found, f, None)
 
 
@@ -195,7 +207,7 @@ def tests_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- impact ------------------------------------------------------------------------------
 
-_ALL = f"""WITH {FILES_SQL}, {CHANGED_SQL}, {TOUCHED_SQL}, {EDGES_SQL}, {ITEMS_SQL}, {COMMITS_SQL}, {CHUNKS_SQL}, {COCHANGE_SQL}, {HITS_SQL}, {BFS_SQL}, {RISK_SQL},
+_ALL = f"""WITH {FILES_SQL}, {CHANGED_SQL}, {TOUCHED_SQL}, {EDGES_SQL}, {ITEMS_SQL}, {COMMITS_SQL}, {COCHANGE_SQL}, {HITS_SQL}, {BFS_SQL}, {RISK_SQL},
 dep AS (SELECT file_id, max(CASE distance WHEN 1 THEN 1e0 WHEN 2 THEN 0.65e0 WHEN 3 THEN 0.4e0 ELSE 0.2e0 END) AS score, count(*) AS n_reasons FROM bfs GROUP BY file_id),
 {_PATHS.format(sources="(SELECT * FROM files WHERE NOT is_test)")}, {_NAMING}, {_PROXIMITY}, {_IMPORT},
 tst AS (SELECT test_id AS file_id, round(max(score), 4) AS score FROM (FROM naming UNION ALL FROM proximity UNION ALL FROM imp) GROUP BY test_id),
@@ -208,7 +220,8 @@ top AS (SELECT *, row_number() OVER (ORDER BY score DESC, path)::INTEGER AS rank
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return impact.candidates(
-        files(spark, sf_dir), stored(edges(spark, sf_dir)), commit_items(spark, sf_dir), commits(spark, sf_dir), stored(changed(spark, sf_dir)), semantic(spark, sf_dir)
+        files(spark, sf_dir), stored(edges(spark, sf_dir)), commit_items(spark, sf_dir), commits(spark, sf_dir), stored(changed(spark, sf_dir)), semantic(spark, sf_dir),
+        complexity=complexity_score(spark, sf_dir),
     )
 
 
