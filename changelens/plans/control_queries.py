@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from changelens.operators import control as C
 from changelens.plans.registry import query
-from changelens.sources.tables_sink import shared_folder
+from changelens.sources.tables_sink import shared_folder, stored
 from changelens.streaming import progress
 from changelens.sources.tables import LOG_SQL, load, progress_log
 
@@ -95,6 +95,34 @@ def progress_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").select("user_id", "event_id", "event_type", "value")
 
 
+_MERGED = """t AS (SELECT max(event_id) // 2 AS tail FROM events), m AS (SELECT user_id, event_id, value AS pct, k * 10 AS total, event_id % 97 AS done, CASE WHEN k % 3 <> 0 THEN k END AS eta FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
+
+
+def _progress_events(events: DataFrame) -> DataFrame:
+    """Events with what they say of progress: pct, total, done and eta, which some don't know."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return events.select("user_id", "event_id", "ts", F.col("value").alias("pct"), (k * 10).alias("total"), (F.col("event_id") % 97).alias("done"), F.when(k % 3 != 0, k).alias("eta"))
+
+
+@query(
+    "progress_merged",
+    f"""WITH {_MERGED} SELECT user_id, event_id, pct, total, done, eta FROM (SELECT user_id, event_id, max(pct) OVER w AS pct, coalesce(last_value(CASE WHEN total > 0 THEN total END IGNORE NULLS) OVER w, 0) AS total,
+    coalesce(max(done) OVER w, 0) AS done, last_value(eta IGNORE NULLS) OVER w AS eta FROM m WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)), t WHERE event_id > tail""",
+)
+def progress_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged state after each event of the second half, as a stream that begins from the
+    snapshot of the first."""
+    log = load(spark, sf_dir, "events")
+    half = log.agg(F.expr("max(event_id) div 2")).first()[0]
+    if half is None:
+        return progress.merged_batch(_progress_events(log))
+    begin = progress.merged_snapshot(_progress_events(log.where(F.col("event_id") <= half)))
+    events = _progress_events(progress.read_events(spark, f"{sf_dir}/events.parque[t]").where(F.col("event_id") > half))
+    folder = shared_folder(spark)
+    progress.publish(progress.merged(events, stored(begin)), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema(progress.MERGED).parquet(f"{folder}/out").select("user_id", "event_id", "pct", "total", "done", "eta")
+
+
 @query("log_retention", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n, max(ts) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id) AS ended, max(ts) OVER () AS newest FROM events)
   SELECT user_id, event_id FROM o WHERE n <= 1000 AND (ended IS NULL OR ended >= newest - INTERVAL 24 HOUR)""")
 def log_retention(spark: SparkSession, sf_dir: str) -> DataFrame:

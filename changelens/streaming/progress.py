@@ -125,6 +125,76 @@ def tail(events: DataFrame, after: int, terminal: str = "purchase", late: str =
     return behind.applyInPandasWithState(step, "user_id long, event_id long, event_type string, value double", "ended double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+# What a subscriber sees of a generation, and how an event changes it.
+MERGED = "user_id long, event_id long, pct double, total long, done long, eta long"
+
+
+def merged_batch(log: DataFrame) -> DataFrame:
+    """The state after each event of log (user_id, event_id, pct, total, done, eta): percent and
+    work done never fall, a total above 0 replaces the one before, and the last known time left
+    stays."""
+    so_far = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    above = lambda c: F.when(F.col(c) > 0, F.col(c))
+    return log.select(
+        "user_id",
+        "event_id",
+        F.coalesce(F.max("pct").over(so_far), F.lit(0.0)).alias("pct"),
+        F.coalesce(F.last(above("total"), ignorenulls=True).over(so_far), F.lit(0)).cast("long").alias("total"),
+        F.coalesce(F.max(above("done")).over(so_far), F.lit(0)).cast("long").alias("done"),
+        F.last("eta", ignorenulls=True).over(so_far).cast("long").alias("eta"),
+    )
+
+
+def merged_snapshot(log: DataFrame) -> DataFrame:
+    """The state after the last event of each generation, by one aggregation."""
+    above = lambda c: F.when(F.col(c) > 0, F.col(c))
+    newest = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("event_id")))
+    return log.groupBy("user_id").agg(
+        F.max("event_id").alias("event_id"),
+        F.coalesce(F.max("pct"), F.lit(0.0)).alias("pct"),
+        F.coalesce(newest(above("total")), F.lit(0)).cast("long").alias("total"),
+        F.coalesce(F.max(above("done")), F.lit(0)).cast("long").alias("done"),
+        newest(F.col("eta")).cast("long").alias("eta"),
+    )
+
+
+def merged(log: DataFrame, snapshot: DataFrame | None = None, late: str = "1 day", retention: str = "90 days") -> DataFrame:
+    """The state after each event of a stream of log rows with ts (see merged_batch), begun from
+    the snapshot of each generation, which is joined to its events: it counts where the stream
+    has no state of its own yet. A generation without events for `retention` of event time is
+    forgotten."""
+    names = ["pct", "total", "done", "eta"]
+    begin = (snapshot or merged_snapshot(log.sparkSession.createDataFrame([], MERGED))).select("user_id", *[F.col(n).alias(f"_{n}") for n in names])
+    rows = log.withWatermark("ts", late).join(begin, "user_id", "left")
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames), ignore_index=True).sort_values("event_id", kind="stable")
+        known = lambda v, other: other if pd.isna(v) else v
+        if state.exists:
+            pct, total, done, eta = state.get
+        else:
+            first = rows.iloc[0]
+            pct, total, done = known(first["_pct"], 0.0), known(first["_total"], 0), known(first["_done"], 0)
+            eta = known(first["_eta"], None)
+        seen = []
+        for event, p, t, d, e in zip(*(rows[c] for c in ("event_id", *names)), strict=True):
+            pct = max(pct, known(p, pct))
+            total = t if not pd.isna(t) and t > 0 else total
+            done = max(done, known(d, done))
+            eta = known(e, eta)
+            seen.append((key[0], event, pct, total, done, eta))
+        state.update((float(pct), int(total), int(done), None if eta is None else int(eta)))
+        last = int(rows["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + int(pd.Timedelta(retention).total_seconds() * 1000))
+        frame = pd.DataFrame(seen, columns=["user_id", "event_id", *names])
+        yield frame.astype({"event_id": "int64", "pct": "float64", "total": "int64", "done": "int64", "eta": "Int64"})
+
+    return rows.groupBy("user_id").applyInPandasWithState(step, MERGED, "pct double, total long, done long, eta long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def publish(df: DataFrame, folder: str, checkpoint: str, fan_out=None):
     """Write each micro-batch to a folder, and hand it to `fan_out(batch, id)` as well."""
 

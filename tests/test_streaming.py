@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from changelens.operators import control
 from changelens.streaming import progress
@@ -77,3 +78,36 @@ def test_snapshot_then_tail_covers_every_event_once(spark, folder):
     assert state.count() == log.where("event_id <= 400").select("user_id").distinct().count() and last == 400
     got = drain(progress.tail(progress.read_events(spark, folder, 100), last, terminal="never"), "append", "tailed")
     assert got.count() == log.where("event_id > 400").count() == got.select("event_id").distinct().count()
+
+
+def progress_events(df):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return df.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.when(k % 5 != 0, F.col("value")).alias("pct"), F.when(k % 4 != 0, k).alias("total"), (k - 20).alias("done"), F.when(k % 3 == 0, k).alias("eta"))
+
+
+def test_merged_state_survives_a_restart(spark, folder, tmp_path):
+    whole = progress_events(spark.read.parquet(folder))
+    want = sorted(tuple(r) for r in progress.merged_batch(whole).collect())
+    by_hand = {}
+    for r in sorted(whole.collect(), key=lambda r: r["event_id"]):
+        s = by_hand.setdefault(r["user_id"], [0.0, 0, 0, None])
+        s[0] = max(s[0], r["pct"] or 0.0)
+        s[1] = r["total"] if (r["total"] or 0) > 0 else s[1]
+        s[2] = max(s[2], r["done"])
+        s[3] = s[3] if r["eta"] is None else r["eta"]
+    last = {r["user_id"]: tuple(r)[2:] for r in progress.merged_snapshot(whole).collect()}
+    assert last == {k: tuple(v) for k, v in by_hand.items()}
+    # The first half as a snapshot; then a stream that stops after one file and starts again.
+    half = len(want) // 2
+    begin = progress.merged_snapshot(whole.where(F.col("event_id") < half))
+    stream = lambda: progress.merged(progress_events(progress.read_events(spark, folder, 1)).where(F.col("event_id") >= half), begin)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "ck")
+    q = stream().writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).start()
+    while not q.recentProgress and q.isActive:
+        time.sleep(0.2)
+    q.stop()
+    q = stream().writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert q.exception() is None
+    got = sorted(tuple(r) for r in spark.read.schema(progress.MERGED).parquet(out).collect())
+    assert got == [r for r in want if r[1] >= half]
