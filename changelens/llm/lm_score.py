@@ -2,24 +2,26 @@
 
 Counts of word pairs are quantised: a count c has level 1 + floor(log2 c), and the filter holds
 a pair once for each level up to its own. A level is read back by probing level 1, 2, ... until
-a probe fails; it stands for the middle of its range. Beside the filter lies, for each word h
-of the vocabulary, its exact count, M(h), the sum of what the levels of its pairs stand for, and
-T(h), how many words follow it. A word w after h has the probability
+a probe fails; it stands for the middle of its range. Beside the filter lie, for each word h of
+the vocabulary, its exact count c(h) and M(h), the sum of what the levels of its pairs stand
+for. A word w after h has the probability
 
-    (value(h w) + T(h) * p(w)) / (M(h) + T(h)),    p(w) = (c(w) + 1) / (N + V + 1)
+    (value(h w) + K * p(w)) / (M(h) + K),    p(w) = (c(w) + 1) / (N + V + 1)
 
 (p(w) alone after an unknown h). Both p and the pair term sum to 1 over the vocabulary and one
-unknown word, so the whole does, but for pairs that pass the filter by chance. Level 1 has
-log2 V + 10 probes, so that one history in a thousand has such a pair;
-higher levels, which only pairs that passed before can reach, have 8. A text is its words and
-an end; the end also stands before the first word. The base score uses exact word counts.
-
-Each task counts the words and pairs of its texts and hands them on as rows, which are summed
-by n-gram, combined before the shuffle. The filter is cut into shards by the top bits of a
-pair's hash, as many as the corpus needs for shards of a bounded size; one task builds a shard
-from its distinct pairs. If all shards together have at most `broadcast_mb`, they are broadcast.
-Beyond that the probes go to the shards by a shuffle, each distinct pair once. Both ways give
-the same scores.
+unknown word, so the whole does, but for pairs that pass the filter by chance. A pair passes
+level 1 by chance once in 2^16; a history thus gains V / 2^16 in all, so K is 128 times that (10
+at least), and the sum over the vocabulary stays within some 0.01 of 1. A higher level, which
+only pairs that passed before can reach, is passed by chance once in 2^13. A text is its words
+and an end; the end also stands before the first word. The base score uses exact word counts.
+
+The filter is cut into shards by the top bits of a pair's hash, as many as the corpus needs for
+shards of a bounded size. Texts are counted some million tokens at a time, and what such a batch
+has for a shard is one row of packed numbers (none where it has nothing, so there are never
+more rows than n-grams); a shard is built by one task, from as many tokens as any other shard.
+What each shard knows of M is summed by word. If filter and words have at most `broadcast_mb`,
+they are broadcast. Beyond that the probes go to the shards by a shuffle, each distinct pair
+once. Both ways give the same scores.
 
 Defined results: a null text is empty and has one token, the end; a null doc_id is not held out;
 without training texts a base score is 0 per token, and so is a score; rows that repeat give a
@@ -37,14 +39,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm.common import arrow_rows, crc_mod, hand_back, materialize, mix64, release, table, word_hashes
+from changelens.llm.common import arrow_rows, crc_mod, hand_back, materialize, mix64, table, word_hashes
 
 END = np.uint64(0x3C79AC492BA7B653)
-PROBES = 8  # hash functions of levels above 1
-_SPARE = 10  # probes at level 1 beyond log2 of the vocabulary
-_SHARD_GRAMS = 1_500_000
+FIRST, PROBES = 16, 13  # hash functions of level 1, and of the levels above
+_SHARD_GRAMS = 6_000_000  # tokens of the corpus for each shard
 _SLICE = 400_000  # tokens scored at a time
-_GATHERED = 3_000_000  # tokens counted at a time
+_GATHERED = 6_000_000  # tokens counted at a time
 _BATCH = 1000  # texts sent to Python at a time
 
 
@@ -73,9 +74,9 @@ def _places(grams: np.ndarray, level: int, bits: np.ndarray, probes: int) -> Ite
             b = b * np.uint64(0x9E3779B97F4A7C15)
 
 
-def probes_for(v: int) -> int:
-    """Probes at level 1 for a vocabulary of so many words."""
-    return _SPARE + max(1, v).bit_length()
+def smoothing(v: int) -> float:
+    """K for a vocabulary of so many words."""
+    return max(10.0, 128.0 * v / 2**FIRST)
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -87,17 +88,12 @@ def _value(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, 1.5 * 2.0 ** (levels - 1) - 0.5, 0.0)
 
 
-def level_column(n: Column) -> Column:
-    """The level of a column of counts."""
-    return F.length(F.bin(n))
-
-
-def _build(grams: np.ndarray, levels: np.ndarray, first: int) -> np.ndarray:
-    """The packed filter of distinct n-grams of these levels, with `first` probes at level 1."""
-    size = max(64, int((grams.size * first + (levels - 1).sum() * PROBES) / np.log(2)))
+def _build(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The packed filter of distinct n-grams of these levels."""
+    size = max(64, int((grams.size * FIRST + (levels - 1).sum() * PROBES) / np.log(2)))
     bits = np.zeros(-(-size // 8) * 8, dtype=np.uint8)
     for q in range(1, int(levels.max(initial=0)) + 1):
-        for place in _places(grams[levels >= q], q, np.uint64(bits.size), first if q == 1 else PROBES):
+        for place in _places(grams[levels >= q], q, np.uint64(bits.size), FIRST if q == 1 else PROBES):
             bits[place] = 1
     return np.packbits(bits, bitorder="little")
 
@@ -105,10 +101,10 @@ def _build(grams: np.ndarray, levels: np.ndarray, first: int) -> np.ndarray:
 class Shards:
     """The filters of one or more shards, ready to be probed."""
 
-    def __init__(self, rows: Iterable, layout: list[tuple[int, int]], shift: int, first: int) -> None:
+    def __init__(self, rows: Iterable, layout: list[tuple[int, int]], shift: int) -> None:
         """layout: the shard and the bytes of its filter. Rows come in any order; each is copied
         to its place and let go."""
-        self.shift, self.first = shift, first
+        self.shift = shift
         self.offset = np.zeros(1 << (64 - shift), dtype=np.uint64)
         self.bits = np.ones(1 << (64 - shift), dtype=np.uint64)
         places, at = {}, 1  # a shard without a row has one bit, not set
@@ -130,7 +126,7 @@ class Shards:
             q += 1
             offset, bits = self.offset[shard[alive]], self.bits[shard[alive]]
             hit = np.ones(alive.size, dtype=bool)
-            for place in _places(grams[alive], q, bits, self.first if q == 1 else PROBES):
+            for place in _places(grams[alive], q, bits, FIRST if q == 1 else PROBES):
                 at = place + offset
                 hit &= (self.filter[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) != 0
             alive = alive[hit]
@@ -139,82 +135,129 @@ class Shards:
 
 
 class Words:
-    """Exact counts of the vocabulary, and M and T of each word as a history."""
+    """Exact counts of the vocabulary, and M of each word as a history."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, mass: np.ndarray, after: np.ndarray) -> None:
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, mass: np.ndarray) -> None:
         order = np.argsort(hashes)
-        self.hashes, self.counts, self.mass, self.after = hashes[order], counts[order], mass[order], after[order]
+        self.hashes, self.counts, self.mass = hashes[order], counts[order], mass[order]
 
-    def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The count, M and T of each word; 0 for unknown ones."""
+    def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The count and M of each word; 0 for unknown ones."""
         if self.hashes.size == 0:
-            return np.zeros(words.size, dtype=np.int64), np.zeros(words.size), np.zeros(words.size)
+            return np.zeros(words.size, dtype=np.int64), np.zeros(words.size)
         at = np.minimum(np.searchsorted(self.hashes, words), self.hashes.size - 1)
         known = self.hashes[at] == words
-        return tuple(np.where(known, x[at], 0) for x in (self.counts, self.mass, self.after))
+        return tuple(np.where(known, x[at], 0) for x in (self.counts, self.mass))
 
 
 def base_logs(counts: np.ndarray, n: int, v: int) -> np.ndarray:
     return np.log10((counts + 1.0) / (n + (v + 1.0)))
 
 
-def model_probabilities(pair: np.ndarray, mass: np.ndarray, after: np.ndarray, count: np.ndarray, n: int, v: int) -> np.ndarray:
-    """Probabilities of words from the levels of their pairs, M and T of the words before and
-    their own counts."""
-    alone = (count + 1.0) / (n + v + 1.0)
-    return np.where(mass > 0, (_value(pair) + after * alone) / np.maximum(mass + after, 1.0), alone)
+def model_probabilities(pair: np.ndarray, mass: np.ndarray, count: np.ndarray, n: int, v: int) -> np.ndarray:
+    """Probabilities of words from the levels of their pairs, M of the words before and their
+    own counts."""
+    alone, k = (count + 1.0) / (n + v + 1.0), smoothing(v)
+    return np.where(mass > 0, (_value(pair) + k * alone) / (mass + k), alone)
+
 
+def _summed(keys: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their numbers."""
+    order = np.argsort(keys, kind="stable")
+    keys, numbers = keys[order], numbers[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if keys.size else np.zeros(0, dtype=np.int64)
+    return keys[first], np.add.reduceat(numbers, first) if keys.size else numbers
 
-_GRAMS = "gram long, before long, n long"
+
+_PARTS = ("words", "words_n", "pairs", "pairs_n", "before", "before_n")
 
 
 def train(docs: DataFrame, shard_grams: int = _SHARD_GRAMS) -> tuple[DataFrame, DataFrame, int, int, int]:
-    """From docs (text): the shards (shard, bits), the words (word, n, mass, after), the shards'
-    shift, N and V."""
+    """From docs (text): the shards (shard, bits), the words (word, n, mass), the shards' shift,
+    N and V."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    top = max(0, int(np.ceil(np.log2(max(1.0, size / 6 / shard_grams)))))  # a token has some 6 bytes
+    shift = 64 - top
+    edges = np.arange(1, 1 << top, dtype=np.uint64) << np.uint64(shift) if top else np.zeros(0, dtype=np.uint64)
 
-    def rows(tokens: list[np.ndarray]) -> pa.RecordBatch:
+    def packed(tokens: list[np.ndarray]) -> Iterator[dict]:
+        """What the tokens have for each shard: words and pairs in order, and the pairs' histories
+        as runs, so that a history is not repeated for each of its pairs."""
         words, n = np.unique(np.concatenate(tokens), return_counts=True)
-        before = np.concatenate([_history(t) for t in tokens])
-        pairs, first, m = np.unique(_pair(before, np.concatenate(tokens)), return_index=True, return_counts=True)
-        grams, of = (x.view(np.int64) for x in (np.concatenate((words, pairs)), np.concatenate((words, before[first]))))
-        return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(of, mask=np.arange(of.size) < words.size), pa.array(np.concatenate((n, m)))], ["gram", "before", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = np.concatenate([_history(t) for t in tokens])
+        pairs, at, m = np.unique(_pair(h, np.concatenate(tokens)), return_index=True, return_counts=True)
+        h = h[at]
+        word_cuts, pair_cuts = np.searchsorted(words, edges), np.searchsorted(pairs, edges)
+        for shard, (a, b, c, d, e) in enumerate(zip(*(np.split(x, cuts) for x, cuts in ((words, word_cuts), (n, word_cuts), (pairs, pair_cuts), (m, pair_cuts), (h, pair_cuts))), strict=True)):
+            if a.size or c.size:
+                order = np.argsort(e, kind="stable")
+                runs, counts = np.unique(e, return_counts=True)
+                values = (a, b.astype(np.uint32), c[order], d[order].astype(np.uint32), runs, counts.astype(np.uint32))
+                yield {"shard": shard, **{k: x.tobytes() for k, x in zip(_PARTS, values, strict=True)}}
+
+    schema = pa.schema([("shard", pa.int32()), *((k, pa.binary()) for k in _PARTS)])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         waiting = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting
+            for row in packed(held):
+                yield pa.RecordBatch.from_pylist([row], schema)
+            held.clear()
+            waiting = 0
+
         for b in batches:
             for text in b.column("text"):
                 held.append(_tokens(text.as_py()))
                 waiting += held[-1].size
                 if waiting >= _GATHERED:
-                    yield rows(held)
-                    held, waiting = [], 0
+                    yield from flush()
         if held:
-            yield rows(held)
-        held = []
+            yield from flush()
         hand_back()
 
-    with arrow_rows(docs.sparkSession, _BATCH):
-        # before is the same in all rows of a pair, and null for words.
-        grams = materialize(docs.select("text").mapInArrow(count, _GRAMS).groupBy("gram", "before").agg(F.sum("n").alias("n")))
-    pairs = grams.where("before IS NOT NULL")
-    masses = pairs.groupBy(F.col("before").alias("word")).agg(F.sum(F.lit(1.5) * F.pow(F.lit(2.0), level_column(F.col("n")) - 1) - F.lit(0.5)).alias("mass"), F.count("*").alias("after"))
-    words = materialize(grams.where("before IS NULL").select(F.col("gram").alias("word"), "n").join(masses, "word"))
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    first = probes_for(v)
-    top = max(0, int(np.ceil(np.log2(max(1.0, pairs.count() / shard_grams)))))
-    shift = 64 - top
-    shard = F.shiftrightunsigned("gram", shift).cast("int") if top else F.lit(0)
-
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        bits = _build(group["gram"].to_numpy().view(np.uint64), group["level"].to_numpy().astype(np.int64), first)
-        return pd.DataFrame([{"shard": group["shard"].iloc[0], "bits": bits.tobytes()}])
+        def all_of(name: str, kind: type) -> np.ndarray:
+            return np.concatenate([np.frombuffer(x, dtype=kind) for x in group[name]])
+
+        words, n = _summed(all_of("words", np.uint64), all_of("words_n", np.uint32).astype(np.int64))
+        pairs, counts = all_of("pairs", np.uint64), all_of("pairs_n", np.uint32).astype(np.int64)
+        before = np.repeat(all_of("before", np.uint64), all_of("before_n", np.uint32))
+        order = np.argsort(pairs, kind="stable")
+        pairs, counts, before = pairs[order], counts[order], before[order]
+        first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if pairs.size else np.zeros(0, dtype=np.int64)
+        levels = _levels(np.add.reduceat(counts, first)) if pairs.size else np.zeros(0, dtype=np.int64)
+        bits = _build(pairs[first], levels)
+        histories, mass = _summed(before[first], _value(levels))
+        row = {"shard": group["shard"].iloc[0], "bits": bits, "words": words, "words_n": n, "before": histories, "mass": mass.astype(np.float32)}
+        out = pd.DataFrame([{k: x.tobytes() if isinstance(x, np.ndarray) else x for k, x in row.items()}])
+        hand_back()
+        return out
+
+    gathered = docs.select("text").mapInArrow(gather, "shard int, " + ", ".join(f"{k} binary" for k in _PARTS))
+    with arrow_rows(spark, _BATCH):
+        built = materialize(gathered.groupBy("shard").applyInPandas(build, "shard int, bits binary, words binary, words_n binary, before binary, mass binary"))
 
-    # Distinct pairs only, and their hashes are spread evenly: a group has some shard_grams rows.
-    level = level_column(F.col("n")).cast("byte")
-    shards = materialize(pairs.select(shard.alias("shard"), "gram", level.alias("level")).groupBy("shard").applyInPandas(build, "shard int, bits binary"))
-    release(grams)
-    return shards, words, shift, n, v
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """word, n and what a shard adds to M, a million rows at a time."""
+        for b in batches:
+            for r in b.to_pylist():
+                words, n = np.frombuffer(r["words"], dtype=np.int64), np.frombuffer(r["words_n"], dtype=np.int64)
+                before, mass = np.frombuffer(r["before"], dtype=np.int64), np.frombuffer(r["mass"], dtype=np.float32).astype(np.float64)
+                for at in range(0, words.size, 1_000_000):
+                    part = slice(at, at + 1_000_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(words[part]), pa.array(n[part]), pa.nulls(words[part].size, pa.float64())], ["word", "n", "mass"])
+                for at in range(0, before.size, 1_000_000):
+                    part = slice(at, at + 1_000_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(before[part]), pa.nulls(before[part].size, pa.int64()), pa.array(mass[part])], ["word", "n", "mass"])
+
+    rows = built.select("words", "words_n", "before", "mass").mapInArrow(known, "word long, n long, mass double")
+    words = materialize(rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")))
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    return built.select("shard", "bits"), words, shift, n, v
 
 
 _SCORES = "n_tokens long, n_known long, base_score double, score double"
@@ -226,9 +269,9 @@ def score(docs: DataFrame, held_out: Column, broadcast_mb: int = 256, shard_gram
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     shards, words, shift, n, v = train(rows.where("NOT held_out"), shard_grams)
-    size = (shards.agg(F.sum(F.length("bits"))).first()[0] or 0) + 32 * v
+    size = (shards.agg(F.sum(F.length("bits"))).first()[0] or 0) + 24 * v
     if size <= broadcast_mb * 1_000_000:
-        model = spark.sparkContext.broadcast(_gathered(shards, words, shift, v))
+        model = spark.sparkContext.broadcast(_gathered(shards, words, shift))
 
         @F.pandas_udf(_SCORES)
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -253,13 +296,12 @@ def score(docs: DataFrame, held_out: Column, broadcast_mb: int = 256, shard_gram
     return scored.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(n).cast("long").alias("train_tokens"), "s.base_score", "s.score")
 
 
-def _gathered(shards: DataFrame, words: DataFrame, shift: int, v: int) -> tuple[Shards, Words]:
+def _gathered(shards: DataFrame, words: DataFrame, shift: int) -> tuple[Shards, Words]:
     """All of the model, within the bound of a broadcast."""
     layout = [tuple(r) for r in shards.select("shard", F.length("bits")).collect()]
-    kinds = {"word": np.int64, "n": np.int64, "mass": np.float64, "after": np.float64}
-    table_ = words.select("word", "n", "mass", F.col("after").cast("double").alias("after")).toArrow()
-    columns = [table_.column(k).to_numpy().astype(kind) for k, kind in kinds.items()]
-    return Shards(shards.toLocalIterator(), layout, shift, probes_for(v)), Words(columns[0].view(np.uint64), *columns[1:])
+    rows = words.select("word", "n", "mass").toArrow()
+    columns = [rows.column(k).to_numpy().astype(kind) for k, kind in (("word", np.int64), ("n", np.int64), ("mass", np.float64))]
+    return Shards(shards.toLocalIterator(), layout, shift), Words(columns[0].view(np.uint64), *columns[1:])
 
 
 def _score_slice(shards: Shards, known: Words, texts: list[np.ndarray], n: int, v: int) -> pd.DataFrame:
@@ -268,12 +310,12 @@ def _score_slice(shards: Shards, known: Words, texts: list[np.ndarray], n: int,
     before = np.concatenate(([END], tokens[:-1]))
     before[starts] = END
     words, back = np.unique(np.append(tokens, END), return_inverse=True)
-    count, mass, after = known.look_up(words)
+    count, mass = known.look_up(words)
     of_end, back = back[-1], back[:-1]
     history = np.concatenate(([of_end], back[:-1]))
     history[starts] = of_end
     pairs, at = np.unique(_pair(before, tokens), return_inverse=True)
-    p = model_probabilities(shards.levels(pairs)[at], mass[history], after[history], count[back], n, v)
+    p = model_probabilities(shards.levels(pairs)[at], mass[history], count[back], n, v)
     return pd.DataFrame(
         {
             "n_tokens": [t.size for t in texts],
@@ -287,7 +329,6 @@ def _score_slice(shards: Shards, known: Words, texts: list[np.ndarray], n: int,
 def _score_by_shuffle(rows: DataFrame, shards: DataFrame, words: DataFrame, shift: int, n: int, v: int) -> DataFrame:
     """The same scores, with the probes dealt to the shards and the words joined."""
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    first = probes_for(v)
 
     def uses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -304,7 +345,7 @@ def _score_by_shuffle(rows: DataFrame, shards: DataFrame, words: DataFrame, shif
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         one = right.to_dict("records")  # one, or none
-        s = Shards(one, [(r["shard"], len(r["bits"])) for r in one], shift, first)
+        s = Shards(one, [(r["shard"], len(r["bits"])) for r in one], shift)
         return left[["pair", "before", "word"]].assign(level=s.levels(left["pair"].to_numpy().view(np.uint64)))
 
     probed = pairs.withColumn("shard", shard).groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(probe, "pair long, before long, word long, level long")
@@ -313,17 +354,17 @@ def _score_by_shuffle(rows: DataFrame, shards: DataFrame, words: DataFrame, shif
     salts = 16
     salted = words.crossJoin(rows.sparkSession.range(salts).withColumnRenamed("id", "salt"))
     of = probed.withColumn("salt", F.pmod(F.col("pair"), F.lit(salts)))
-    of = of.join(salted.select(F.col("word").alias("before"), "salt", "mass", "after"), ["before", "salt"], "left")
+    of = of.join(salted.select(F.col("word").alias("before"), "salt", "mass"), ["before", "salt"], "left")
     of = of.join(salted.select("word", "salt", F.col("n").alias("count")), ["word", "salt"], "left")
 
     @F.pandas_udf("base double, model double, known long")
-    def logs(level: pd.Series, mass: pd.Series, after: pd.Series, count: pd.Series) -> pd.DataFrame:
+    def logs(level: pd.Series, mass: pd.Series, count: pd.Series) -> pd.DataFrame:
         c = count.to_numpy()
-        p = model_probabilities(level.to_numpy(), mass.to_numpy(), after.to_numpy(), c, n, v)
+        p = model_probabilities(level.to_numpy(), mass.to_numpy(), c, n, v)
         return pd.DataFrame({"base": base_logs(c, n, v), "model": np.log10(p), "known": (c > 0).astype(np.int64)})
 
     zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    valued = of.select("pair", logs("level", zero("mass"), zero("after"), zero("count")).alias("l"))
+    valued = of.select("pair", logs("level", zero("mass"), zero("count")).alias("l"))
     summed = (
         used.join(valued, "pair")
         .groupBy("row")
