@@ -10,9 +10,10 @@ for. A word w after h has the probability
 
 (p(w) alone after an unknown h). Both p and the pair term sum to 1 over the vocabulary and one
 unknown word, so the whole does, but for pairs that pass the filter by chance. A pair passes
-level 1 by chance once in 2^16; a history thus gains V / 2^16 in all, so K is 128 times that (10
-at least), and the sum over the vocabulary stays within some 0.01 of 1. A higher level, which
-only pairs that passed before can reach, is passed by chance once in 2^13. A text is its words
+level 1 by chance once in 2^16; a history thus gains m = V / 2^16 in all, hardly ever more than
+m + 4 sqrt(m) + 2. K is 50 times that, so the sum over the vocabulary stays within 0.02 of 1. A
+higher level, which only pairs that passed before can reach, is passed by chance once in 2^13. A
+text is its words
 and an end; the end also stands before the first word. The base score uses exact word counts.
 
 The filter is cut into shards by the top bits of a pair's hash, as many as the corpus needs for
@@ -76,7 +77,8 @@ def _places(grams: np.ndarray, level: int, bits: np.ndarray, probes: int) -> Ite
 
 def smoothing(v: int) -> float:
     """K for a vocabulary of so many words."""
-    return max(10.0, 128.0 * v / 2**FIRST)
+    by_chance = v / 2**FIRST
+    return 50.0 * (by_chance + 4.0 * by_chance**0.5 + 2.0)
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:

@@ -363,7 +363,7 @@ def lm_by_hand(docs):
     pairs = Counter(p for x in train for p in zip(["\0end", *x], x))
     n, v = sum(count.values()), len(count)
     value = lambda c: 1.5 * 2 ** (c.bit_length() - 1) - 0.5 if c else 0.0
-    mass, k = Counter(), max(10, 128 * v / 2**16)
+    mass, k = Counter(), 50 * (v / 2**16 + 4 * math.sqrt(v / 2**16) + 2)
     for (h, _), c in pairs.items():
         mass[h] += value(c)
 
