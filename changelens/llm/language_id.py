@@ -161,7 +161,8 @@ def _floors(cosines: np.ndarray, sizes: np.ndarray, quantile: float, slack: floa
 
 def fit(labelled: DataFrame, fit_rows: int = 4000, clusters: int = 4, quantile: float = 0.005, slack: float = 0.15) -> Model:
     """Fit on the rows of labelled (text, lang, and a column doc_id that only draws the
-    sample). At most about fit_rows texts are used, evenly over the languages."""
+    sample). About fit_rows texts are used, evenly over the languages, and never more than
+    twice as many; of rows that repeat one."""
     empty = Model(np.zeros(DIM, np.float32), np.zeros((0, DIM), np.float32), (), np.zeros((0, _CLASSES)))
     labelled = labelled.select("doc_id", "text", "lang").where("lang IS NOT NULL")
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
@@ -174,19 +175,21 @@ def fit(labelled: DataFrame, fit_rows: int = 4000, clusters: int = 4, quantile:
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(lang, gram_counts(t)) for lang, t in zip(b["lang"], b["text"], strict=True)]
-            found = [(lang, c) for lang, c in found if c is not None]
+            found = [(h, lang, gram_counts(t)) for h, lang, t in zip(b["h"], b["lang"], b["text"], strict=True)]
+            found = [x for x in found if x[2] is not None]
             if not found:  # Arrow takes no frame of binary columns without rows
                 continue
             yield pd.DataFrame(
                 {
-                    "lang": [lang for lang, _ in found],
-                    "at": [np.flatnonzero(c).astype(np.int16).tobytes() for _, c in found],
-                    "n": [np.minimum(c[c > 0], 2**31 - 1).astype(np.int32).tobytes() for _, c in found],
+                    "h": [h for h, _, _ in found],
+                    "lang": [lang for _, lang, _ in found],
+                    "at": [np.flatnonzero(c).astype(np.int16).tobytes() for _, _, c in found],
+                    "n": [np.minimum(c[c > 0], 2**31 - 1).astype(np.int32).tobytes() for _, _, c in found],
                 }
             )
 
-    rows = drawn.select("lang", "text").mapInPandas(vectors, "lang string, at binary, n binary").collect()
+    rows = drawn.select(F.xxhash64("doc_id", "text").alias("h"), "lang", "text").mapInPandas(vectors, "h long, lang string, at binary, n binary")
+    rows = rows.dropDuplicates(["h", "lang"]).orderBy("h", "lang").limit(2 * fit_rows).collect()
     if not rows:
         return empty
     rows.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))

@@ -203,8 +203,9 @@ def boost(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 60, rate:
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Model:
-    """Fit on the labelled rows: docs (doc_id, text), labels (doc_id, quality). At most
-    about fit_rows of them are used; doc_id only joins and draws the sample."""
+    """Fit on the labelled rows: docs (doc_id, text), labels (doc_id, quality). About
+    fit_rows of them are used, and never more than twice as many; of rows that repeat one. doc_id
+    only joins and draws the sample."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = known.count()
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, fit_rows / max(1, n)))
@@ -212,9 +213,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> Model:
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"quality": b["quality"].astype(float), "x": [features(t) for t in b["text"]]})
+            yield pd.DataFrame({"h": b["h"], "quality": b["quality"].astype(float), "x": [features(t) for t in b["text"]]})
 
-    got = rows.select("quality", "text").mapInPandas(measure, "quality double, x array<double>").collect()
+    got = rows.select(F.xxhash64("doc_id", "text").alias("h"), "quality", "text").mapInPandas(measure, "h long, quality double, x array<double>")
+    got = got.dropDuplicates(["h"]).orderBy("h").limit(2 * fit_rows).collect()
     got = sorted((float(r["quality"] > 0.5), tuple(r["x"])) for r in got)
     x = np.array([r[1] for r in got]).reshape(-1, len(FEATURES))
     return boost(x, np.array([r[0] for r in got]))

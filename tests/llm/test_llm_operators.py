@@ -639,3 +639,22 @@ def test_dense_groups_equal_brute_force(spark, monkeypatch):
         texts[i] = " ".join(w)
     rows = minhash_dedup.near_duplicates(spark.createDataFrame([*texts.items()], DOCS), 2).collect()
     assert {r_["doc_id"]: (r_["n_shingles"], r_["component_id"]) for r_ in rows} == linked(texts, 2)
+
+
+def test_fits_take_a_bounded_sample_of_repeated_rows(spark):
+    one = [(1, made(1, 40), "xx", 1)] * 3000 + [(2, made(2, 40), "yy", 0)] * 3000
+    df = spark.createDataFrame(one, "doc_id long, text string, lang string, quality int")
+    labels = df.select("doc_id", "quality")
+    few = df.dropDuplicates()
+    assert language_id.fit(df, 6000).centroids.tolist() == language_id.fit(few, 6000).centroids.tolist()
+    a, b = quality.fit(df, labels, 10), quality.fit(few, labels, 10)
+    x = np.array([quality.features(made(5, 30))])
+    assert a.score(x) == b.score(x)
+
+
+def test_quality_of_a_null_doc_id(spark, tmp_path):
+    rows = [(None, made(3, 30)), (None, None), (5, made(4, 30))]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality.query(spark, str(tmp_path)).collect()
+    assert len(got) == 3 and all(r["held_out"] is False for r in got if r["doc_id"] is None) and all(0 <= r["score"] <= 1 for r in got)
