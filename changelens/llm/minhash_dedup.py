@@ -236,12 +236,14 @@ def _across(rows: DataFrame, reps: DataFrame, docs: DataFrame, floors: list[tupl
                 yield found(out)
                 out = []
         yield found(out)
+        hand_back()
 
     def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g, sig in groups(batches):
             i, j = compare(g, sig)
             doc = g["doc_id"].to_numpy()
-            sets = [shingle_set(t.encode("utf-8", "surrogatepass"), shingle) for t in g["text"]]
+            met, text = set(i.tolist()) | set(j.tolist()), g["text"].to_numpy()
+            sets = {k: shingle_set(text[k].encode("utf-8", "surrogatepass"), shingle) for k in met}
             left, at_left = np.unique(i, return_inverse=True)
             right, at_right = np.unique(j, return_inverse=True)
             both = _common([sets[k] for k in left], [sets[k] for k in right])[at_left, at_right] if i.size else np.zeros(0)
@@ -249,13 +251,14 @@ def _across(rows: DataFrame, reps: DataFrame, docs: DataFrame, floors: list[tupl
             link = 100 * both >= percent * (size[i] + size[j] - both)
             p, q = doc[i[link]], doc[j[link]]
             yield pd.DataFrame({"x": np.minimum(p, q), "y": np.maximum(p, q)})
+        hand_back()
 
     spark = rows.sparkSession
     with arrow_rows(spark, 2000):
         one = materialize(dealt.repartition(*group).sortWithinPartitions(*group).mapInPandas(first, "x long, y long, bucket long, b1 int, b2 int"))
     crowded = one.where("x IS NULL").select(*group)
     again = dealt.join(crowded, group).join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL"), "doc_id")
-    with arrow_rows(spark, 256):
+    with arrow_rows(spark, 128):
         links = materialize(again.repartition(*group).sortWithinPartitions(*group).mapInPandas(dense, "x long, y long").distinct())
     release(inside)
     release(mixed)
@@ -285,12 +288,14 @@ def _verify(likely: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
                 both = np.intersect1d(p, q, assume_unique=True).size
                 out.append(100 * both >= percent * (p.size + q.size - both))
             yield pd.Series(out, dtype=bool)
+        recent.clear()
+        hand_back()
 
     wanted = bounded(likely.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), _BROADCAST_IDS)
     # Should a doc_id repeat with other texts, all of them count as that document.
     texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(wanted, "doc_id", "left_semi"))
     both = likely.join(texts.toDF("x", "tx"), "x").join(texts.toDF("y", "ty"), "y")
-    with arrow_rows(docs.sparkSession, 256):
+    with arrow_rows(docs.sparkSession, 64):
         out = materialize(both.where(linked("x", "tx", "y", "ty")).select("x", "y").distinct())
     release(texts)
     return out
@@ -301,7 +306,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets.
     """
-    with arrow_rows(docs.sparkSession, 2000):
+    with arrow_rows(docs.sparkSession, 500):
         sketches = materialize(_sketch(docs, shingle, bands, rows))
     known = sketches.where("key IS NOT NULL AND doc_id IS NOT NULL")
     classes = materialize(known.groupBy("key").agg(F.min("doc_id").alias("rep")))
