@@ -30,7 +30,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")  # letters, then marks but no apostrophe
 _LONGEST = 64  # longer chunks are not kept
-_SLICE = 4 << 20  # bytes of text whose chunks are looked up at a time
+_SLICE = 2 << 20  # bytes of text whose chunks are looked up at a time
 
 
 class Encoder:
