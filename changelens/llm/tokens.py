@@ -7,8 +7,8 @@ gets its ids once, and the ids of all texts are gathered from them by position.
 A chunk of Latin letters with a run of marks behind it is two pieces that the tokenizer would
 cut it into anyway; new pieces are lower-cased and go through the tokenizer's own model in one
 call, without its normaliser. Any other chunk goes through the whole chain. The ids of the
-first `cache_chunks` chunks and as many pieces are kept for later batches, some 50 MB: Python
-workers live on, and whatever else runs in them later has to share their memory.
+first `cache_chunks` chunks and as many pieces are kept for later batches. Python workers live
+on, and whatever else runs in them later has to share their memory.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from changelens.llm.common import hand_back
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
+CACHE_CHUNKS = 600_000  # some 200 MB a Python worker; fewer where other stages share its memory
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")  # letters, then marks but no apostrophe
 _LONGEST = 64  # longer chunks are not kept
 _SLICE = 2 << 20  # bytes of text whose chunks are looked up at a time
@@ -36,7 +37,7 @@ _SLICE = 2 << 20  # bytes of text whose chunks are looked up at a time
 class Encoder:
     """Ids of texts as little-endian 16-bit numbers."""
 
-    def __init__(self, path: str, cache_chunks: int = 150_000) -> None:
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -148,8 +149,8 @@ def with_end(ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 @cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, cache_chunks: int) -> Encoder:
+    return Encoder(path, cache_chunks)
 
 
 def default_path() -> str:
@@ -158,13 +159,13 @@ def default_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def token_ids(text: str, path: str | None = None) -> Column:
+def token_ids(text: str, path: str | None = None, cache_chunks: int = CACHE_CHUNKS) -> Column:
     """The ids of the text column as little-endian 16-bit numbers, END_ID last. The path is
     one that executors can open; the default is looked up on each executor."""
 
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _encoder(path or default_path())
+        encoder = _encoder(path or default_path(), cache_chunks)
         for texts in batches:
             parts = [with_end(*encoder.encode_batch(part)) for part in _slices(texts)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
