@@ -34,15 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens.llm.common import arrow_rows, hand_back, materialize, table
-from changelens.llm.tokens import CACHE_CHUNKS, token_ids
+from changelens.llm.tokens import CACHE_CHUNKS, SLICE_MB, token_ids
 
 _VOCABULARY = 1 << 16
 _MOST_TASKS = 20_000  # a task takes several shards beyond that
 
 
-def tokenize(docs: DataFrame, path: str | None = None, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
+def tokenize(docs: DataFrame, path: str | None = None, cache_chunks: int = CACHE_CHUNKS, slice_mb: int = SLICE_MB) -> DataFrame:
     """docs (doc_id, text) -> doc_id, ids (16-bit), n."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_ids("text", path, cache_chunks).alias("ids"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_ids("text", path, cache_chunks, slice_mb).alias("ids"))
     return ids.withColumn("n", F.expr("length(ids) div 2"))
 
 
@@ -218,12 +218,12 @@ def deal(tokens: DataFrame, df: np.ndarray, total: int, shard_tokens: int) -> Da
     return keyed.repartitionByRange(tasks, "key", "row").sortWithinPartitions("key", "row").select("doc_id", "row", "ids")
 
 
-def pack(docs: DataFrame, window: int = 4096, shard_tokens: int = 2_000_000, path: str | None = None, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
+def pack(docs: DataFrame, window: int = 4096, shard_tokens: int = 2_000_000, path: str | None = None, cache_chunks: int = CACHE_CHUNKS, slice_mb: int = SLICE_MB) -> DataFrame:
     """docs (doc_id, text) -> one row per piece: doc_id, start, length, ids (little-endian
     32-bit numbers), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     with arrow_rows(spark, 2000):
-        tokens = materialize(tokenize(docs, path, cache_chunks))
+        tokens = materialize(tokenize(docs, path, cache_chunks, slice_mb))
     total, n_docs = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     mean = total / max(1, n_docs)
     df = document_frequencies(tokens)

@@ -31,7 +31,7 @@ END_ID = 2
 CACHE_CHUNKS = 600_000  # some 200 MB a Python worker; fewer where other stages share its memory
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")  # letters, then marks but no apostrophe
 _LONGEST = 64  # longer chunks are not kept
-_SLICE = 2 << 20  # bytes of text whose chunks are looked up at a time
+SLICE_MB = 4  # of text whose chunks are looked up at a time; some 45 MB a Python worker for each
 
 
 class Encoder:
@@ -130,13 +130,13 @@ class Encoder:
         return self.encode_batch(pa.array([text], pa.string()))[0].tobytes()
 
 
-def _slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """texts in parts of about _SLICE bytes."""
+def _slices(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """texts in parts of about so many bytes."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
         before = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, before + _SLICE, side="right")))
+        end = max(at + 1, int(np.searchsorted(sizes, before + size, side="right")))
         yield texts.slice(at, end - at)
         at = end
 
@@ -159,7 +159,7 @@ def default_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def token_ids(text: str, path: str | None = None, cache_chunks: int = CACHE_CHUNKS) -> Column:
+def token_ids(text: str, path: str | None = None, cache_chunks: int = CACHE_CHUNKS, slice_mb: int = SLICE_MB) -> Column:
     """The ids of the text column as little-endian 16-bit numbers, END_ID last. The path is
     one that executors can open; the default is looked up on each executor."""
 
@@ -167,7 +167,7 @@ def token_ids(text: str, path: str | None = None, cache_chunks: int = CACHE_CHUN
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(path or default_path(), cache_chunks)
         for texts in batches:
-            parts = [with_end(*encoder.encode_batch(part)) for part in _slices(texts)]
+            parts = [with_end(*encoder.encode_batch(part)) for part in _slices(texts, slice_mb << 20)]
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
         hand_back()
 
