@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from changelens.operators import commit_items, control, embed, graph, intervals
+from changelens.operators import commit_items, control, embed, graph, intervals, name_index
 from changelens.sources.store import StoredTable, active_rows, write_generations
 
 # --- text to vector ----------------------------------------------------------------------
@@ -237,3 +237,22 @@ def test_old_generations_are_not_read(spark, tmp_path):
     assert "dynamicpruning" in got._jdf.queryExecution().explainString(got.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).lower()
     read = got.select(F.input_file_name().alias("f")).distinct().collect()
     assert read and all("generation=3/" in r["f"] for r in read)
+
+
+# --- names -------------------------------------------------------------------------------
+
+
+def test_indexed_search_equals_the_scan(spark):
+    r = random.Random(12)
+    names = [(i, "".join(r.choice("abAB/_%\\é. ") for _ in range(r.randrange(0, 14)))) for i in range(600)] + [(900, None), (901, "Kab"), (902, "aab" * 5000)]
+    df = spark.createDataFrame(names, "id int, name string")
+    index = name_index.postings(df)
+    for pattern in ["%aba%", "%AB/%b%", "%a\\_b%", "aab%", "%", "%ab%", "%éab%", "", "%zzz%", "%aab%aab%aab%", "%kab%", "_ab_a%", "%a\\%b%"]:
+        want = sorted(x["id"] for x in df.where(F.ilike("name", F.lit(pattern))).collect())
+        assert sorted(x["id"] for x in name_index.search(df, index, pattern).collect()) == want, pattern
+        name_index._FEW, before = 0, name_index._FEW
+        try:
+            assert sorted(x["id"] for x in name_index.search(df, index, pattern).collect()) == want, pattern
+        finally:
+            name_index._FEW = before
+    assert name_index.search(df, index, "%aab%").count() and name_index.search(df.where("false"), name_index.postings(df.where("false")), "%aab%").count() == 0
