@@ -236,7 +236,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sanitize_paths",
-    r"SELECT page_id, regexp_replace(regexp_replace('failed at ' || replace(url, '://', '://user:pw@') || ' in /home/app/' || page_id || '/x.py: bad', 'https?://[^@]+@', 'https://****@', 'g'), '/(?:app|workspaces|workspace|tmp|root|home|etc|var|usr)/[^\s''\"<>:]+', '<sanitized_path>', 'g') AS message FROM pages",
+    r"SELECT page_id, regexp_replace(regexp_replace('failed at ' || replace(url, '://', '://user:pw@') || ' in /home/app/' || page_id || '/x.py: bad', '([a-z]+://)[^/@]+@', '\1****@', 'g'), '/(?:app|workspaces|workspace|tmp|root|home|etc|var|usr)/[^\s''\"<>:]+', '<sanitized_path>', 'g') AS message FROM pages",
 )
 def sanitize_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.concat(F.lit("failed at "), F.regexp_replace("url", "://", "://user:pw@"), F.lit(" in /home/app/"), "page_id", F.lit("/x.py: bad"))

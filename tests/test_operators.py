@@ -290,3 +290,26 @@ def test_refresh_replaces_only_its_partitions(spark, tmp_path):
     path = tables_sink.write_generation(frame(spark, [("a", 1), ("b", 2)], "g string, v int"), "g", str(tmp_path))
     tables_sink.refresh(frame(spark, [("b", 3), ("b", 4)], "g string, v int"), "g", path)
     assert sorted(tuple(r) for r in spark.read.parquet(path).select("g", "v").collect()) == [("a", 1), ("b", 3), ("b", 4)]
+
+
+def test_messages_without_secrets(spark):
+    r = spark.range(1)
+    said = lambda t: one(r, text.sanitize_paths(F.lit(t)))
+    assert said("clone of http://me:pw@host/a.git failed, see mail@host") == "clone of http://****@host/a.git failed, see mail@host"
+    assert said("ssh://git@host:22/x and https://host/app/x.py") == "ssh://****@host:22/x and https://host<sanitized_path>"
+    assert said('File "/home/me/x.py": no; C:\\Users\\me\\x.txt; d:/data/y z') == 'File "<sanitized_path>": no; <sanitized_path> <sanitized_path> z'
+    assert said("nothing: src/app.py, /opt/x") == "nothing: src/app.py, /opt/x" and said("") == "" and one(r, text.sanitize_paths(F.lit(None).cast("string"))) is None
+
+
+def test_snippets(spark):
+    r = spark.range(1)
+    cut = lambda t: one(r, text.snippet(F.lit(t)))
+    assert cut("path: a\nsymbol: b  \n\n  body  \n\nrest") == "body\n\nrest"
+    assert cut("no header  \n\nrest ") == "no header\n\nrest" and cut("path: a\nbody") == "path: a\nbody"
+    assert cut("x" * 700) == "x" * 597 + "..." and cut("") == ""
+
+
+def test_binary_names(spark):
+    names = [("a.PNG", True), ("dir.db/x", False), ("lib.so", True), ("x.pyc.txt", False), ("obj.o", True), ("hello", False), ("a.foo", False), (None, None)]
+    got = frame(spark, names, "n string, want boolean").select(text.binary_name(F.col("n")).alias("b"), "want").collect()
+    assert all(x["b"] == x["want"] for x in got)
