@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from changelens.operators import cochange, graph, imports
+from changelens.operators import cochange, graph, imports, partners
 from changelens.operators import commit_items as mixed
 from changelens.plans.registry import query
 from changelens.sources.tables import (
@@ -50,6 +50,19 @@ def cochange_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cochange.pair_counts(touched(spark, sf_dir))
 
 
+@query(
+    "cochange_partners",
+    f"""WITH {TOUCHED_SQL}, counts AS (SELECT file_id, count(*) AS n FROM touched GROUP BY file_id),
+    pairs AS (SELECT a.file_id AS a, b.file_id AS b, count(*) AS joint FROM touched a JOIN touched b ON a.sha = b.sha AND a.file_id <> b.file_id GROUP BY ALL),
+    ranked AS (SELECT a, b, joint, x.n AS n_a, y.n AS n_b, row_number() OVER (PARTITION BY a ORDER BY joint::DOUBLE * joint / y.n DESC, b) AS rank
+      FROM pairs JOIN counts x ON x.file_id = a JOIN counts y ON y.file_id = b)
+    SELECT a AS file_id, rank::INTEGER AS rank, b AS partner, joint, round(joint / sqrt(n_a * n_b::DOUBLE), 6) AS score FROM ranked WHERE rank <= 3""",
+)
+def cochange_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three strongest partners of every file; commits of more than five files by bounds."""
+    return partners.top_partners(touched(spark, sf_dir), 3, most_files=5)
+
+
 @query("cochange_cosine", f"{_BASE}, {COCHANGE_SQL} SELECT * FROM cochange")
 def cochange_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cochange.cosine(touched(spark, sf_dir), changed(spark, sf_dir))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changelens.functions import parse, text, vectors
-from changelens.operators import cochange, control, evaluation, graph, impact, imports, risk, search, tests_rec
+from changelens.operators import cochange, control, evaluation, graph, impact, imports, partners, risk, search, tests_rec
 from changelens.sources.upsert import first_wins, last_wins, merge
 
 
@@ -313,3 +313,51 @@ def test_binary_names(spark):
     names = [("a.PNG", True), ("dir.db/x", False), ("lib.so", True), ("x.pyc.txt", False), ("obj.o", True), ("hello", False), ("a.foo", False), (None, None)]
     got = frame(spark, names, "n string, want boolean").select(text.binary_name(F.col("n")).alias("b"), "want").collect()
     assert all(x["b"] == x["want"] for x in got)
+
+
+def strongest(touched, k):
+    """Plain loops over all pairs of all commits."""
+    commits = {}
+    for sha, file in set(touched):
+        commits.setdefault(sha, set()).add(file)
+    n, joint = {}, {}
+    for members in commits.values():
+        for a in members:
+            n[a] = n.get(a, 0) + 1
+            for b in members - {a}:
+                joint[a, b] = joint.get((a, b), 0) + 1
+    out = set()
+    for a in n:
+        mine = sorted((-j * j / n[b], b, j) for (x, b), j in joint.items() if x == a)[:k]
+        out |= {(a, i + 1, b, j, round(j / (n[a] * n[b]) ** 0.5, 6)) for i, (_, b, j) in enumerate(mine)}
+    return out
+
+
+@pytest.mark.parametrize("most", [4, 8, 1000])
+def test_top_partners_equal_all_pairs(spark, most):
+    rng = np.random.default_rng(most)
+    touched = [(c, int(f)) for c in range(40) for f in rng.choice(60, rng.integers(1, 7), replace=False)]
+    touched += [(100 + c, int(f)) for c in range(6) for f in rng.choice(60, 20, replace=False)]  # large ones
+    touched += [(200, f) for f in range(70, 130)]  # an import of files that never change again: all alike
+    touched += [(201, f) for f in range(60, 100)] + [(202, 75), (202, 5)]
+    df = frame(spark, [*touched, touched[0], (None, 3), (7, None)], "sha int, file_id int")
+    got = {(r["file_id"], r["rank"], r["partner"], r["joint"], r["score"]) for r in partners.top_partners(df, 3, most).collect()}
+    assert got == strongest(touched, 3)
+
+
+def test_top_partners_of_a_huge_commit_make_few_pairs(spark):
+    """20,000 files in one commit, a tenth of which change in pairs as well: no 4 * 10^8 pairs."""
+    once = spark.range(20_000).select(F.lit(-1).alias("sha"), F.col("id").alias("file_id"))
+    again = spark.range(2_000).select((F.col("id") % 1000).cast("int").alias("sha"), F.col("id").alias("file_id"))
+    began = time.perf_counter()
+    got = partners.top_partners(once.union(again), 2).where("file_id IN (3, 1003, 19999)").collect()
+    assert {(r["file_id"], r["rank"], r["partner"], r["joint"]) for r in got} == {
+        (3, 1, 1003, 2), (3, 2, 2000, 1), (1003, 1, 3, 2), (1003, 2, 2000, 1), (19999, 1, 2000, 1), (19999, 2, 2001, 1),
+    }
+    assert time.perf_counter() - began < 120
+
+
+def test_top_partners_of_nothing(spark):
+    assert partners.top_partners(frame(spark, [], "sha int, file_id int"), 2).collect() == []
+    with pytest.raises(ValueError, match="most_files"):
+        partners.top_partners(frame(spark, [], "sha int, file_id int"), 2, most_files=2)
