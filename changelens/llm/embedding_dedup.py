@@ -11,9 +11,11 @@
    all nodes at once, some levels a round; no tree is on the driver. Each row carries the
    estimated chance that its pairs are still together, and trees are added until the row of
    the least chance has an estimated recall of 0.999.
+   What is stored of a row and leaf are ids alone; vectors are joined where they are needed.
 3. Within a leaf all pairs are compared by cosine in double precision (a matrix product; a
-   large leaf in blocks of `block_rows`, each pair of blocks a group of its own). A pair that
-   several leaves hold is counted in the first of them, which each row's list of leaves tells.
+   large leaf in blocks of `block_rows`, each pair of blocks a group of its own). A first pass
+   tells which rows have a link there at all. Only those come again, with the list of their
+   leaves, as a pair that several leaves hold is counted in the first of them.
    Only counts and the edges of local spanning trees leave a leaf, never its pairs.
 4. The edges are united into components.
 
@@ -32,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm.common import connected_components, materialize, mix64, table
+from changelens.llm.common import connected_components, materialize, mix64, release, table
 
 _DEPTH = 6  # levels of a tree that one round adds
 _NODES = (1 << _DEPTH) - 1
@@ -151,6 +153,24 @@ def _route(threshold: float):
     return run
 
 
+def _links(group: pd.DataFrame, threshold: float) -> np.ndarray:
+    """Which rows of a leaf link with which; of two blocks, pairs across them only."""
+    x = _units(group["vec"])
+    links = (x @ x.T) >= threshold
+    np.fill_diagonal(links, False)
+    if group["b1"].iloc[0] != group["b2"].iloc[0]:
+        block = group["block"].to_numpy()
+        links &= block[:, None] != block[None, :]
+    return links
+
+
+def _linked(threshold: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return group.loc[_links(group, threshold).any(axis=1), ["rep", "node", "block", "b1", "b2"]]
+
+    return run
+
+
 def _compare(threshold: float):
     def local(links: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """The smallest id that each row reaches by links within the leaf."""
@@ -168,13 +188,7 @@ def _compare(threshold: float):
         group = group.sort_values("rep", ignore_index=True)
         leaf = int(group["node"].iloc[0])
         ids, sizes = group["rep"].to_numpy(), group["size"].to_numpy()
-        x = _units(group["vec"])
-        links = (x @ x.T) >= threshold
-        np.fill_diagonal(links, False)
-        if not links.any():
-            return pd.DataFrame({"rep": [], "other": [], "found": []})
-        if group["b1"].iloc[0] != group["b2"].iloc[0]:  # two blocks: pairs across them only
-            links &= (group["block"].to_numpy()[:, None] != group["block"].to_numpy()[None, :])
+        links = _links(group, threshold)
         label = local(links, ids)
         owner = np.repeat(np.arange(len(group)), [len(v) for v in group["leaves"]])
         leaves = np.concatenate([np.asarray(v) for v in group["leaves"]])
@@ -190,20 +204,26 @@ def _compare(threshold: float):
 
 
 def _grow(classes: DataFrame, first: int, last: int, leaf_rows: int, threshold: float, node_sample: int) -> DataFrame:
-    """rep, size, vec, tree, node and kept (the estimated chance that a pair is still together)
-    of every row in every leaf of the trees of these numbers."""
-    trees = classes.select("rep", "size", "vec", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("tree"))
-    spread = trees.select("*", F.xxhash64("tree", F.size("vec")).alias("node"), F.lit(False).alias("done"), F.lit(1.0).alias("kept"))
+    """rep, tree, node and kept (the estimated chance that a pair is still together) of every
+    row in every leaf of the trees of these numbers."""
+    vectors = classes.select("rep", "vec")
+    trees = classes.select("rep", F.size("vec").alias("dims"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("tree"))
+    spread = trees.select("rep", "tree", F.xxhash64("tree", "dims").alias("node"), F.lit(False).alias("done"), F.lit(1.0).alias("kept"))
+    stored = None
     while True:
         full = materialize(spread.where(~F.col("done")).groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > leaf_rows))
         if full.limit(1).count() == 0:
+            release(full)
             return spread.drop("done")
         drawn = spread.where(~F.col("done")).join(full, "node").where(F.pmod(F.xxhash64("rep", "node"), F.lit(1 << 30)) < F.lit(float(node_sample << 30)) / F.col("n"))
-        fitted = materialize(drawn.select("node", "n", "vec").groupBy("node").applyInPandas(_fit(leaf_rows, threshold), "node long, tree binary").withColumnRenamed("tree", "cuts"))
-        open_rows = spread.where(~F.col("done")).join(fitted, "node")
-        routed = open_rows.withColumn("to", F.explode(_route(threshold)("vec", "node", "cuts"))).select("rep", "size", "vec", "tree", "to.node", "to.done", (F.col("kept") * F.col("to.kept")).alias("kept"))
-        settled = spread.join(fitted.select("node").withColumn("_open", F.lit(True)), "node", "left").where("done OR _open IS NULL").select("rep", "size", "vec", "tree", "node", F.lit(True).alias("done"), "kept")
+        fitted = materialize(drawn.join(vectors, "rep").select("node", "n", "vec").groupBy("node").applyInPandas(_fit(leaf_rows, threshold), "node long, tree binary").withColumnRenamed("tree", "cuts"))
+        open_rows = spread.where(~F.col("done")).join(vectors, "rep").join(fitted, "node")
+        routed = open_rows.withColumn("to", F.explode(_route(threshold)("vec", "node", "cuts"))).select("rep", "tree", "to.node", "to.done", (F.col("kept") * F.col("to.kept")).alias("kept"))
+        settled = spread.join(fitted.select("node").withColumn("_open", F.lit(True)), "node", "left").where("done OR _open IS NULL").select("rep", "tree", "node", F.lit(True).alias("done"), "kept")
         spread = materialize(routed.union(settled))
+        for old in (full, fitted, *([] if stored is None else [stored])):
+            release(old)
+        stored = spread
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, leaf_rows: int = 256, node_sample: int = 2000, block_rows: int = 512, recall: float = 0.999) -> DataFrame:
@@ -233,24 +253,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, leaf_rows: int =
         spread = spread.union(_grow(classes, trees + 1, needed, leaf_rows, threshold, node_sample))
         trees = needed
 
-    leaves = materialize(spread.groupBy("rep").agg(F.collect_set("node").alias("leaves")))
+    vectors = classes.select("rep", "size", "vec")
     blocks = materialize(spread.groupBy("node").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks")).where("blocks > 1"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     paired = (
-        spread.join(leaves, "rep")
+        spread.select("rep", "node")
         .join(blocks, "node", "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", block)
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("b1", F.least("block", "with"))
-        .withColumn("b2", F.greatest("block", "with"))
-    )
-    found = materialize(
-        paired.select("rep", "size", "vec", "node", "leaves", "block", "b1", "b2")
-        .repartition("node", "b1", "b2")
-        .groupBy("node", "b1", "b2")
-        .applyInPandas(_compare(threshold), "rep long, other long, found long")
+        .select("rep", "node", "block", F.least("block", "with").alias("b1"), F.greatest("block", "with").alias("b2"))
     )
+
+    def by_leaf(rows: DataFrame):
+        return rows.repartition("node", "b1", "b2").groupBy("node", "b1", "b2")
+
+    linked = materialize(by_leaf(paired.join(vectors.drop("size"), "rep")).applyInPandas(_linked(threshold), "rep long, node long, block int, b1 int, b2 int"))
+    leaves = spread.join(linked.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.collect_set("node").alias("leaves"))
+    found = materialize(by_leaf(linked.join(vectors.join(leaves, "rep"), "rep")).applyInPandas(_compare(threshold), "rep long, other long, found long"))
     counts = found.groupBy("rep").agg(F.sum("found").alias("found"))
     comps = connected_components(found.where("rep <> other"), "rep", "other").toDF("rep", "component")
     known = materialize(
