@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from changelens.operators import intervals
+from changelens.operators import intervals, ordered
 
 # The states, which may follow which, and limits in seconds.
 TERMINAL = ("completed", "failed", "cancelled", "superseded")
@@ -42,8 +42,8 @@ def eta_rate(done: Column, total: Column, elapsed: Column) -> Column:
 
 def monotone(log: DataFrame, key: str, order: str, pct: str) -> DataFrame:
     """log with pct that never falls within a key."""
-    w = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return log.withColumn(pct, F.max(pct).over(w))
+    rows = ordered.blocks(log, [key], [order])
+    return ordered.running(rows, [key], [order], pct, "max", "_most").withColumn(pct, F.col("_most")).drop("_most", "_block")
 
 
 def ema(log: DataFrame, key: str, order: str, value: str, alpha: float = 0.35) -> DataFrame:
@@ -52,8 +52,8 @@ def ema(log: DataFrame, key: str, order: str, value: str, alpha: float = 0.35) -
     With n values the i-th weighs alpha (1 - alpha)^(n - i), the first (1 - alpha)^(n - 1); so
     the mean is a sum over numbered rows, and no key's history is held in one place.
     """
-    back = W.partitionBy(key).orderBy(F.desc(order))
-    numbered = log.select(key, F.col(value).alias("v"), (F.row_number().over(back) - 1).alias("back"))
+    rows = ordered.blocks(log.select(key, F.col(order).alias("_order"), F.col(value).alias("v")), [key], ["_order"])
+    numbered = ordered.numbered(rows, [key], ["_order"]).select(key, "v", (F.col("total") - F.col("place")).alias("back"))
     summed = numbered.groupBy(key).agg(F.sum(F.col("v") * F.pow(F.lit(1 - alpha), "back")).alias("s"), F.max(F.struct("back", "v")).alias("first"))
     seed = (1 - alpha) * F.col("first.v") * F.pow(F.lit(1 - alpha), "first.back")
     return summed.select(key, F.round(alpha * F.col("s") + seed, 6).alias("ema"))
@@ -98,16 +98,17 @@ def transitions(log: DataFrame, key: str, order: str, status: str) -> DataFrame:
 
 def batch_ranges(chunks: DataFrame, key: str, chunk: str, size: int = 16) -> DataFrame:
     """key, batch_index, first and last chunk of every run of `size` chunks of a key."""
-    place = F.floor((F.row_number().over(W.partitionBy(key).orderBy(chunk)) - 1) / size).cast("bigint")
-    return chunks.select(key, chunk, place.alias("batch_index")).groupBy(key, "batch_index").agg(F.min(chunk).alias("first_chunk"), F.max(chunk).alias("last_chunk"), F.count("*").alias("n"))
+    rows = ordered.numbered(ordered.blocks(chunks.select(key, chunk), [key], [chunk]), [key], [chunk])
+    place = F.floor((F.col("place") - 1) / size).cast("bigint")
+    return rows.select(key, chunk, place.alias("batch_index")).groupBy(key, "batch_index").agg(F.min(chunk).alias("first_chunk"), F.max(chunk).alias("last_chunk"), F.count("*").alias("n"))
 
 
 def merge_ranges(ranges: DataFrame, key: str) -> DataFrame:
     """ranges (key, start, end) with those that overlap or touch joined."""
-    before = W.partitionBy(key).orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
-    ordered = W.partitionBy(key).orderBy("start", "end")
-    opened = ranges.withColumn("most", F.max("end").over(before)).withColumn("fresh", F.when(F.col("most").isNull() | (F.col("start") > F.col("most") + 1), 1).otherwise(0))
-    island = opened.withColumn("island", F.sum("fresh").over(ordered))
+    rows = ordered.blocks(ranges.select(key, "start", "end"), [key], ["start", "end"])
+    opened = ordered.running(rows, [key], ["start", "end"], "end", "max", "most", own=False)
+    opened = opened.withColumn("fresh", F.when(F.col("most").isNull() | (F.col("start") > F.col("most") + 1), 1).otherwise(0))
+    island = ordered.running(opened, [key], ["start", "end"], "fresh", "sum", "island")
     return island.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(key, "start", "end")
 
 

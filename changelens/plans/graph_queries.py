@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from changelens.operators import cochange, graph, imports, partners
+from changelens.operators import cochange, graph, imports, ordered, partners
 from changelens.operators import commit_items as mixed
 from changelens.plans.registry import query
 from changelens.sources.tables import (
@@ -234,10 +233,9 @@ def layer_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("grid_layout", f"WITH {FILES_SQL} SELECT file_id, (row_number() OVER (PARTITION BY language ORDER BY is_test, path) - 1)::INTEGER AS slot, ceil(sqrt(count(*) OVER (PARTITION BY language)))::BIGINT AS columns FROM files")
 def grid_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A place on a grid for every file of a language, sources before tests."""
-    by = W.partitionBy("language")
-    return files(spark, sf_dir).select(
-        "file_id", (F.row_number().over(by.orderBy("is_test", "path")) - 1).alias("slot"), F.ceil(F.sqrt(F.count("*").over(by))).cast("bigint").alias("columns")
-    )
+    order = ["is_test", "path"]
+    rows = ordered.numbered(ordered.blocks(files(spark, sf_dir).select("file_id", "language", *order), ["language"], order), ["language"], order)
+    return rows.select("file_id", (F.col("place") - 1).cast("int").alias("slot"), F.ceil(F.sqrt("total")).cast("bigint").alias("columns"))
 
 
 @query("edge_paths", f"WITH {FILES_SQL}, {EDGES_SQL} SELECT a.path AS src_path, b.path AS dst_path FROM edges JOIN files a ON a.file_id = src JOIN files b ON b.file_id = dst")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changelens.functions import parse, text, vectors
-from changelens.operators import cochange, control, evaluation, graph, impact, imports, partners, risk, search, tests_rec
+from changelens.operators import cochange, control, evaluation, graph, impact, imports, ordered, partners, risk, search, tests_rec
 from changelens.sources.upsert import first_wins, last_wins, merge
 
 
@@ -361,3 +361,26 @@ def test_top_partners_of_nothing(spark):
     assert partners.top_partners(frame(spark, [], "sha int, file_id int"), 2).collect() == []
     with pytest.raises(ValueError, match="most_files"):
         partners.top_partners(frame(spark, [], "sha int, file_id int"), 2, most_files=2)
+
+
+def test_ordered_blocks_equal_plain_windows(spark):
+    """One key of 4,000 rows lies in several blocks; a null key, ties and nulls beside it."""
+    rows = [(1, i, i * 7919 % 1000) for i in range(4000)] + [(2, i // 2, i) for i in range(10)] + [(None, 1, 5), (None, 2, None), (3, 1, None)]
+    df = frame(spark, rows, "k int, o int, v long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one block
+    try:
+        dealt = ordered.blocks(df, ["k"], ["o"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert dealt.where("k = 1").select("_block").distinct().count() > 1
+    places = ordered.numbered(dealt, ["k"], ["o"]).collect()
+    assert sorted(r["place"] for r in places if r["k"] == 1) == list(range(1, 4001)) and all(r["place"] == r["o"] + 1 for r in places if r["k"] == 1)
+    assert {(r["k"], r["total"]) for r in places} == {(1, 4000), (2, 10), (3, 1), (None, 2)}
+    for how, agg in (("max", "max(v) OVER w"), ("sum", "coalesce(sum(v) OVER w, 0)")):
+        got = ordered.running(dealt, ["k"], ["o"], "v", how, "x").select("k", "o", "v", "x")
+        want = df.selectExpr("k", "o", "v", f"{agg.replace('w', '(PARTITION BY k ORDER BY o)')} AS x")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    got = ordered.running(dealt, ["k"], ["o"], "v", "max", "x", own=False).where("k = 1").select("o", "x")
+    want = df.where("k = 1").selectExpr("o", "max(v) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS x")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert ordered.numbered(ordered.blocks(df.where("false"), ["k"], ["o"]), ["k"], ["o"]).count() == 0
