@@ -384,3 +384,19 @@ def test_ordered_blocks_equal_plain_windows(spark):
     want = df.where("k = 1").selectExpr("o", "max(v) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS x")
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert ordered.numbered(ordered.blocks(df.where("false"), ["k"], ["o"]), ["k"], ["o"]).count() == 0
+
+
+def test_top_partners_of_few_pairs_are_counted_plainly(spark, monkeypatch):
+    """Orders of up to seven files, all alike: the bound prunes nothing, so a bound of five must
+    not be kept up where the pairs are six a row at most. A file in many commits has many parts."""
+    rng = np.random.default_rng(5)
+    touched = [(c, int(f)) for c in range(300) for f in {0, *rng.choice(90, rng.integers(1, 7), replace=False)}]
+    df = frame(spark, touched, "sha int, file_id int")
+    sized = df.groupBy("sha").agg(F.count("*").alias("files"))
+    largest = sized.agg(F.max("files")).first()[0]
+    assert partners._most_files(sized, 5, 20) == (largest, sum(r["files"] * (r["files"] - 1) for r in sized.collect()))
+    assert partners._most_files(sized, 5, 0)[0] == 5 < largest
+    monkeypatch.setattr(partners, "_MANY", 50)
+    monkeypatch.setattr(partners, "_in_large", None)  # the way by bounds would need it
+    got = {(r["file_id"], r["rank"], r["partner"], r["joint"], r["score"]) for r in partners.top_partners(df, 3, 5, row_pairs=20).collect()}
+    assert got == strongest(touched, 3)
