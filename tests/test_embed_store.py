@@ -256,3 +256,18 @@ def test_indexed_search_equals_the_scan(spark):
         finally:
             name_index._FEW = before
     assert name_index.search(df, index, "%aab%").count() and name_index.search(df.where("false"), name_index.postings(df.where("false")), "%aab%").count() == 0
+
+
+def test_texts_are_dealt_out_and_rare_weights_shuffled(spark, monkeypatch):
+    """Vectors don't depend on how many texts a task has or how many weights are broadcast; a
+    scan of one split must not sum all texts in one task, nor all weights be broadcast."""
+    texts = spark.createDataFrame([(i, f"src run_{i} p{i % 7} word{'x' * (i % 5)} src") for i in range(60)] + [(60, ""), (61, None)], "id int, text string").coalesce(1)
+    weights = embed.fit(texts).where("token <> 'p'").localCheckpoint()  # one that it does not know
+    whole = sorted(map(tuple, embed.embed(texts, weights).collect()))
+    assert len(whole) == 62 and whole[60][1] == whole[61][1] == [0.0] * embed.SIZE
+    monkeypatch.setattr(embed, "_TASK_TEXTS", 7)
+    monkeypatch.setattr(embed, "_COMMON", 3)
+    dealt = embed.embed(texts, weights)
+    assert sorted(map(tuple, dealt.collect())) == whole
+    assert dealt.rdd.getNumPartitions() == 9
+    assert sorted(embed.fit(texts).collect()) == sorted(spark.createDataFrame(embed.fit(texts.repartition(5)).collect()).collect())
