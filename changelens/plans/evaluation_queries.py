@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from changelens.operators import evaluation as ev
 from changelens.plans.embed_queries import NEAR_SQL, VECTORS_SQL, hits
-from changelens.plans.graph_queries import edge_paths, touched
+from changelens.plans.graph_queries import edge_paths
 from changelens.plans.registry import query
-from changelens.sources.tables import COMMITS_SQL, EDGES_SQL, FILES_SQL, TEXTS_SQL, TOUCHED_SQL, commits, files
+from changelens.sources.tables import COMMITS_SQL, EDGES_SQL, FILES_SQL, TEXTS_SQL, TOUCHED_SQL, commit_items, commits, files
 from changelens.sources.tables_sink import stored
 
 LIMIT, MOST, KS, NEAR = 200, 20, (5, 10), 20
@@ -45,7 +45,7 @@ def _recent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.judged(_recent(spark, sf_dir), touched(spark, sf_dir), files(spark, sf_dir), MOST)
+    return ev.judged(_recent(spark, sf_dir), commit_items(spark, sf_dir), files(spark, sf_dir), MOST)
 
 
 def _scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +57,12 @@ def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dependency(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
-    return ev.by_dependency(known or _known(spark, sf_dir), edge_paths(spark, sf_dir))
+    known = known or stored(_known(spark, sf_dir))
+    return ev.by_dependency(known, edge_paths(spark, sf_dir, known.withColumnRenamed("known", "path")))
 
 
 def _cochange(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
-    rows = touched(spark, sf_dir).join(_recent(spark, sf_dir).select("sha"), "sha").join(files(spark, sf_dir).select("file_id", "path"), "file_id")
+    rows = commit_items(spark, sf_dir).join(_recent(spark, sf_dir).select("sha"), "sha").join(files(spark, sf_dir).select("file_id", "path"), "file_id")
     return ev.by_cochange(known or _known(spark, sf_dir), rows)
 
 
@@ -73,13 +74,14 @@ def _semantic(spark: SparkSession, sf_dir: str, known: DataFrame | None = None)
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.hybrid([_dependency(spark, sf_dir), _cochange(spark, sf_dir), _semantic(spark, sf_dir)])
+    known = stored(_known(spark, sf_dir))
+    return ev.hybrid([f(spark, sf_dir, known) for f in (_dependency, _cochange, _semantic)])
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scenarios and the three lists are computed once; the fourth comes from them."""
     scenarios = stored(_scenarios(spark, sf_dir))
-    known = scenarios.select("known").distinct()
+    known = stored(scenarios.select("known").distinct())
     lists = None
     for name, f in (("dependency_only", _dependency), ("cochange_only", _cochange), ("semantic_only", _semantic)):
         rows = f(spark, sf_dir, known).withColumn("method", F.lit(name))

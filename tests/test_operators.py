@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from changelens.functions import parse, text, vectors
+from changelens.functions.vectors import cosine_score
 from changelens.operators import cochange, control, evaluation, graph, impact, imports, ordered, partners, risk, search, tests_rec
 from changelens.sources.upsert import first_wins, last_wins, merge
 
@@ -400,3 +401,26 @@ def test_top_partners_of_few_pairs_are_counted_plainly(spark, monkeypatch):
     monkeypatch.setattr(partners, "_in_large", None)  # the way by bounds would need it
     got = {(r["file_id"], r["rank"], r["partner"], r["joint"], r["score"]) for r in partners.top_partners(df, 3, 5, row_pairs=20).collect()}
     assert got == strongest(touched, 3)
+
+
+def test_batch_topk_bounds_keep_all_that_may_be_nearest(spark):
+    """Equal to all pairs scored by Spark, without making them: ties by chunk_id, vectors that are
+    zero, null, of other lengths, tiny, huge or not finite, and a null chunk_id."""
+    rng = np.random.default_rng(11)
+    vectors = [[float(x) for x in rng.integers(-2, 3, 4)] for _ in range(400)] + [[float(x) for x in rng.normal(size=4)] for _ in range(400)]
+    vectors += [None, [], [0.0] * 4, [1.0, 2.0], [1.0, None, 0.0, 1.0], [float("nan"), 1.0, 1.0, 1.0], [float("inf"), 1.0, 1.0, 1.0], [1e-120] * 4, [1e160] * 4, [3e-170, 0.0, 0.0, 0.0]]
+    order = rng.permutation(len(vectors)).tolist()
+    chunks = frame(spark, [*((f"c{i}", vectors[i]) for i in order), (None, [1.0, 1.0, 0.0, 0.0])], "chunk_id string, embedding array<double>").repartition(3)
+    queries = frame(spark, [(j, vectors[i]) for j, i in enumerate([0, 1, 405, *range(800, 810)])], "query_id int, query_vec array<double>")
+    score = cosine_score(F.col("embedding"), F.col("query_vec"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "90")  # several batches a task
+    try:
+        for k in (1, 7, 300):
+            found = search.batch_topk(chunks, queries, k)
+            assert not any(x in found._jdf.queryExecution().toString() for x in ("CartesianProduct", "BroadcastNestedLoopJoin"))
+            pairs = chunks.crossJoin(queries).select("query_id", "chunk_id", score.alias("score"))
+            want = pairs.selectExpr("query_id", "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank", "chunk_id", "score").where(f"rank <= {k}")
+            assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert search.batch_topk(chunks, queries.where("false"), 3).count() == 0 == search.batch_topk(chunks.where("false"), queries, 3).count()
