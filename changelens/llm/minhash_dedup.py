@@ -14,7 +14,7 @@ least of a hash that changes with the round), every member takes the one leader
 buckets with, and what is verified is joined into components: a pair a member at most. What is
 left then are buckets that still hold several components; there, every pair of members of
 different components is compared within tasks, in blocks, and only survivors become rows, a
-few a member at most. So no link between two components is lost, and a large group of near
+few a member at most, or the links that suffice to join what all links of the block join. So no link between two components is lost, and a large group of near
 copies costs rows in proportion to its size.
 
 Defined results: words are runs of anything but ASCII white space, with A-Z lower-cased; a
@@ -153,6 +153,28 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _joining(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The places of links between components x and y, so few that they join what all links do."""
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (up := parent.setdefault(v, v)) != v:
+            parent[v] = v = parent[up]
+        return v
+
+    kept, left = [], np.unique(np.concatenate((x, y))).size - 1
+    _, first = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1, return_index=True)
+    for at in first.tolist():
+        if left == 0:
+            break
+        a, b = root(int(x[at])), root(int(y[at]))
+        if a != b:
+            parent[a] = b
+            kept.append(at)
+            left -= 1
+    return np.array(kept, dtype=np.int64)
+
+
 def _across(rows: DataFrame, reps: DataFrame, docs: DataFrame, floors: list[tuple[int, int]], shingle: int, percent: int, bands: int, block: int = 512) -> tuple[DataFrame, DataFrame]:
     """rows (bucket, band, doc_id, comp): pairs (x, y) of different components of a bucket.
     Returns those still to be verified, and verified links.
@@ -161,8 +183,9 @@ def _across(rows: DataFrame, reps: DataFrame, docs: DataFrame, floors: list[tupl
     blocks; a group is one block against another. A pair counts in the first bucket that its
     members share. Sizes and signatures leave some pairs in the race. Each member has
     _CROWDED pairs to give, in equal parts to its groups; a group with no more pairs than its
-    members give returns them, any other gets its texts and is verified where it is. So rows
-    stay in proportion to members.
+    members give returns them, any other gets its texts and is verified where it is, and of its
+    links those are returned that join components not yet joined by others. So rows stay in
+    proportion to members.
     """
     parts = rows.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("k"), F.sum("n").alias("n")).where("k > 1")
@@ -249,7 +272,9 @@ def _across(rows: DataFrame, reps: DataFrame, docs: DataFrame, floors: list[tupl
             both = _common([sets[k] for k in left], [sets[k] for k in right])[at_left, at_right] if i.size else np.zeros(0)
             size = g["size"].to_numpy()
             link = 100 * both >= percent * (size[i] + size[j] - both)
-            p, q = doc[i[link]], doc[j[link]]
+            comp, p, q = g["comp"].to_numpy(), i[link], j[link]
+            joins = _joining(comp[p], comp[q])
+            p, q = doc[p[joins]], doc[q[joins]]
             yield pd.DataFrame({"x": np.minimum(p, q), "y": np.maximum(p, q)})
         hand_back()
 
@@ -344,7 +369,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
                 likely = materialize(_likely(pairs, reps, floors))
         else:
             likely, direct = _across(rowset, reps, docs, floors, shingle, percent, bands)
-            likely = materialize(likely.join(compared, ["x", "y"], "left_anti"))
+            likely = materialize(likely if compared is None else likely.join(compared, ["x", "y"], "left_anti"))
             done.append(direct)
             links = direct if links is None else links.union(direct)
         release(rowset)

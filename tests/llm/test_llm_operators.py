@@ -641,6 +641,24 @@ def test_dense_groups_equal_brute_force(spark, monkeypatch):
     assert {r_["doc_id"]: (r_["n_shingles"], r_["component_id"]) for r_ in rows} == linked(texts, 2)
 
 
+def test_dense_groups_return_links_in_proportion_to_members(spark, monkeypatch):
+    """All pairs of the first 60 texts are links: 1770, of which few join anything."""
+    monkeypatch.setattr(minhash_dedup, "_CROWDED", 0)
+    sizes = []
+    monkeypatch.setattr(minhash_dedup, "connected_components", lambda links, x, y: sizes.append(links.count()) or common.connected_components(links, x, y))
+    r = random.Random(12)
+    texts = {}
+    for i in range(80):
+        w = made(3 if i < 60 else 4, 120).split()
+        w[r.randrange(120)] = f"v{i}"
+        texts[i] = " ".join(w)
+    rows = minhash_dedup.near_duplicates(spark.createDataFrame([*texts.items()], DOCS), 2, star_rounds=0).collect()
+    assert {r_["doc_id"]: (r_["n_shingles"], r_["component_id"]) for r_ in rows} == linked(texts, 2)
+    assert sizes and max(sizes) < 6 * len(texts)
+    x, y = np.array([1, 2, 1, 5, 1]), np.array([2, 3, 3, 6, 2])
+    assert minhash_dedup._joining(x, y).tolist() == [0, 2, 3] and minhash_dedup._joining(x[:0], y[:0]).tolist() == []
+
+
 def test_fits_take_a_bounded_sample_of_repeated_rows(spark):
     one = [(1, made(1, 40), "xx", 1)] * 3000 + [(2, made(2, 40), "yy", 0)] * 3000
     df = spark.createDataFrame(one, "doc_id long, text string, lang string, quality int")
