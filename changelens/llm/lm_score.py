@@ -45,8 +45,10 @@ from changelens.llm.common import arrow_rows, crc_mod, hand_back, materialize, m
 END = np.uint64(0x3C79AC492BA7B653)
 FIRST, PROBES = 16, 13  # hash functions of level 1, and of the levels above
 _SHARD_GRAMS = 6_000_000  # tokens of the corpus for each shard
-_SLICE = 400_000  # tokens scored at a time
+_SLICE = 150_000  # tokens scored at a time
 _GATHERED = 6_000_000  # tokens counted at a time
+_PIECE = 250_000  # pairs hashed at a time
+_BINS = 3  # bits: a batch of tokens is sorted in so many parts
 _BATCH = 1000  # texts sent to Python at a time
 
 
@@ -186,17 +188,32 @@ def train(docs: DataFrame, shard_grams: int = _SHARD_GRAMS) -> tuple[DataFrame,
     def packed(tokens: list[np.ndarray]) -> Iterator[dict]:
         """What the tokens have for each shard: words and pairs in order, and the pairs' histories
         as runs, so that a history is not repeated for each of its pairs."""
-        words, n = np.unique(np.concatenate(tokens), return_counts=True)
-        h = np.concatenate([_history(t) for t in tokens])
-        pairs, at, m = np.unique(_pair(h, np.concatenate(tokens)), return_index=True, return_counts=True)
-        h = h[at]
-        word_cuts, pair_cuts = np.searchsorted(words, edges), np.searchsorted(pairs, edges)
-        for shard, (a, b, c, d, e) in enumerate(zip(*(np.split(x, cuts) for x, cuts in ((words, word_cuts), (n, word_cuts), (pairs, pair_cuts), (m, pair_cuts), (h, pair_cuts))), strict=True)):
-            if a.size or c.size:
-                order = np.argsort(e, kind="stable")
-                runs, counts = np.unique(e, return_counts=True)
-                values = (a, b.astype(np.uint32), c[order], d[order].astype(np.uint32), runs, counts.astype(np.uint32))
-                yield {"shard": shard, **{k: x.tobytes() for k, x in zip(_PARTS, values, strict=True)}}
+        starts = np.cumsum([0, *(t.size for t in tokens)])[:-1]
+        all_tokens = np.concatenate(tokens)
+        tokens.clear()
+        h = np.concatenate(([END], all_tokens[:-1]))
+        h[starts] = END
+        pairs = np.empty_like(h)
+        for at in range(0, h.size, _PIECE):
+            pairs[at : at + _PIECE] = _pair(h[at : at + _PIECE], all_tokens[at : at + _PIECE])
+        # A range of hashes at a time: what sorting takes beside the tokens is that of a part.
+        few = min(top, _BINS)
+        for b in range(1 << few):
+            of = lambda x: x >> np.uint64(64 - few) == np.uint64(b) if few else np.ones(x.size, dtype=bool)  # noqa: B023, E731
+            shards = np.arange(b << (top - few), (b + 1) << (top - few))
+            inner = edges[shards[:-1]]
+            words, n = np.unique(all_tokens[of(all_tokens)], return_counts=True)
+            here = of(pairs)
+            found, at, m = np.unique(pairs[here], return_index=True, return_counts=True)
+            before = h[here][at]
+            word_cuts, pair_cuts = np.searchsorted(words, inner), np.searchsorted(found, inner)
+            parts = zip(*(np.split(x, cuts) for x, cuts in ((words, word_cuts), (n, word_cuts), (found, pair_cuts), (m, pair_cuts), (before, pair_cuts))), strict=True)
+            for shard, (a, k, c, d, e) in zip(shards.tolist(), parts, strict=True):
+                if a.size or c.size:
+                    order = np.argsort(e, kind="stable")
+                    runs, counts = np.unique(e, return_counts=True)
+                    values = (a, k.astype(np.uint32), c[order], d[order].astype(np.uint32), runs, counts.astype(np.uint32))
+                    yield {"shard": shard, **{name: x.tobytes() for name, x in zip(_PARTS, values, strict=True)}}
 
     schema = pa.schema([("shard", pa.int32()), *((k, pa.binary()) for k in _PARTS)])
 

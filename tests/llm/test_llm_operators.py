@@ -408,6 +408,17 @@ def test_lm_probabilities_sum_to_one_after_any_history(spark):
             assert p.sum() + unknown[0] == pytest.approx(1, abs=0.02)
 
 
+def test_lm_batches_give_the_same_shards_however_they_are_sorted(spark, monkeypatch):
+    df = spark.createDataFrame([(i, made(i, 60)) for i in range(60)] + [(900 + i, t) for i, t in enumerate(EDGE_TEXTS)], DOCS)
+    seen = []
+    for bins, piece in ((0, 10**6), (2, 17), (3, 1000)):
+        monkeypatch.setattr(lm_score, "_BINS", bins)
+        monkeypatch.setattr(lm_score, "_PIECE", piece)
+        shards, known, *numbers = lm_score.train(df, shard_grams=200)
+        seen.append((sorted(map(tuple, shards.collect())), sorted(map(tuple, known.collect())), numbers))
+    assert seen[0][0] and seen[0] == seen[1] == seen[2]
+
+
 def test_bloom_levels():
     grams_ = np.unique(np.random.default_rng(2).integers(1, 2**63, 5000, dtype=np.uint64))
     levels = lm_score._levels(np.random.default_rng(3).integers(1, 300, grams_.size))
