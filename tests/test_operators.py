@@ -29,6 +29,19 @@ def test_cochange_golden(spark):
     assert cochange.cosine(touched.where("false"), changed).collect() == []
 
 
+def test_items_are_dealt_out_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(cochange, "_TASK_ROWS", 10)
+    items = spark.range(400).selectExpr("id % 40 AS sha", "id % 7 AS file_id")
+    commits = spark.range(40).selectExpr("id AS sha", "if(id % 2 = 0, 'Fix', 'Change') AS message")
+    assert cochange.dealt(items).rdd.getNumPartitions() == 40 and cochange.dealt(items.limit(80)).rdd.getNumPartitions() < 8
+    got = {tuple(r) for r in cochange.bugfix_churn(items, commits).collect()}
+    want = {}
+    for k in range(400):
+        if k % 2 == 0:
+            want.setdefault(k % 7, set()).add(k % 40)
+    assert got == {(f, len(s)) for f, s in want.items()}
+
+
 def test_bugfix_and_churn_count_differently(spark):
     items = frame(spark, [(1, "p"), (1, "p"), (2, "p")], "sha int, file_id string")
     commits = frame(spark, [(1, "Fix payment regression"), (2, "Refactor names")], "sha int, message string")
