@@ -21,7 +21,8 @@ shards of a bounded size. Texts are counted some million tokens at a time, and w
 has for a shard is one row of packed numbers (none where it has nothing, so there are never
 more rows than n-grams); a shard is built by one task, from as many tokens as any other shard.
 What each shard knows of M is summed by word. If filter and words have at most `broadcast_mb`,
-they are broadcast. Beyond that the probes go to the shards by a shuffle, each distinct pair
+they are broadcast, in parts with a range of hashes each, so that the driver holds one part at a
+time. Beyond that the probes go to the shards by a shuffle, each distinct pair
 once. Both ways give the same scores.
 
 Defined results: a null text is empty and has one token, the end; a null doc_id is not held out;
@@ -50,6 +51,7 @@ _GATHERED = 6_000_000  # tokens counted at a time
 _PIECE = 250_000  # pairs hashed at a time
 _BINS = 3  # bits: a batch of tokens is sorted in so many parts
 _BATCH = 1000  # texts sent to Python at a time
+_PART_BYTES = 16_000_000  # of the model, gathered and broadcast at a time
 
 
 def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -139,11 +141,20 @@ class Shards:
 
 
 class Words:
-    """Exact counts of the vocabulary, and M of each word as a history."""
+    """Exact counts of the vocabulary, and M of each word as a history. Both are small for most
+    words, and M is a multiple of a half: such words take a byte each for n and 2 M beside their
+    hash; the others stand whole in a second table."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, mass: np.ndarray) -> None:
         order = np.argsort(hashes)
-        self.hashes, self.counts, self.mass = hashes[order], counts[order], mass[order]
+        self.hashes = hashes[order]
+        large = ((counts >= 255) | (mass * 2 >= 255) | (mass * 2 % 1 != 0))[order]
+        self.small = tuple(np.where(large, 255, x[order]).astype(np.uint8) for x in (counts, mass * 2))
+        self.large = tuple(x[order][large] for x in (hashes, counts, mass))
+
+    @property
+    def counts(self) -> np.ndarray:
+        return self.look_up(self.hashes)[0]
 
     def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The count and M of each word; 0 for unknown ones."""
@@ -151,7 +162,52 @@ class Words:
             return np.zeros(words.size, dtype=np.int64), np.zeros(words.size)
         at = np.minimum(np.searchsorted(self.hashes, words), self.hashes.size - 1)
         known = self.hashes[at] == words
-        return tuple(np.where(known, x[at], 0) for x in (self.counts, self.mass))
+        counts, twice = (np.where(known, x[at], 0) for x in self.small)
+        counts, mass = counts.astype(np.int64), twice / 2.0
+        whole = np.flatnonzero(counts == 255)
+        at = np.searchsorted(self.large[0], words[whole])
+        counts[whole], mass[whole] = self.large[1][at], self.large[2][at]
+        return counts, mass
+
+
+class _Parts:
+    """Shards or words in parts: each has the hashes from its low one up to that of the next."""
+
+    def __init__(self, parts: list[tuple[int, Shards | Words]]) -> None:
+        self.lows = np.array([low for low, _ in parts], dtype=np.uint64)
+        self.parts = [part for _, part in parts]
+
+    def _met(self, keys: np.ndarray) -> Iterator[tuple[Shards | Words, np.ndarray]]:
+        """Each part that has some of the keys, and where these are."""
+        of = np.searchsorted(self.lows, keys, side="right") - 1
+        for i, part in enumerate(self.parts):
+            here = np.flatnonzero(of == i)
+            if here.size:
+                yield part, here
+
+
+class ShardParts(_Parts):
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        out = np.zeros(grams.size, dtype=np.int64)
+        for part, here in self._met(grams):
+            out[here] = part.levels(grams[here])
+        return out
+
+
+class WordParts(_Parts):
+    @property
+    def hashes(self) -> np.ndarray:
+        return np.concatenate([part.hashes for part in self.parts])
+
+    @property
+    def counts(self) -> np.ndarray:
+        return np.concatenate([part.counts for part in self.parts])
+
+    def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts, mass = np.zeros(words.size, dtype=np.int64), np.zeros(words.size)
+        for part, here in self._met(words):
+            counts[here], mass[here] = part.look_up(words[here])
+        return counts, mass
 
 
 def base_logs(counts: np.ndarray, n: int, v: int) -> np.ndarray:
@@ -258,7 +314,7 @@ def train(docs: DataFrame, shard_grams: int = _SHARD_GRAMS) -> tuple[DataFrame,
 
     gathered = docs.select("text").mapInArrow(gather, "shard int, " + ", ".join(f"{k} binary" for k in _PARTS))
     with arrow_rows(spark, _BATCH):
-        built = materialize(gathered.groupBy("shard").applyInPandas(build, "shard int, bits binary, words binary, words_n binary, before binary, mass binary"))
+        built = materialize(gathered.groupBy("shard").applyInPandas(build, "shard int, bits binary, words binary, words_n binary, before binary, mass binary"), large_rows=True)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """word, n and what a shard adds to M, a million rows at a time."""
@@ -290,11 +346,11 @@ def score(docs: DataFrame, held_out: Column, broadcast_mb: int = 256, shard_gram
     shards, words, shift, n, v = train(rows.where("NOT held_out"), shard_grams)
     size = (shards.agg(F.sum(F.length("bits"))).first()[0] or 0) + 24 * v
     if size <= broadcast_mb * 1_000_000:
-        model = spark.sparkContext.broadcast(_gathered(shards, words, shift))
+        model = [spark.sparkContext.broadcast(part) for part in _parts(shards, words, shift, v)]
 
         @F.pandas_udf(_SCORES)
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            shards_, words_ = model.value
+            shards_, words_ = _opened(part.value for part in model)
             for texts in batches:
                 out, held, waiting = [], [], 0
                 for text in texts:
@@ -315,12 +371,40 @@ def score(docs: DataFrame, held_out: Column, broadcast_mb: int = 256, shard_gram
     return scored.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(n).cast("long").alias("train_tokens"), "s.base_score", "s.score")
 
 
-def _gathered(shards: DataFrame, words: DataFrame, shift: int) -> tuple[Shards, Words]:
-    """All of the model, within the bound of a broadcast."""
-    layout = [tuple(r) for r in shards.select("shard", F.length("bits")).collect()]
-    rows = words.select("word", "n", "mass").toArrow()
-    columns = [rows.column(k).to_numpy().astype(kind) for k, kind in (("word", np.int64), ("n", np.int64), ("mass", np.float64))]
-    return Shards(shards.toLocalIterator(), layout, shift), Words(columns[0].view(np.uint64), *columns[1:])
+def _parts(shards: DataFrame, words: DataFrame, shift: int, v: int) -> Iterator[tuple[int, Shards | Words]]:
+    """The model, within the bound of a broadcast, as parts of about `_PART_BYTES` (a shard is never
+    cut): the lowest hash of each, and its shards or words. One is read at a time."""
+    groups: list[list[tuple[int, int]]] = []
+    for one in sorted(tuple(r) for r in shards.select("shard", F.length("bits")).collect()):
+        if not groups or sum(size for _, size in groups[-1]) + one[1] > _PART_BYTES:
+            groups.append([])
+        groups[-1].append(one)
+    for layout in groups:
+        rows = shards.where(F.col("shard").isin([shard for shard, _ in layout])).collect()
+        part = Shards(rows, layout, shift)
+        del rows
+        yield layout[0][0] << shift, part
+        del part
+        hand_back()
+    top = max(0, int(np.ceil(np.log2(max(1.0, 24 * v / _PART_BYTES)))))
+    for i in range(1 << top):
+        here = F.shiftrightunsigned("word", 64 - top) == i if top else F.lit(True)
+        rows = words.where(here).select("word", "n", "mass").toArrow()
+        columns = [rows.column(k).to_numpy().astype(kind, copy=False) for k, kind in (("word", np.int64), ("n", np.int64), ("mass", np.float64))]
+        del rows
+        yield i << (64 - top), Words(columns[0].view(np.uint64), *columns[1:])
+        del columns
+        hand_back()
+
+
+def _opened(parts: Iterable[tuple[int, Shards | Words]]) -> tuple[ShardParts, WordParts]:
+    found = list(parts)
+    return ShardParts([x for x in found if isinstance(x[1], Shards)]), WordParts([x for x in found if isinstance(x[1], Words)])
+
+
+def _gathered(shards: DataFrame, words: DataFrame, shift: int) -> tuple[ShardParts, WordParts]:
+    """All of the model in one place."""
+    return _opened(_parts(shards, words, shift, words.count()))
 
 
 def _score_slice(shards: Shards, known: Words, texts: list[np.ndarray], n: int, v: int) -> pd.DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
 import time
@@ -419,6 +420,21 @@ def test_lm_batches_give_the_same_shards_however_they_are_sorted(spark, monkeypa
     assert seen[0][0] and seen[0] == seen[1] == seen[2]
 
 
+def test_lm_model_is_broadcast_in_parts(spark, monkeypatch):
+    df = spark.createDataFrame([(i, made(i, 60)) for i in range(60)] + [(900 + i, t) for i, t in enumerate(EDGE_TEXTS)], DOCS)
+    run = lambda: sorted((tuple(r) for r in lm_score.score(df, common.crc_mod("doc_id", 7) == 2, shard_grams=200).collect()), key=str)
+    want, sizes, send = run(), [], spark.sparkContext.broadcast
+
+    def sent(value):
+        sizes.append(len(pickle.dumps(value)))
+        return send(value)
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", sent)
+    monkeypatch.setattr(lm_score, "_PART_BYTES", 1000, raising=False)
+    assert run() == want
+    assert len(sizes) > 5 and max(sizes) < 4000 < sum(sizes)
+
+
 def test_bloom_levels():
     grams_ = np.unique(np.random.default_rng(2).integers(1, 2**63, 5000, dtype=np.uint64))
     levels = lm_score._levels(np.random.default_rng(3).integers(1, 300, grams_.size))
