@@ -53,16 +53,28 @@ def _flat(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids.buffers()[2], dtype="<u2")[at[0] // 2 : at[-1] // 2], (at - at[0]) // 2
 
 
-def document_frequencies(tokens: DataFrame) -> np.ndarray:
+def _documents_with(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """In how many of these documents each id occurs: sorted by id, a document's repeats of an
+    id follow one another."""
+    order = np.argsort(ids, kind="stable")
+    owner, term = np.repeat(np.arange(at.size - 1, dtype=np.int32), np.diff(at))[order], ids[order]
+    new = np.ones(ids.size, dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (term[1:] != term[:-1])
+    return np.bincount(term[new], minlength=_VOCABULARY)
+
+
+def document_frequencies(tokens: DataFrame, slice_ids: int = 1 << 20) -> np.ndarray:
     """In how many documents each id occurs: one number per id of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(_VOCABULARY, dtype=np.int64)
         for b in batches:
             ids, at = _flat(b.column(0))
-            for i in range(at.size - 1):
-                mine = np.sort(ids[at[i] : at[i + 1]])
-                out[mine[np.concatenate(([True], mine[1:] != mine[:-1]))]] += 1
+            first = 0
+            while first < at.size - 1:
+                last = max(first + 1, int(np.searchsorted(at, at[first] + slice_ids, side="right")) - 1)
+                out += _documents_with(ids[at[first] : at[last]], at[first : last + 1] - at[first])
+                first = last
         found = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(out[found])], ["id", "df"])
 
@@ -112,6 +124,16 @@ class _Index:
         return np.bincount(self.owners[places], self.weights[places], self.n)
 
 
+def _falling(docs: np.ndarray, rank: np.ndarray, first: int = 64) -> Iterator[int]:
+    """docs by falling rank, ties in order. A window is mostly full after a few, so those of the
+    highest ranks are sorted before the others."""
+    if docs.size > first:
+        top = rank >= np.partition(rank, docs.size - first)[docs.size - first]
+        yield from docs[top][np.argsort(-rank[top], kind="stable")].tolist()
+        docs, rank = docs[~top], rank[~top]
+    yield from docs[np.argsort(-rank, kind="stable")].tolist()
+
+
 def _windows(lengths: np.ndarray, start: np.ndarray, index: _Index, window: int, first: int = 0) -> tuple[list[tuple[int, int, int, int, int]], np.ndarray]:
     """(doc, start, length, sequence, offset) of each piece of whole windows, and from where
     on each document is left. start: what of a document is placed already."""
@@ -135,7 +157,7 @@ def _windows(lengths: np.ndarray, start: np.ndarray, index: _Index, window: int,
         rank = index.scores(seed)[rest]
         rank[0] = np.inf  # the seed is the first that is unused
         offset = 0
-        for i in rest[np.argsort(-rank, kind="stable")].tolist():
+        for i in _falling(rest, rank):
             take = min(int(left[i]), window - offset)
             out.append((i, int(start[i]), take, sequence, offset))
             start[i] += take

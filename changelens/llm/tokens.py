@@ -5,9 +5,10 @@ white-space chunks in a row. The chunks of a batch are dictionary-encoded, each
 gets its ids once, and the ids of all texts are gathered from them by position.
 
 A chunk of Latin letters with a run of marks behind it is two pieces that the tokenizer would
-cut it into anyway; new pieces are lower-cased and go through the tokenizer's own model in one
-call, without its normaliser. Any other chunk goes through the whole chain. The ids of the
-first `cache_chunks` chunks and as many pieces are kept for later batches. Python workers live
+cut it into anyway. Arrow cuts and lower-cases all chunks at once; each distinct piece is looked
+up once, and new ones go to the tokenizer's own model, without its normaliser.
+Any other chunk goes through the whole chain. The ids of the first `cache_chunks` pieces and as
+many other chunks are kept for later batches, as numbers in a row. Python workers live
 on, and whatever else runs in them later has to share their memory.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -29,11 +30,59 @@ from changelens.llm.common import hand_back
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 CACHE_CHUNKS = 600_000  # some 200 MB a Python worker; fewer where other stages share its memory
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")  # letters, then marks but no apostrophe
+_SIMPLE = r"(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-&(-/:-@\[-`{-~]*)"  # letters, then marks but no apostrophe
 _LONGEST = 64  # longer chunks are not kept
 SLICE_MB = 4  # of text whose chunks are looked up at a time; some 45 MB a Python worker for each
 
 
+def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of pool that begin at starts, one behind the other, and where each run begins
+    (and the last one ends)."""
+    bounds = np.concatenate((np.zeros(1, dtype=np.int64), np.cumsum(sizes)))
+    return pool[np.repeat(starts - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
+
+
+def _joined(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row, and where each list begins (and the last one ends)."""
+    ids = np.fromiter(itertools.chain.from_iterable(found), dtype="<u2")
+    return ids, np.cumsum([0, *map(len, found)])
+
+
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+class _Kept:
+    """Strings with their ids, the first `most` of those that are not long."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self.places = {"": 0}
+        self.ids, self.bounds = np.zeros(0, dtype="<u2"), np.zeros(2, dtype=np.int64)
+
+    def find(self, strings: list[str], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where those of each string begin in it and how many they are."""
+        at = np.fromiter(map(self.places.get, strings, itertools.repeat(-1)), dtype=np.int64, count=len(strings))
+        pool, bounds = self.ids, self.bounds
+        missing = np.flatnonzero(at < 0)
+        if missing.size:
+            new = [strings[i] for i in missing.tolist()]
+            ids, ends = encode(new)
+            at[missing] = bounds.size - 1 + np.arange(missing.size)
+            pool, bounds = np.concatenate((pool, ids)), np.concatenate((bounds, bounds[-1] + ends[1:]))
+            self._keep(new, ids, ends)
+        return pool, bounds[at], bounds[at + 1] - bounds[at]
+
+    def _keep(self, new: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        room = self.most - len(self.places)
+        if room <= 0:
+            return
+        on = np.flatnonzero(np.fromiter(map(len, new), dtype=np.int64, count=len(new)) <= _LONGEST)[:room]
+        kept, ends = _gather(ids, ends[on], ends[on + 1] - ends[on])
+        self.places.update(zip([new[i] for i in on.tolist()], range(self.bounds.size - 1, self.bounds.size - 1 + on.size), strict=True))
+        self.ids, self.bounds = np.concatenate((self.ids, kept)), np.concatenate((self.bounds, self.bounds[-1] + ends[1:]))
+
+
 class Encoder:
     """Ids of texts as little-endian 16-bit numbers."""
 
@@ -43,69 +92,41 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
-        self.plain = Tokenizer(self.tokenizer.model)  # for pieces that are normal and cut already
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        # The model's spelling of letters beyond ASCII, a sign for each byte.
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         # A special token within such a chunk would itself be letters with marks behind.
-        special = any(_SIMPLE.fullmatch(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.simple = (lambda chunk: None) if special else _SIMPLE.fullmatch
-        self.cache_chunks = cache_chunks
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
-
-    def _model(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces without white space, by one call."""
-        found = self.plain.encode(" ".join(pieces), add_special_tokens=False)
-        ids, words = np.array(found.ids, dtype="<u2"), np.array(found.word_ids, dtype=np.int64)
-        cuts = np.searchsorted(words, np.arange(len(pieces) + 1))
-        raw = ids.tobytes()
-        return [raw[2 * a : 2 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-
-    def _new(self, chunks: list[str]) -> list[bytes]:
-        """The ids of chunks that are not kept yet."""
-        known, missing, odd = self.pieces, {}, []
-        parts: list[tuple[str, str] | None] = []
-        for c in chunks:
-            m = self.simple(c)
-            if m is None:
-                parts.append(None)
-                odd.append(c)
-                continue
-            letters, marks = m[1].lower(), m[2]
-            parts.append((letters, marks))
-            if letters not in known:
-                missing[letters] = b""
-            if marks not in known:
-                missing[marks] = b""
-        if missing:
-            missing = dict(zip(missing, self._model(list(missing)), strict=True))
-            room = self.cache_chunks - len(known)
-            known.update(itertools.islice(((p, ids) for p, ids in missing.items() if len(p) <= _LONGEST), max(0, room)))
-        whole = iter(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)) if odd else iter(())
-        out = []
-        for both in parts:
-            if both is None:
-                out.append(np.array(next(whole).ids, dtype="<u2").tobytes())
-            else:
-                letters, marks = both
-                ids = known.get(letters)
-                if ids is None:
-                    ids = missing[letters]
-                if marks:
-                    more = known.get(marks)
-                    ids += missing[marks] if more is None else more
-                out.append(ids)
-        return out
-
-    def _distinct(self, chunks: list[str]) -> list[bytes]:
-        out = list(map(self.chunks.get, chunks))
-        at = [i for i, ids in enumerate(out) if ids is None]
-        if at:
-            new = self._new([chunks[i] for i in at])
-            for i, ids in zip(at, new, strict=True):
-                out[i] = ids
-                if len(self.chunks) < self.cache_chunks and len(chunks[i]) <= _LONGEST:
-                    self.chunks[chunks[i]] = ids
-        return out
+        special = any(re.fullmatch(_SIMPLE, t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.simple = rf"[^\x00-\x{{10FFFF}}]{_SIMPLE}" if special else f"^{_SIMPLE}$"  # the former matches nothing
+        self.chunks, self.pieces = _Kept(cache_chunks), _Kept(cache_chunks)
+
+    def _model(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces that are normal and cut already, in a row, and their bounds."""
+        tokenize = self.tokenizer.model.tokenize
+        return _joined([[t.id for t in tokenize(p if p.isascii() else p.translate(self.bytes))] for p in pieces])
+
+    def _whole(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks by the whole chain, and their bounds."""
+        return _joined([e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)])
+
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks in a row, and their bounds."""
+        cut = pc.extract_regex(chunks, self.simple)
+        odd = cut.is_null().to_numpy(zero_copy_only=False)
+        letters, marks = (pc.fill_null(pc.struct_field(cut, name), "").dictionary_encode() for name in ("letters", "marks"))
+        lower = pc.utf8_lower(letters.dictionary).dictionary_encode()
+        n = len(lower.dictionary)
+        pool, starts, sizes = self.pieces.find(_strings(lower.dictionary) + _strings(marks.dictionary), self._model)
+        use = np.empty((len(chunks), 2), dtype=np.int64)
+        use[:, 0] = lower.indices.to_numpy()[letters.indices.to_numpy()]
+        use[:, 1] = n + marks.indices.to_numpy()
+        starts, sizes = starts[use], sizes[use]
+        if odd.any():
+            more, first, size = self.chunks.find(_strings(chunks.filter(pa.array(odd))), self._whole)
+            starts[odd, 0], sizes[odd, 0] = pool.size + first, size
+            pool = np.concatenate((pool, more))
+        ids, bounds = _gather(pool, starts.ravel(), sizes.ravel())
+        return ids, bounds[::2]
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text begins (and the last one ends).
@@ -114,17 +135,10 @@ class Encoder:
         split = pc.ascii_split_whitespace(texts)
         # White space at an end leaves an empty chunk, which has no ids.
         coded = split.flatten().dictionary_encode()
-        found = self._distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 1
-        pool = np.frombuffer(b"".join(found), dtype="<u2")
-        starts = np.concatenate(([0], np.cumsum(sizes)))[:-1] if sizes.size else sizes
+        pool, bounds = self._distinct(coded.dictionary)
         use = coded.indices.to_numpy()
-        lengths = sizes[use]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if ends.size else 0
-        ids = pool[np.repeat(starts[use] - (ends - lengths), lengths) + np.arange(total)]
-        bounds = np.asarray(split.offsets) - split.offsets[0].as_py()
-        return ids, np.concatenate(([0], ends))[bounds]
+        ids, ends = _gather(pool, bounds[use], bounds[use + 1] - bounds[use])
+        return ids, ends[np.asarray(split.offsets) - split.offsets[0].as_py()]
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_batch(pa.array([text], pa.string()))[0].tobytes()

@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -572,6 +573,37 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(encoder.encode(t), dtype="<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_looks_each_piece_up_once(tmp_path):
+    """Chunks that differ in case and marks only share their pieces, and only other chunks are kept whole."""
+    from tokenizers import Tokenizer
+
+    encoder = tokens.Encoder(tokens.default_path())
+    asked = []
+    model = encoder._model
+    encoder._model = lambda pieces: asked.extend(pieces) or model(pieces)
+    encoder.encode_batch(pa.array(["Fjord fjord, FJORD! fjörd", None, "", "fjord! (fjord) FJÖRD,"]))
+    assert sorted(asked) == ["!", ",", "fjord", "fjörd"] and set(encoder.chunks.places) == {"", "(fjord)"}
+    # a special token that looks like a simple chunk
+    tokenizer = Tokenizer.from_file(tokens.default_path())
+    tokenizer.add_special_tokens(["fjord!"])
+    tokenizer.save(str(tmp_path / "t.json"))
+    encoder = tokens.Encoder(str(tmp_path / "t.json"))
+    for t in ("a fjord! b", "Fjord! fjord", ""):
+        assert np.frombuffer(encoder.encode(t), dtype="<u2").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_document_frequencies_and_falling_ranks_by_slices(spark):
+    r = np.random.default_rng(3)
+    docs = [r.integers(0, 40, n).astype("<u2") for n in r.integers(1, 60, 200)]
+    want = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=1 << 16)
+    rows = spark.createDataFrame([(d.tobytes(),) for d in docs], "ids binary")
+    for size in (1, 100, 1 << 20):
+        assert (packing.document_frequencies(rows, slice_ids=size) == want).all()
+    for ranks in (r.integers(0, 9, 500).astype(float), np.zeros(500), r.random(500), r.random(3)):
+        ranks[0] = np.inf
+        assert list(packing._falling(np.arange(ranks.size), ranks)) == np.argsort(-ranks, kind="stable").tolist()
+
+
 def test_retrieval_prefers_neighbours():
     r = np.random.default_rng(1)
     docs = [np.concatenate((r.integers(1000 * (i % 3), 1000 * (i % 3) + 60, 40), r.integers(5000, 5020, 40))).astype(np.uint16) for i in range(30)]
