@@ -22,8 +22,9 @@ has for a shard is one row of packed numbers (none where it has nothing, so ther
 more rows than n-grams); a shard is built by one task, from as many tokens as any other shard.
 What each shard knows of M is summed by word. If filter and words have at most `broadcast_mb`,
 they are broadcast, in parts with a range of hashes each, so that the driver holds one part at a
-time. Beyond that the probes go to the shards by a shuffle, each distinct pair
-once. Both ways give the same scores.
+time. Beyond that the texts' batches ask the shards for their words and pairs, packed, and shards
+answer as they are built (`_score_packed`). Both ways give the same scores, but for the pairs that
+pass a filter by chance: shards are cut by other hashes there.
 
 Defined results: a null text is empty and has one token, the end; a null doc_id is not held out;
 without training texts a base score is 0 per token, and so is a score; rows that repeat give a
@@ -33,15 +34,18 @@ by 64-bit hash.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm.common import arrow_rows, crc_mod, hand_back, materialize, mix64, table, word_hashes
+from changelens.llm.common import arrow_rows, crc_mod, hand_back, materialize, mix64, release, shared_dir, table, word_hashes
 
 END = np.uint64(0x3C79AC492BA7B653)
 FIRST, PROBES = 16, 13  # hash functions of level 1, and of the levels above
@@ -52,6 +56,9 @@ _PIECE = 250_000  # pairs hashed at a time
 _BINS = 3  # bits: a batch of tokens is sorted in so many parts
 _BATCH = 1000  # texts sent to Python at a time
 _PART_BYTES = 16_000_000  # of the model, gathered and broadcast at a time
+_TEXT_FOR_MODEL = 4  # a model is tried for a broadcast if the texts have at most a fourth of its bound
+_TOGETHER = 4_500_000  # tokens that ask the shards together
+_COMMON = 4096  # words whose pairs are dealt out by their own hash
 
 
 def _pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -63,10 +70,6 @@ def _tokens(text: str | None) -> np.ndarray:
     return np.append(word_hashes((text or "").encode("utf-8", "surrogatepass")), END)
 
 
-def _history(tokens: np.ndarray) -> np.ndarray:
-    return np.concatenate(([END], tokens[:-1]))
-
-
 def _places(grams: np.ndarray, level: int, bits: np.ndarray, probes: int) -> Iterator[np.ndarray]:
     """For each probe: the bit of each n-gram at its level, in filters of so many bits."""
     with np.errstate(over="ignore"):
@@ -343,9 +346,12 @@ def score(docs: DataFrame, held_out: Column, broadcast_mb: int = 256, shard_gram
     score. The model learns from the rows that are not held out."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
-    shards, words, shift, n, v = train(rows.where("NOT held_out"), shard_grams)
-    size = (shards.agg(F.sum(F.length("bits"))).first()[0] or 0) + 24 * v
-    if size <= broadcast_mb * 1_000_000:
+    text_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    small = text_bytes <= broadcast_mb * 1_000_000 / _TEXT_FOR_MODEL and broadcast_mb > 0
+    if small:
+        shards, words, shift, n, v = train(rows.where("NOT held_out"), shard_grams)
+        small = (shards.agg(F.sum(F.length("bits"))).first()[0] or 0) + 24 * v <= broadcast_mb * 1_000_000
+    if small:
         model = [spark.sparkContext.broadcast(part) for part in _parts(shards, words, shift, v)]
 
         @F.pandas_udf(_SCORES)
@@ -367,7 +373,7 @@ def score(docs: DataFrame, held_out: Column, broadcast_mb: int = 256, shard_gram
         with arrow_rows(spark, _BATCH):
             scored = materialize(rows.select("doc_id", "held_out", run("text").alias("s")))
     else:
-        scored = _score_by_shuffle(rows, shards, words, shift, n, v)
+        scored, n = _score_packed(rows, text_bytes, shard_grams)
     return scored.select("doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(n).cast("long").alias("train_tokens"), "s.base_score", "s.score")
 
 
@@ -429,58 +435,263 @@ def _score_slice(shards: Shards, known: Words, texts: list[np.ndarray], n: int,
     )
 
 
-def _score_by_shuffle(rows: DataFrame, shards: DataFrame, words: DataFrame, shift: int, n: int, v: int) -> DataFrame:
-    """The same scores, with the probes dealt to the shards and the words joined."""
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+@dataclass
+class _Layout:
+    """The distinct pairs of a batch, in the order in which they go to the shards and come back."""
+
+    pairs: np.ndarray  # distinct, in order
+    of: np.ndarray  # the pair of each token
+    first: np.ndarray  # a token of each pair
+    order: np.ndarray  # of the words by hash
+    common: np.ndarray  # of the words by hash: the place among the common words, or -1
+    runs: np.ndarray  # of the words by hash: the pairs after them; 0 for common ones
+    rare: np.ndarray  # pairs after words that are not common, by history
+    rest: np.ndarray  # the other pairs
+    rest_of: np.ndarray  # their histories' places among the common words
+
+    def shards(self, words: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, slice, slice, slice]]:
+        """Of each shard that has any: its words by hash, and its parts of rare and of rest."""
+        at = np.searchsorted(words[self.order], edges)
+        ends = np.concatenate(([0], np.cumsum(self.runs)))
+        cuts = zip(*(np.concatenate(([0], x, [n])) for x, n in ((at, words.size), (ends[at], self.rare.size), (np.searchsorted(self.pairs[self.rest], edges), self.rest.size))), strict=True)
+        before = next(cuts)
+        for shard, after in enumerate(cuts):
+            parts = [slice(int(a), int(b)) for a, b in zip(before, after, strict=True)]
+            if any(p.stop > p.start for p in parts):
+                yield shard, *parts
+            before = after
+
+
+def _histories(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The word before each; before the first of a text it is the end, as after its last."""
+    before = np.concatenate((codes[-1:], codes[:-1]))
+    before[starts] = codes[-1]
+    return before
+
+
+def _laid_out(words: np.ndarray, codes: np.ndarray, starts: np.ndarray, common: np.ndarray) -> _Layout:
+    """codes: the place of each token among the words. common: word hashes in order."""
+    before = _histories(codes, starts)
+    pairs = np.empty(codes.size, dtype=np.uint64)
+    for at in range(0, codes.size, _PIECE):
+        part = slice(at, at + _PIECE)
+        pairs[part] = _pair(words[before[part]], words[codes[part]])
+    by = np.argsort(pairs)
+    pairs = pairs[by]
+    fresh = np.concatenate(([True], pairs[1:] != pairs[:-1]))
+    of = np.empty(codes.size, dtype=np.uint32)
+    of[by] = np.cumsum(fresh, dtype=np.uint32) - np.uint32(1)
+    first, pairs = by[fresh], pairs[fresh]
+    del by, fresh
+    order = np.argsort(words)
+    place = np.empty(words.size, dtype=np.int64)
+    place[order] = np.arange(words.size)
+    known = np.full(words.size, -1)
+    if common.size:
+        at = np.minimum(np.searchsorted(common, words[order]), common.size - 1)
+        known = np.where(common[at] == words[order], at, -1)
+    history = place[before[first]]
+    is_rare = known[history] < 0
+    rare = np.flatnonzero(is_rare)
+    rare = rare[np.argsort(history[rare], kind="stable")]
+    runs = np.bincount(history[rare], minlength=words.size)
+    rest = np.flatnonzero(~is_rare)
+    return _Layout(pairs, of, first, order, known, runs, rare, rest, known[history[rest]])
+
+
+def _shut(numbers: np.ndarray) -> bytes:
+    """Numbers that are mostly small: each byte of them apart, compressed."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if int(numbers.max(initial=0)) <= np.iinfo(k).max)
+    planes = np.ascontiguousarray(numbers.astype(kind)[:, None].view(np.uint8).T)
+    head = np.array([planes.shape[0], numbers.size], dtype=np.int64).tobytes()
+    return head + (pa.compress(planes.tobytes(), "zstd", asbytes=True) if numbers.size else b"")
+
+
+def _opened_numbers(data: bytes) -> np.ndarray:
+    width, size = np.frombuffer(data[:16], dtype=np.int64).tolist()
+    if not size:
+        return np.zeros(0, dtype=np.int64)
+    planes = np.frombuffer(pa.decompress(data[16:], width * size, "zstd", asbytes=True), dtype=np.uint8).reshape(width, size)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+
+
+_ASKS = ("words", "words_n", "runs", "pairs", "pairs_n", "rest", "rest_n", "rest_of")
+_SHUT = ("words_n", "runs", "pairs_n", "rest_n", "rest_of")
+_ANSWERS = ("words_n", "mass", "pairs", "rest")
+
+
+def _score_packed(rows: DataFrame, size: int, shard_grams: int) -> tuple[DataFrame, int]:
+    """rows (doc_id, held_out, text) with their scores, by a model of any size, and N.
+
+    Texts are kept as batches of numbered words. Each batch sends its distinct words and pairs to
+    the shards once, with their counts among training texts; a shard counts, builds its filter,
+    probes it for all that it was sent, and answers each batch in the order of its question. A pair
+    lies in its history's shard, which so knows M; pairs after common words, which would crowd a
+    shard, are dealt out by their own hash, and what the shards know of M of these words is summed.
+    Batches lie in buckets, so that answers come to them and they are not shuffled.
+    """
+    spark = rows.sparkSession
+    top = max(0, int(np.ceil(np.log2(max(1.0, size / 6 / shard_grams)))))
+    edges = np.arange(1, 1 << top, dtype=np.uint64) << np.uint64(64 - top) if top else np.zeros(0, dtype=np.uint64)
+    id_field = rows.select("doc_id").schema[0]
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        ids: list = []
+        out: list[bool] = []
+        waiting, number = 0, TaskContext.get().partitionId() << 32
+
+        def flush(kind: pa.DataType) -> pa.RecordBatch:
+            nonlocal waiting, number
+            sizes = pa.array([t.size for t in held], pa.int64())
+            tokens = np.concatenate(held)
+            held.clear()
+            words, at, n = np.unique(tokens, return_inverse=True, return_counts=True)
+            del tokens
+            order = np.argsort(-n, kind="stable")  # small numbers for common words
+            place = np.empty(words.size, dtype=np.uint32)
+            place[order] = np.arange(words.size, dtype=np.uint32)
+            codes = place[at]
+            del at
+            row = [pa.array([number]), *(pa.ListArray.from_arrays([0, len(x)], x) for x in (pa.array(ids, kind), pa.array(out, pa.bool_()), sizes))]
+            row += [pa.array([x], pa.binary()) for x in (words[order].tobytes(), _shut(n[order][:_COMMON]), _shut(codes))]
+            ids.clear()
+            out.clear()
+            waiting, number = 0, number + 1
+            return pa.RecordBatch.from_arrays(row, ["batch", "doc_id", "held_out", "sizes", "words", "n", "codes"])
 
-    def uses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for row, text in zip(b["row"], b["text"], strict=True):
-                t = _tokens(text)
-                h = _history(t)
-                pair, at, times = np.unique(_pair(h, t), return_index=True, return_counts=True)
-                yield pd.DataFrame({"row": row, "pair": pair.view(np.int64), "before": h[at].view(np.int64), "word": t[at].view(np.int64), "times": times})
-
-    used = materialize(rows.select("row", "text").mapInPandas(uses, "row long, pair long, before long, word long, times long"))
-    # Pairs first: what is looked up for a pair is the same in every text.
-    pairs = used.select("pair", "before", "word").distinct()
-    shard = F.shiftrightunsigned("pair", shift).cast("int") if shift < 64 else F.lit(0)
-
-    def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        one = right.to_dict("records")  # one, or none
-        s = Shards(one, [(r["shard"], len(r["bits"])) for r in one], shift)
-        return left[["pair", "before", "word"]].assign(level=s.levels(left["pair"].to_numpy().view(np.uint64)))
-
-    probed = pairs.withColumn("shard", shard).groupBy("shard").cogroup(shards.groupBy("shard")).applyInPandas(probe, "pair long, before long, word long, level long")
-    probed = materialize(probed)
-    # A common word is the history of many distinct pairs: its row is looked up with salt.
-    salts = 16
-    salted = words.crossJoin(rows.sparkSession.range(salts).withColumnRenamed("id", "salt"))
-    of = probed.withColumn("salt", F.pmod(F.col("pair"), F.lit(salts)))
-    of = of.join(salted.select(F.col("word").alias("before"), "salt", "mass"), ["before", "salt"], "left")
-    of = of.join(salted.select("word", "salt", F.col("n").alias("count")), ["word", "salt"], "left")
-
-    @F.pandas_udf("base double, model double, known long")
-    def logs(level: pd.Series, mass: pd.Series, count: pd.Series) -> pd.DataFrame:
-        c = count.to_numpy()
-        p = model_probabilities(level.to_numpy(), mass.to_numpy(), c, n, v)
-        return pd.DataFrame({"base": base_logs(c, n, v), "model": np.log10(p), "known": (c > 0).astype(np.int64)})
-
-    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    valued = of.select("pair", logs("level", zero("mass"), zero("count")).alias("l"))
-    summed = (
-        used.join(valued, "pair")
-        .groupBy("row")
-        .agg(
-            F.struct(
-                F.sum("times").alias("n_tokens"),
-                F.sum(F.col("times") * F.col("l.known")).alias("n_known"),
-                F.sum(F.col("times") * F.col("l.base")).alias("base_score"),
-                F.sum(F.col("times") * F.col("l.model")).alias("score"),
-            ).alias("s")
-        )
-    )
-    return rows.select("row", "doc_id", "held_out").join(summed, "row")
+            kind = b.schema.field("doc_id").type
+            for doc_id, is_out, text in zip(*(b.column(k) for k in ("doc_id", "held_out", "text")), strict=True):
+                held.append(_tokens(text.as_py()))
+                ids.append(doc_id.as_py())
+                out.append(is_out.as_py())
+                waiting += held[-1].size
+                if waiting >= _TOGETHER:
+                    yield flush(kind)
+        if held:
+            yield flush(kind)
+        hand_back()
+
+    schema = f"batch long, doc_id array<{id_field.dataType.simpleString()}>, held_out array<boolean>, sizes array<long>, words binary, n binary, codes binary"
+    path, name = shared_dir(spark), f"lm_{uuid.uuid4().hex}"
+    buckets = min(100_000, max(8, 4 * int(size / 6 / _TOGETHER)))
+    plain = {"compression": "none", "parquet.hadoop.vectored.io.enabled": "false"}  # as materialize() does for large rows
+    with arrow_rows(spark, _BATCH):
+        rows.select("doc_id", "held_out", "text").mapInArrow(numbered, schema).write.bucketBy(buckets, "batch").options(path=path, **plain).saveAsTable(name)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    texts = spark.table(name)
+
+    def commonest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for words, n in zip(b.column("words"), b.column("n"), strict=True):
+                n = _opened_numbers(n.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(words.as_py(), dtype=np.int64)[: n.size]), pa.array(n.astype(np.int64))], ["word", "n"])
+
+    found = texts.select("words", "n").mapInArrow(commonest, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(_COMMON)
+    common = np.sort(np.array([r["word"] for r in found.collect()], dtype=np.int64).view(np.uint64))
+
+    def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, _Layout]:
+        words, codes, sizes = np.frombuffer(row["words"], dtype=np.uint64), _opened_numbers(row["codes"]), np.array(row["sizes"])
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        return words, codes, starts, _laid_out(words, codes, starts, common)
+
+    asked = pa.schema([("shard", pa.int32()), ("batch", pa.int64()), *((k, pa.binary()) for k in _ASKS)])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {k: b.column(k)[i].as_py() for k in ("batch", "held_out", "sizes", "words", "codes")}
+                words, codes, _, x = opened(row)
+                learnt = np.repeat(~np.array(row["held_out"]), row["sizes"])
+                n = np.bincount(codes[learnt], minlength=words.size)[x.order]
+                m = np.bincount(x.of[learnt], minlength=x.pairs.size)
+                del codes, learnt
+                by_hash = words[x.order]
+                for shard, w, p, r in x.shards(words, edges):
+                    rare, rest = x.rare[p], x.rest[r]
+                    values = (by_hash[w].tobytes(), _shut(n[w]), _shut(x.runs[w]), x.pairs[rare].tobytes(), _shut(m[rare]), x.pairs[rest].tobytes(), _shut(m[rest]), _shut(x.rest_of[r]))
+                    yield pa.RecordBatch.from_pylist([{"shard": shard, "batch": row["batch"], **dict(zip(_ASKS, values, strict=True))}], asked)
+        hand_back()
+
+    def answer(group: pa.Table) -> pa.Table:
+        def each(name: str) -> list[np.ndarray]:
+            return [_opened_numbers(x.as_py()) if name in _SHUT else np.frombuffer(x.as_py(), dtype=np.uint64) for x in group.column(name)]
+
+        def joined(parts: list[np.ndarray]) -> np.ndarray:
+            return np.concatenate([x.astype(np.int64) for x in parts])
+
+        asked_words, rare, rest = each("words"), each("pairs"), each("rest")
+        words, at = np.unique(np.concatenate(asked_words), return_inverse=True)
+        n = np.bincount(at, joined(each("words_n")), words.size).astype(np.int64)
+        history = np.concatenate((np.repeat(at, joined(each("runs"))), words.size + joined(each("rest_of")))).astype(np.uint32)
+        pairs = np.concatenate([*rare, *rest])
+        by = np.argsort(pairs)
+        pairs = pairs[by]
+        fresh = np.concatenate((np.ones(min(1, pairs.size), dtype=bool), pairs[1:] != pairs[:-1]))
+        of = np.empty(pairs.size, dtype=np.uint32)
+        of[by] = np.cumsum(fresh, dtype=np.uint32) - np.uint32(1)
+        pairs, history = pairs[fresh], history[by[fresh]]
+        del by, fresh
+        counts = np.bincount(of, joined([*each("pairs_n"), *each("rest_n")]), pairs.size)
+        levels, learnt = _levels(counts), counts > 0
+        mass = 2 * np.bincount(history, _value(levels), words.size + common.size)
+        del history, counts
+        bits = _build(pairs[learnt], levels[learnt])
+        probed, shards = np.empty(pairs.size, dtype=np.uint8), Shards([{"shard": 0, "bits": bits}], [(0, bits.size)], 64)
+        for i in range(0, pairs.size, _PIECE):
+            probed[i : i + _PIECE] = shards.levels(pairs[i : i + _PIECE])
+        probed = probed[of]
+        of_words, of_pairs = (np.split(x, np.cumsum([p.size for p in parts])[:-1]) for x, parts in ((at, asked_words), (probed, [*rare, *rest])))
+        values = [(-1, np.array([n.sum(), (n > 0).sum()]), mass[words.size :], np.zeros(0), np.zeros(0))]
+        values += [(b, n[w], mass[w], p, r) for b, w, p, r in zip(group.column("batch").to_pylist(), of_words, of_pairs[: len(rare)], of_pairs[len(rare) :], strict=True)]
+        shard = group.column("shard")[0].as_py()
+        out = pa.Table.from_pylist([{"shard": shard, "batch": b, **{k: _shut(x) for k, x in zip(_ANSWERS, v, strict=True)}} for b, *v in values], answered)
+        hand_back()
+        return out
+
+    answered = pa.schema([("shard", pa.int32()), ("batch", pa.int64()), *((k, pa.binary()) for k in _ANSWERS)])
+    asks = texts.select("batch", "held_out", "sizes", "words", "codes").mapInArrow(ask, "shard int, batch long, " + ", ".join(f"{k} binary" for k in _ASKS))
+    answers = materialize(asks.groupBy("shard").applyInArrow(answer, "shard int, batch long, " + ", ".join(f"{k} binary" for k in _ANSWERS)), large_rows=True)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """N at place -1, V at -2, and twice M of the common words at theirs."""
+        for b in batches:
+            for numbers, mass in zip(b.column("words_n"), b.column("mass"), strict=True):
+                value = np.concatenate([_opened_numbers(x.as_py()).astype(np.int64) for x in (numbers, mass)])
+                place = np.concatenate(([-1, -2], np.arange(value.size - 2)))
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(value)], ["place", "value"])
+
+    sums = answers.where("batch = -1").select("words_n", "mass").mapInArrow(known, "place long, value long").groupBy("place").agg(F.sum("value").alias("value"))
+    total = {r["place"]: r["value"] for r in sums.collect()}
+    n_all, v = total.get(-1, 0), total.get(-2, 0)
+    common_mass = np.array([total.get(i, 0) for i in range(common.size)]) / 2.0
+
+    def finish(text: pa.Table, answers: pa.Table) -> pa.Table:
+        row = {k: text.column(k)[0].as_py() for k in ("sizes", "words", "codes")}
+        words, codes, starts, x = opened(row)
+        by_shard = np.argsort(answers.column("shard").to_numpy()).tolist()
+        got = {k: np.concatenate([_opened_numbers(answers.column(k)[i].as_py()).astype(np.int64) for i in by_shard]) for k in _ANSWERS}
+        n, mass, levels = np.empty(words.size, dtype=np.int64), np.empty(words.size), np.empty(x.pairs.size, dtype=np.uint8)
+        n[x.order] = got["words_n"]
+        mass[x.order] = np.where(x.common >= 0, common_mass[x.common], got["mass"] / 2.0) if common.size else got["mass"] / 2.0
+        levels[x.rare], levels[x.rest] = got["pairs"], got["rest"]
+        before = _histories(codes, starts)[x.first]
+        model = np.log10(model_probabilities(levels, mass[before], n[codes[x.first]], n_all, v))
+        lists = [text.column(k).combine_chunks().flatten() for k in ("doc_id", "held_out", "sizes")]
+        sums = [np.add.reduceat(y, starts) for y in ((n > 0).astype(np.int64)[codes], base_logs(n, n_all, v)[codes], model[x.of])]
+        out = pa.Table.from_arrays([*lists, *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        hand_back()
+        return out
+
+    both = texts.groupBy("batch").cogroup(answers.where("batch >= 0").groupBy("batch"))
+    scored = both.applyInArrow(finish, f"doc_id {id_field.dataType.simpleString()}, held_out boolean, {_SCORES}")
+    scored = materialize(scored.select("doc_id", "held_out", F.struct("n_tokens", "n_known", "base_score", "score").alias("s")))
+    spark.sql(f"DROP TABLE {name}")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    release(answers)
+    return scored, n_all
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

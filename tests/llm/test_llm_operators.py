@@ -396,6 +396,28 @@ def test_lm_scores(spark):
     assert len(alone) == 5 and all(r["score"] == r["base_score"] == 0 and r["train_tokens"] == 0 for r in alone)
 
 
+def test_lm_texts_ask_the_shards_in_packed_rows(spark, monkeypatch):
+    docs = [(i, made(i, 50)) for i in range(80)] + [(500 + i, t) for i, t in enumerate(EDGE_TEXTS)] + [(None, made(4, 20)), (None, None)]
+    df, write, stored = spark.createDataFrame(docs, DOCS).repartition(3), lm_score.materialize, []
+
+    def counted(frame, **how):
+        stored.append((out := write(frame, **how)).count())
+        return out
+
+    monkeypatch.setattr(lm_score, "materialize", counted)
+    want, *_ = lm_by_hand(docs)
+    for together, most in ((10**6, 0), (700, 5), (90, 4096)):
+        monkeypatch.setattr(lm_score, "_TOGETHER", together, raising=False)
+        monkeypatch.setattr(lm_score, "_COMMON", most, raising=False)
+        stored.clear()
+        got = sorted((tuple(r) for r in lm_score.score(df, common.crc_mod("doc_id", 7) == 2, broadcast_mb=0, shard_grams=300).collect()), key=str)
+        for a, b in zip(got, want, strict=True):
+            assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-6) and -1e-6 <= a[6] - b[6] < 1
+        assert sum(a[6] == pytest.approx(b[6], abs=1e-6) for a, b in zip(got, want, strict=True)) >= 0.9 * len(want)
+        # A row for each batch and shard, none for each pair of a text.
+        assert together == 90 or max(stored) < sum(r[2] for r in want) / 5
+
+
 def test_lm_probabilities_sum_to_one_after_any_history(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
     shards, known, shift, n, v = lm_score.train(docs)
