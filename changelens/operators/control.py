@@ -104,11 +104,14 @@ def batch_ranges(chunks: DataFrame, key: str, chunk: str, size: int = 16) -> Dat
 
 
 def merge_ranges(ranges: DataFrame, key: str) -> DataFrame:
-    """ranges (key, start, end) with those that overlap or touch joined."""
-    rows = ordered.blocks(ranges.select(key, "start", "end"), [key], ["start", "end"])
-    opened = ordered.running(rows, [key], ["start", "end"], "end", "max", "most", own=False)
+    """ranges (key, start, end) with those that overlap or touch joined. Null ends come last, and
+    of equal ranges the one that opens an island comes first."""
+    order = [F.asc_nulls_last("start"), F.asc_nulls_last("end")]
+    rows = ordered.blocks(ranges.select(key, "start", "end"), [key], order)
+    opened = ordered.running(rows, [key], order, "end", "max", "most", own=False)
     opened = opened.withColumn("fresh", F.when(F.col("most").isNull() | (F.col("start") > F.col("most") + 1), 1).otherwise(0))
-    island = ordered.running(opened, [key], ["start", "end"], "fresh", "sum", "island")
+    before = ordered.running(opened, [key], [*order, F.desc("fresh")], "fresh", "sum", "before", own=False)
+    island = before.withColumn("island", F.col("before") + F.col("fresh"))
     return island.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(key, "start", "end")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,7 +19,7 @@ from changelens.sources.tables_sink import stored
 _AGGREGATES = {"max": F.max, "sum": F.sum}
 
 
-def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """df with its rows in ranges, and the number of the range as _block."""
     return stored(df.repartitionByRange(*keys, *order).withColumn("_block", F.spark_partition_id()))
 
@@ -34,7 +34,7 @@ def _with(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.join(facts.select(*named, F.col("_block").alias("_of"), *others), same).drop("_of", *(f"_key{i}" for i in range(len(keys))))
 
 
-def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """blocks() with place (from 1, by order within the key) and total (rows of the key)."""
     by = W.partitionBy(*keys)
     sizes = rows.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
@@ -44,7 +44,7 @@ def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return _with(rows, facts, keys).withColumn("place", place).drop("_before")
 
 
-def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, how: str, out: str, own: bool = True) -> DataFrame:
+def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: str, how: str, out: str, own: bool = True) -> DataFrame:
     """blocks() with the running max or sum of a column as out. With own, a row counts itself
     and those that tie with it; without, only the rows before it."""
     agg = _AGGREGATES[how]

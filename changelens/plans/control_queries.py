@@ -296,7 +296,7 @@ _RANGES = "ranges AS (SELECT l_orderkey AS file, (l_partkey % 50)::BIGINT AS sta
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = (F.col("l_partkey") % 50).cast("bigint")
-    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), start.alias("start"), (start + F.col("l_quantity").cast("bigint") % 9).alias("end"))
+    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), start.alias("start"), (start + F.rint("l_quantity").cast("bigint") % 9).alias("end"))  # halves to even, as DuckDB casts
 
 
 @query("merge_ranges", f'WITH {_RANGES}, m AS (SELECT *, max("end") OVER (PARTITION BY file ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM ranges), i AS (SELECT *, sum(CASE WHEN most IS NULL OR start > most + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM m) SELECT file, min(start) AS start, max("end") AS "end" FROM i GROUP BY file, island')
