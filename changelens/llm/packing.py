@@ -34,10 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens.llm.common import arrow_rows, hand_back, materialize, table
-from changelens.llm.tokens import CACHE_CHUNKS, SLICE_MB, token_ids
+from changelens.llm.tokens import CACHE_CHUNKS, SLICE_MB, forget, token_ids
 
 _VOCABULARY = 1 << 16
 _MOST_TASKS = 20_000  # a task takes several shards beyond that
+_KEYED = 1000  # documents whose keys are sought at a time
 
 
 def tokenize(docs: DataFrame, path: str | None = None, cache_chunks: int = CACHE_CHUNKS, slice_mb: int = SLICE_MB) -> DataFrame:
@@ -67,6 +68,7 @@ def document_frequencies(tokens: DataFrame, slice_ids: int = 1 << 20) -> np.ndar
     """In how many documents each id occurs: one number per id of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         out = np.zeros(_VOCABULARY, dtype=np.int64)
         for b in batches:
             ids, at = _flat(b.column(0))
@@ -99,27 +101,31 @@ class _Index:
 
     def __init__(self, docs: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float, k1: float = 1.2, b: float = 0.75) -> None:
         length = np.array([len(d) for d in docs])
-        owner = np.repeat(np.arange(len(docs)), length)
-        pairs, tf = np.unique(owner << 16 | np.concatenate(docs), return_counts=True)
-        owner, term = pairs >> 16, pairs & 0xFFFF
+        pairs = np.repeat(np.arange(len(docs)) << 16, length)
+        pairs |= np.concatenate(docs)
+        pairs.sort()
+        first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+        tf, pairs = np.diff(first, append=pairs.size), pairs[first]
+        owner, term = (pairs >> 16).astype(np.int32), pairs.astype(np.uint16)
+        del first, pairs
         idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
         weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[owner] / mean))
         self.n = len(docs)
-        self.at, self.term = np.searchsorted(owner, np.arange(self.n + 1)), term  # by document
+        self.at, self.term = np.searchsorted(owner, np.arange(self.n + 1, dtype=np.int32)), term  # by document
         order = np.argsort(term, kind="stable")
         self.owners, self.weights, self.terms = owner[order], weight[order], term[order]  # by term
-        self.starts = np.searchsorted(self.terms, np.arange(_VOCABULARY + 1))
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(self.terms, minlength=_VOCABULARY))))
 
     def keep(self, unused: np.ndarray) -> None:
         """Drop the postings of documents that are used up."""
         on = unused[self.owners]
         self.owners, self.weights, self.terms = self.owners[on], self.weights[on], self.terms[on]
-        self.starts = np.searchsorted(self.terms, np.arange(_VOCABULARY + 1))
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(self.terms, minlength=_VOCABULARY))))
 
     def scores(self, doc: int) -> np.ndarray:
         """The score of every document for all terms of this one."""
         terms = self.term[self.at[doc] : self.at[doc + 1]]
-        first, size = self.starts[terms], self.starts[terms + 1] - self.starts[terms]
+        first, size = self.starts[terms], self.starts[1:][terms] - self.starts[terms]
         places = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
         return np.bincount(self.owners[places], self.weights[places], self.n)
 
@@ -231,9 +237,15 @@ def deal(tokens: DataFrame, df: np.ndarray, total: int, shard_tokens: int) -> Da
     shared = tokens.sparkSession.sparkContext.broadcast(ranks(df))  # one number per id of the vocabulary
 
     @F.arrow_udf("int")
-    def key(column: pa.Array) -> pa.Array:
-        ids, at = _flat(column)
-        return pa.array(np.minimum.reduceat(shared.value[ids], at[:-1]) if len(column) else np.zeros(0, dtype=np.int32))
+    def key(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
+        for column in columns:
+            found = []
+            for first in range(0, len(column), _KEYED):
+                ids, at = _flat(column.slice(first, _KEYED))
+                found.append(np.minimum.reduceat(shared.value[ids], at[:-1]))
+            yield pa.array(np.concatenate(found) if found else np.zeros(0, dtype=np.int32))
+        hand_back()
 
     tasks = min(_MOST_TASKS, max(1, -(-total // shard_tokens)))
     keyed = tokens.select("doc_id", "ids", key("ids").alias("key"), F.monotonically_increasing_id().alias("row"))
@@ -244,7 +256,7 @@ def pack(docs: DataFrame, window: int = 4096, shard_tokens: int = 2_000_000, pat
     """docs (doc_id, text) -> one row per piece: doc_id, start, length, ids (little-endian
     32-bit numbers), doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    with arrow_rows(spark, 2000):
+    with arrow_rows(spark, 500):
         tokens = materialize(tokenize(docs, path, cache_chunks, slice_mb))
     total, n_docs = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     mean = total / max(1, n_docs)
@@ -252,6 +264,7 @@ def pack(docs: DataFrame, window: int = 4096, shard_tokens: int = 2_000_000, pat
     shared = spark.sparkContext.broadcast(df)  # one number per id of the vocabulary
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         shards = _Shards(shared.value, n_docs, mean, window)
         held, size = [], 0
         for b in batches:

@@ -75,7 +75,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """All documents left, packed into windows of 4096 token ids; a null or empty text is one
     id, the end. A null doc_id stays null. The tokenizer's caches are smaller than they would be
     alone, as the workers hold what earlier stages left."""
-    return packing.pack(docs.select("doc_id", "text"), cache_chunks=150_000, slice_mb=2).withColumn("ids_crc32", F.crc32("ids"))
+    return packing.pack(docs.select("doc_id", "text"), cache_chunks=150_000, slice_mb=1).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

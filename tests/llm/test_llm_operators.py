@@ -7,6 +7,7 @@ import pickle
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -560,6 +561,19 @@ def test_embedding_links_of_a_large_group_are_kept(spark):
 # --- 9: packing --------------------------------------------------------------------------
 
 
+def test_packing_workers_keep_and_take_little():
+    tokens._encoder(tokens.default_path(), 10)
+    tokens.forget()
+    assert tokens._encoder.cache_info().currsize == 0
+    draw = np.random.default_rng(1)
+    docs = [draw.integers(0, 40_000, 5000).astype("<u2") for _ in range(200)]
+    tracemalloc.start()
+    packing._Index(docs, np.full(1 << 16, 5), len(docs), 5000.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * sum(d.size for d in docs)
+
+
 def test_packing_keeps_every_token(spark):
     from tokenizers import Tokenizer
 
